@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, language, licences, simhash, toxicity
+from sparkloom.llm import chat, decontaminate, language, licences, pieces, search, simhash, toxicity
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,6 +28,36 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(docs).drop("expressions")
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+OP3_SQL = f"""
+with v as (
+    select vec_id, list_transform(embedding, lambda c: cast(floor({search.SCALE} * cast(c as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+pairs as (
+    select q.vec_id as query_id, c.vec_id,
+           cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+ranked as (
+    select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= {search.K}
+"""
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return coded.select(
+        "doc_id",
+        F.size("pieces").cast("bigint").alias("n_pieces"),
+        F.sha2(F.array_join(F.col("pieces").cast("array<string>"), ",").cast("binary"), 256).alias("pieces_sha256"),
+        F.col("identical").alias("round_trip"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(_remainder(3) != 1))
@@ -146,6 +176,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan,
+        op3_topk_search,
+        op4_sentencepiece,
         op5_toxicity,
         op6_simhash,
         op8_language,
@@ -153,4 +185,4 @@ QUERIES = {
         op10_chat_format,
     )
 }
-ORACLES = {"op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op3_topk_search": OP3_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
