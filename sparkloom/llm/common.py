@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 #: Text bytes handled at once inside a task; numpy temporaries are a small multiple of it.
 SLICE_BYTES = 4 << 20
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: One byte to one byte: A-Z to lower case, letters, digits and non-ASCII kept, all else to a space.
 WORD_FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -54,10 +56,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: cuts lineage and survives lost executors.
+
+    The shuffle files behind it are let go once it is written, so the disk holds one step at a time.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, language, licences, pieces, search, simhash, toxicity
+from sparkloom.llm import chat, decontaminate, language, licences, lines, pieces, search, simhash, substrings, toxicity
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,6 +28,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(docs).drop("expressions")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -76,6 +87,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     parser = language.train(docs.where(_remainder(4) != 2))
@@ -176,10 +194,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan,
+        op2_substring_dedup,
         op3_topk_search,
         op4_sentencepiece,
         op5_toxicity,
         op6_simhash,
+        op7_line_dedup,
         op8_language,
         op9_decontaminate,
         op10_chat_format,
