@@ -1,9 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised items, one scan of each text.
 
 A window is `window` consecutive item words; an item of fewer words, but not none,
-is one window. Defined results: null or empty texts and items have no words; repeated
-items share their windows and both count; an empty benchmark hits nothing; an item
-with null id takes part in hits but not in n_items.
+is one window. Defined results: null or empty texts and items have no words; rows of one
+item_id count as one item; an empty benchmark hits nothing; an item with null id takes part in
+hits but not in the items; repeated documents each give a row.
 
 The items reach executors as one broadcast automaton while their words stay within
 `most_words`; a larger benchmark is scanned in several passes of that size, so
@@ -50,6 +50,12 @@ class Scanner:
         if self.some:
             self.automaton.make_automaton()
 
+    def finds(self, text: bytes) -> bool:
+        if not self.some:
+            return False
+        line = f" {b' '.join(text.translate(WORD_FOLD).split()).decode('latin-1')} "
+        return next(self.automaton.iter(line), None) is not None
+
     def __call__(self, text: bytes) -> tuple[int, int, list[str], list[tuple[int, int]]]:
         words = text.translate(WORD_FOLD).split()
         if not words or not self.some:
@@ -71,6 +77,19 @@ class Scanner:
         return len(words), int(hit.sum()), sorted(x for x in items if x is not None), spans
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
+    """The documents, all their columns, in which no item's window occurs. Passes filter one after another."""
+    for windows in _passes(benchmark, "item_id", "text", window, most_words):
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
+
+        def make(shared=shared):
+            scanner = Scanner(shared.value)
+            return lambda texts: [pa.array([scanner.finds(t) for t in texts], pa.bool_())]
+
+        docs = map_texts(docs, docs.columns, [field("__leaked", "boolean")], make, text).where("not __leaked").drop("__leaked")
+    return docs
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -83,6 +102,19 @@ def decontaminate(
 ) -> DataFrame:
     """One row a document: words, hit words, items, spans of hit words as byte offsets in the original text."""
     spark = docs.sparkSession
+    passes = _passes(benchmark, item_id, item_text, window, most_words)
+    if len(passes) == 1:
+        return _one_pass(docs, id_column, text, passes[0], spark)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    done = [_one_pass(rows, id_column, text, p, spark, ["__row"]) for p in passes]
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    return _merged(whole, id_column)
+
+
+def _passes(benchmark: DataFrame, item_id: str, item_text: str, window: int, most_words: int) -> list[dict[str, set[str]]]:
+    """Windows of the benchmark, in parts of at most `most_words` item words (a longer item stands alone)."""
     items = benchmark.select(
         F.col(item_id).cast("string").alias("item"), F.encode(F.col(item_text), "UTF-8").alias("text")
     ).where("text is not null")
@@ -97,14 +129,7 @@ def decontaminate(
         group.append((row["item"], bytes(row.text)))
         words += n
     passes.append(windows_of(group, window))
-    if len(passes) == 1:
-        return _one_pass(docs, id_column, text, passes[0], spark)
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    done = [_one_pass(rows, id_column, text, p, spark, ["__row"]) for p in passes]
-    whole = done[0]
-    for more in done[1:]:
-        whole = whole.unionByName(more)
-    return _merged(whole, id_column)
+    return passes
 
 
 def _merged(whole: DataFrame, id_column: str) -> DataFrame:
