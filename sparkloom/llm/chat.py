@@ -23,7 +23,6 @@ BEGIN, END, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 ESCAPES = {"\\": "\\b", BEGIN: "\\s", END: "\\e", OPEN: "\\i", CLOSE: "\\j"}
 ESCAPED_MODE = BEGIN + "\\"
 _CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]"
-_TURN = r"(?s)^\[INST\](.*?)\[/INST\](.*)$"
 
 
 def escape(text: Column) -> Column:
@@ -46,56 +45,63 @@ def render(turns: Column, escaped: bool) -> Column:
     return F.concat(F.lit(ESCAPED_MODE if escaped else BEGIN), F.array_join(parts, ""))
 
 
-def parse(formatted: Column) -> Column:
-    """Turns of a rendered conversation, or null where the grammar does not hold."""
-    escaped = F.startswith(formatted, F.lit(ESCAPED_MODE))
-    body = F.when(escaped, F.substring(formatted, len(ESCAPED_MODE) + 1, 2**31 - 1)).otherwise(
-        F.substring(formatted, len(BEGIN) + 1, 2**31 - 1)
-    )
-    pieces = F.split(body, END, -1)
-    segments = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    well_formed = (F.element_at(pieces, -1) == "") & F.forall(
-        segments,
-        lambda s: s.rlike(_TURN) & (F.size(F.split(s, _CONTROL, -1)) == 3),
+def parse(df: DataFrame, formatted: str, out: str) -> DataFrame:
+    """Add `out`: the turns of a rendered conversation, or null where the grammar does not hold.
+
+    Each step is a column of its own, so that it is computed once.
+    """
+    text = F.col(formatted)
+    escaped = F.startswith(text, F.lit(ESCAPED_MODE))
+    body = F.when(escaped, F.substring(text, len(ESCAPED_MODE) + 1, 2**31 - 1)).otherwise(
+        F.substring(text, len(BEGIN) + 1, 2**31 - 1)
     )
-    turns = F.transform(
-        segments,
-        lambda s: F.struct(
-            F.regexp_extract(s, _TURN, 1).alias("role"), F.regexp_extract(s, _TURN, 2).alias("text")
+    pieces, turns = F.col("__pieces"), F.col("__turns")
+    split = df.withColumn("__pieces", F.split(body, END, -1)).withColumn(
+        # a turn without its end mark has two control strings, the open mark first, the close mark after it
+        "__turns",
+        F.transform(
+            F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+            lambda s: F.transform(
+                F.array(F.split(s, _CONTROL, -1)),
+                lambda p: F.struct(
+                    (
+                        (F.size(p) == 3)
+                        & (F.concat(F.lit(OPEN), F.get(p, F.lit(1)), F.lit(CLOSE), F.get(p, F.lit(2))) == s)
+                    ).alias("fits"),
+                    F.get(p, F.lit(1)).alias("role"),
+                    F.get(p, F.lit(2)).alias("text"),
+                ),
+            )[0],
         ),
     )
-    plain = F.transform(
-        turns,
-        lambda t: F.struct(
-            F.when(escaped, unescape(t["role"])).otherwise(t["role"]).alias("role"),
-            F.when(escaped, unescape(t["text"])).otherwise(t["text"]).alias("text"),
-        ),
+    well_formed = (
+        F.startswith(text, F.lit(BEGIN)) & (F.element_at(pieces, -1) == "") & F.forall(turns, lambda t: F.coalesce(t["fits"], F.lit(False)))
     )
-    return F.when(F.startswith(formatted, F.lit(BEGIN)) & well_formed, plain)
+    plain = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    coded = F.transform(
+        turns, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text"))
+    )
+    return split.withColumn(out, F.when(well_formed, F.when(escaped, coded).otherwise(plain))).drop("__pieces", "__turns")
+
 
+def loss_segments(formatted: Column, trained_role: str = "assistant") -> Column:
+    """The rendered text cut into segments, in order, each with whether a trainer takes its loss from it: the trained turns' content.
 
-def loss_spans(formatted: Column, trained_role: str = "assistant") -> Column:
-    """Zero-based character spans of the rendered text that a trainer takes its loss from: trained turns' content."""
+    The segments' lengths are the loss mask as run lengths; their texts, joined, are the rendered text.
+    """
     pieces = F.split(formatted, END, -1)
-    lengths = F.transform(pieces, lambda s: F.length(s).cast("bigint"))
-    starts = F.transform(
-        pieces,
-        lambda s, i: F.aggregate(
-            F.slice(lengths, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, n: a + n + len(END)
-        ),
-    )
-    mark = F.lit(f"{OPEN}{trained_role}{CLOSE}")
-    spans = F.transform(
-        pieces,
-        lambda s, i: F.when(
-            F.instr(s, f"{OPEN}{trained_role}{CLOSE}") > 0,
-            F.struct(
-                (F.get(starts, i) + F.instr(s, f"{OPEN}{trained_role}{CLOSE}") - 1 + F.length(mark)).alias("start"),
-                (F.get(starts, i) + F.length(s)).alias("stop"),
-            ),
-        ),
-    )
-    return F.filter(spans, lambda x: x.isNotNull())
+    mark = F.concat(*(F.lit(x) for x in (OPEN, trained_role, CLOSE)))
+
+    def cut(piece: Column, i: Column) -> Column:
+        whole = F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), piece)  # the mark that ends the turn before
+        at = F.instr(whole, f"{OPEN}{trained_role}{CLOSE}")
+        head = F.when(at > 0, F.substring(whole, F.lit(1), at - 1 + F.length(mark))).otherwise(whole)
+        tail = F.when(at > 0, F.substring(whole, at + F.length(mark), F.length(whole))).otherwise(F.lit(""))
+        return F.array(
+            F.struct(head.alias("text"), F.lit(False).alias("loss")), F.struct(tail.alias("text"), F.lit(True).alias("loss"))
+        )
+
+    return F.filter(F.flatten(F.transform(pieces, cut)), lambda x: x["text"] != "")
 
 
 def format_chats(
@@ -118,24 +124,21 @@ def format_chats(
         "conv_id",
         F.transform("s", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
     )
-    plain = source.withColumn("plain", render(F.col("turns"), False))
-    tried = plain.withColumn("escaped", ~F.coalesce(parse(F.col("plain")) == F.col("turns"), F.lit(False)))
-    out = tried.withColumn(
-        "formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("plain"))
-    )
-    return out.withColumn("parsed", parse(F.col("formatted"))).select(
+    plain = parse(source.withColumn("plain", render(F.col("turns"), False)), "plain", "from_plain")
+    tried = plain.withColumn("escaped", ~F.coalesce(F.col("from_plain") == F.col("turns"), F.lit(False)))
+    coded = tried.withColumn("coded", F.when(F.col("escaped"), render(F.col("turns"), True)))
+    read = parse(coded, "coded", "from_coded")
+    return read.select(
         "conv_id",
-        "formatted",
+        F.when(F.col("escaped"), F.col("coded")).otherwise(F.col("plain")).alias("formatted"),
         "escaped",
-        "parsed",
-        F.coalesce(F.col("parsed") == F.col("turns"), F.lit(False)).alias("identical"),
+        F.when(F.col("escaped"), F.col("from_coded")).otherwise(F.col("from_plain")).alias("parsed"),
+        (~F.col("escaped") | F.coalesce(F.col("from_coded") == F.col("turns"), F.lit(False))).alias("identical"),
     )
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """What the spans cover, unescaped, joined with nothing between."""
+def loss_text(formatted: Column, segments: Column) -> Column:
+    """All text under the loss mask, unescaped, joined with nothing between."""
     escaped = F.startswith(formatted, F.lit(ESCAPED_MODE))
-    cut = F.transform(
-        spans, lambda s: F.substring(formatted, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))
-    )
-    return F.array_join(F.transform(cut, lambda x: F.when(escaped, unescape(x)).otherwise(x)), "")
+    under = F.array_join(F.transform(F.filter(segments, lambda x: x["loss"]), lambda x: x["text"]), "")
+    return F.when(escaped, unescape(under)).otherwise(under)

@@ -149,8 +149,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", _PLANTED), (-1, 1, "assistant", _PLANTED)], rows.schema
     )
     done = chat.format_chats(rows.unionByName(planted))
-    spans = chat.loss_spans(F.col("formatted"))
-    read = done.withColumn("loss", chat.loss_text(F.col("formatted"), spans))
+    segments = chat.loss_segments(F.col("formatted"))
+    read = done.withColumn("loss", chat.loss_text(F.col("formatted"), segments))
     digest = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
