@@ -27,7 +27,8 @@ from sparkloom.llm.common import field, map_texts
 
 MOST_TEXTS, MOST_CHARS, BLOCK = 60, 12_000, 512
 SYMBOLS = 64
-_FLAG = np.int32(1 << 30)
+#: Bits of a table entry from which on the phrases that end are counted.
+_COUNT = 29
 
 
 def normalise(text: str) -> str:
@@ -67,15 +68,19 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def table_of(sample: str, alphabet: dict[str, int]) -> np.ndarray:
-    """Dense transitions; where the phrase must end, the flag and the state that the character starts anew."""
+    """Dense transitions; where phrases must end, how many, above bit `_COUNT`, and the state that the character starts anew."""
     steps = suffix_automaton([alphabet.get(c, 0) for c in sample])
     table = np.full((len(steps), SYMBOLS), -1, np.int32)
     for s, outs in enumerate(steps):
         for c, t in outs.items():
             if c:  # symbol 0, a character unknown to all samples, continues no phrase
                 table[s, c] = t
-    fresh = np.where(table[0] < 0, 0, table[0]) | _FLAG
-    return np.where(table < 0, fresh[None], table).astype(np.int32).ravel()
+    # a character that the sample lacks is a phrase of its own: it ends the one before it, if any, and itself
+    fresh = np.where(table[0] < 0, 2 << _COUNT, table[0] | (1 << _COUNT))
+    root = np.where(table[0] < 0, 1 << _COUNT, table[0])
+    table = np.where(table < 0, fresh[None], table)
+    table[0] = root
+    return table.astype(np.int32).ravel()
 
 
 @dataclass
@@ -121,9 +126,9 @@ class Parser:
             for j, c in enumerate(columns):
                 n = len(c)
                 to = table[state[:n] * SYMBOLS + c]
-                ended[:n] += to >> 30
-                state[:n] = to & (_FLAG - 1)
-            counts[:, k] = np.bincount(owner, ended + 1, len(texts))
+                ended[:n] += to >> _COUNT
+                state[:n] = to & ((1 << _COUNT) - 1)
+            counts[:, k] = np.bincount(owner, ended + (state > 0), len(texts))
         return counts, size
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:

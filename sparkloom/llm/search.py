@@ -8,7 +8,7 @@ blocks, so that blocks send on only what can still count. Scores are integers; b
 ties are never pruned.
 
 Defined results: vectors null, of another length than most, or holding null or non-finite components take no
-part; a null id takes no part; repeated rows are candidates of their own; a query is never its own candidate, by id.
+part, nor those whose scaled components leave 32 bits; a null id takes no part; repeated rows are candidates of their own; a query is never its own candidate, by id.
 """
 
 from __future__ import annotations
@@ -149,15 +149,13 @@ def _matrix(blobs: list[bytes], width: int) -> np.ndarray:
 
 def quantise(vectors: DataFrame, id_column: str, vector: str, scale: int = SCALE) -> DataFrame:
     """id and floor(scale * x) of every usable vector, as long integers; unusable ones are left out."""
-    usable = vectors.where(
-        F.col(id_column).isNotNull()
-        & F.col(vector).isNotNull()
-        & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+    finite = lambda c: ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
+    # an unusable component makes its place null, whichever condition Spark evaluates first
+    v = F.transform(vector, lambda c: F.floor(F.lit(scale) * F.when(finite(c), c.cast("double"))).try_cast("int"))
+    usable = vectors.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull())
+    return usable.select(F.col(id_column).cast("bigint").alias("id"), v.alias("v")).where(
+        (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull())
     )
-    return usable.select(
-        F.col(id_column).cast("bigint").alias("id"),
-        F.transform(vector, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("int")).alias("v"),
-    ).where(F.size("v") > 0)
 
 
 def exact_top_k(
