@@ -73,7 +73,7 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(
         np.concatenate([prints, np.zeros(n, np.uint64)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
     )
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64))
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def within(query: np.ndarray, planes: np.ndarray, count: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
