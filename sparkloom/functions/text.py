@@ -16,11 +16,16 @@ def words(text: Column) -> Column:
 
 
 def shingles(tokens: Column, k: int = SHINGLE) -> Column:
-    """All k-token windows in order, space-joined; fewer than k tokens have none."""
-    starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - (k - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))
+    """All k-token windows in order, space-joined; fewer than k tokens have none.
+
+    The tokens are bound to a lambda variable, so that they are computed once a row and not once a window.
+    """
+
+    def windows(w: Column) -> Column:
+        starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+
+    return F.transform(F.array(tokens), windows)[0]
 
 
 def shingle_set(tokens: Column, k: int = SHINGLE) -> Column:

@@ -24,7 +24,8 @@ keys as (select doc, n, unnest(s) as h from reps)"""
 
 def _reps(spark, d):
     sets = similarity.shingle_sets(table(spark, d, "documents"))
-    return sets.join(similarity.classes(sets).where("doc = rep").select("doc"), "doc", "left_semi")
+    # written once, as it is read from several sides
+    return graph.settle(sets.join(similarity.classes(sets).where("doc = rep").select("doc"), "doc", "left_semi"))
 
 
 @query(
