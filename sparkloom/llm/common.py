@@ -15,12 +15,15 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a task; numpy temporaries are a small multiple of it.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch; texts of ordinary length then make about ten MB.
+BATCH_ROWS = 4000
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -33,7 +36,10 @@ SPACE_FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Give executors this package, once a session, so that no shared folder or installation is needed."""
+    """Give executors this package, once a session, so that no shared folder or installation is needed; bound Arrow batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_loom_shipped", False):
         return
@@ -77,7 +83,7 @@ def partitions(spark: SparkSession) -> int:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about `most` bytes of `column`; a longer value stands alone."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > most:
