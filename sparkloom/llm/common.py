@@ -104,8 +104,9 @@ def map_texts(
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[list[bytes]], list[pa.Array]]],
     text: str = "text",
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Add columns computed from whole texts. `make` runs once a task and gives a function of a list of texts."""
+    """Add columns computed from whole texts. `make` runs once a task and gives a function of a list of texts of about `most` bytes."""
     ship_code(df.sparkSession)
     names = [*keep, *(f.name for f in fields)]
     schema = T.StructType([*(df.schema[k] for k in keep), *fields])
@@ -113,7 +114,7 @@ def map_texts(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", most):
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(k) for k in keep), *work(texts_of(part, "__text"))], names=names
                 )

@@ -29,11 +29,14 @@ MARK = "▁"
 #: What a character without a piece costs below the least score, as in the published algorithm.
 UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SIEVE = np.uint64(44)
 _CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Distinct chunks remembered by a task.
-MEMORY = 200_000
+MEMORY = 250_000
+#: Text bytes encoded at once: many chunks of one length share the cost of each step.
+SLICE = 8 << 20
 #: Table cells of one Viterbi batch.
-CELLS = 1 << 20
+CELLS = 1 << 19
 
 
 def _mix(h: np.ndarray, length: int) -> np.ndarray:
@@ -61,6 +64,11 @@ class Vocabulary:
     byte_ids: np.ndarray
     least: float
     memory: dict = default(default_factory=dict)
+    sieve: np.ndarray = default(init=False)  # by the first bits of a hash: whether any key has them
+
+    def __post_init__(self):
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[self.keys >> _SIEVE] = True
 
     def viterbi(self, chunks: list[str]) -> list[np.ndarray]:
         """Ids of each chunk; chunks of equal length together."""
@@ -73,7 +81,7 @@ class Vocabulary:
             step = max(1, CELLS // max(1, n))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                for i, ids in zip(part.tolist(), self._equal(["".join(chunks[k]) for k in part.tolist()], n)):
+                for i, ids in zip(part.tolist(), self._equal([chunks[k] for k in part.tolist()], n)):
                     out[i] = ids
         return out
 
@@ -82,41 +90,45 @@ class Vocabulary:
         hashes = _prefixes(points)
         power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]))
         rows = len(chunks)
-        best = np.full((rows, n + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((rows, n + 1), np.int32)  # start of the last piece
-        what = np.full((rows, n + 1), -1, np.int32)  # its id; -1: bytes
+        hashes = np.ascontiguousarray(hashes.T)
+        best = np.full((n + 1, rows), -np.inf)
+        best[0] = 0
+        back = np.zeros((n + 1, rows), np.int32)  # start of the last piece
+        what = np.full((n + 1, rows), -1, np.int32)  # its id; -1: bytes
         for j in range(1, n + 1):
             lone = np.zeros(rows, bool)
             for i in range(max(0, j - self.longest), j):
-                key = _mix(hashes[:, j] - hashes[:, i] * power[j - i], j - i)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
+                key = _mix(hashes[j] - hashes[i] * power[j - i], j - i)
+                row = np.flatnonzero(self.sieve[key >> _SIEVE])  # most substrings are no piece
+                at = np.minimum(np.searchsorted(self.keys, key[row]), len(self.keys) - 1)
+                hit = self.keys[at] == key[row]
+                row, at = row[hit], at[hit]
                 if j - i == 1:
-                    lone = hit
-                total = best[:, i] + np.where(hit, self.scores[at], -np.inf)
-                better = total > best[:, j]
-                best[better, j] = total[better]
-                back[better, j] = i
-                what[better, j] = self.ids[at[better]]
-            total = np.where(lone, -np.inf, best[:, j - 1] + self.least - UNKNOWN_PENALTY)
-            better = total > best[:, j]
-            best[better, j] = total[better]
-            back[better, j] = j - 1
-            what[better, j] = -1
+                    lone[row] = True
+                total = best[i, row] + self.scores[at]
+                better = total > best[j, row]
+                row, at = row[better], at[better]
+                best[j, row] = total[better]
+                back[j, row] = i
+                what[j, row] = self.ids[at]
+            total = np.where(lone, -np.inf, best[j - 1] + self.least - UNKNOWN_PENALTY)
+            row = np.flatnonzero(total > best[j])
+            best[j, row] = total[row]
+            back[j, row] = j - 1
+            what[j, row] = -1
         # all rows walk back in step
         steps = []
         place = np.full(rows, n)
         every = np.arange(rows)
         while (place > 0).any():
-            start = back[every, place]
-            steps.append((place, start, np.where(place > 0, what[every, place], -2)))
+            start = back[place, every]
+            steps.append((place, start, np.where(place > 0, what[place, every], -2)))
             place = np.where(place > 0, start, 0)
         ids = np.stack([s[2] for s in reversed(steps)], 1)
         keep = ids != -2
         if (ids != -1).all():
-            cut = np.cumsum(keep.sum(1))[:-1]
-            return np.split(ids[keep], cut)
+            flat, cut = ids[keep].astype(np.int32), np.cumsum(keep.sum(1)).tolist()
+            return [flat[a:b] for a, b in zip([0, *cut], cut)]
         out = []
         starts = np.stack([s[1] for s in reversed(steps)], 1)
         for r, chunk in enumerate(chunks):
@@ -211,7 +223,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str = MO
 
         return work
 
-    return map_texts(docs, keep, [field("pieces", "array<int>"), field("identical", "boolean")], make, text)
+    return map_texts(docs, keep, [field("pieces", "array<int>"), field("identical", "boolean")], make, text, SLICE)
 
 
 def decode(rows: DataFrame, keep: list[str], pieces: str = "pieces", model: str = MODEL) -> DataFrame:
