@@ -32,11 +32,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE = np.uint64(44)
 _CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Distinct chunks remembered by a task.
-MEMORY = 250_000
+MEMORY = 120_000
 #: Text bytes encoded at once: many chunks of one length share the cost of each step.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Table cells of one Viterbi batch.
-CELLS = 1 << 19
+CELLS = 1 << 18
 
 
 def _mix(h: np.ndarray, length: int) -> np.ndarray:
