@@ -13,8 +13,8 @@ _FULL = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "
 _ORDER = ", ".join(_FULL)
 
 
-def part_arcs(spark, d, condition: str):
-    """Arcs between parts on consecutive lines of an order, where the first line meets the condition."""
+def part_arcs(spark, d, condition: str = "true"):
+    """Arcs between parts on consecutive lines of an order, where the first line meets the condition; all of them without one."""
     items = table(spark, d, "lineitem")
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*_FULL))
     follow = items.withColumn("dst", after).where(condition).where("dst is not null")
@@ -127,3 +127,73 @@ def tree_subtree_rollup(spark, d):
         (F.count(F.lit(1)) + F.coalesce(F.sum("subtree"), F.lit(0))).alias("subtree")
     )
     return per.unionByName(up)
+
+
+# The queries above, as their SQL, run on arcs of chosen lines. Those below run on all arcs; where recursive SQL is too slow, tests hold them against brute force.
+_ALL = _arcs("true")
+
+
+@query(f"with {_ALL} select src, dst from arcs")
+def graph_whole_edge_projection(spark, d):
+    """Distinct arcs of all lines, without loops."""
+    return part_arcs(spark, d)
+
+
+@query(f"with {_REACH.replace('{arcs}', _ALL)} select distinct node from reach")
+def graph_whole_reachable(spark, d):
+    """Parts that the first and the last source reach over all arcs."""
+    e = part_arcs(spark, d)
+    return graph.reachable(e, _ends(e)).select("node")
+
+
+@query()
+def graph_whole_components(spark, d):
+    """Connected components over all arcs, directions aside."""
+    return graph.components(part_arcs(spark, d))
+
+
+@query()
+def graph_whole_strong_components(spark, d):
+    """Strongly connected components over all arcs."""
+    return graph.strong_components(part_arcs(spark, d))
+
+
+@query()
+def graph_whole_cycles(spark, d):
+    """Components of two nodes or more over all arcs."""
+    s = graph.strong_components(part_arcs(spark, d))
+    return s.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
+
+
+@query("select cast(0 as bigint) as src, cast(0 as bigint) as dst where false")
+def graph_whole_cycles_absent(spark, d):
+    """A relation acyclic by its nature, customer to nation to region (negative ids): its arcs inside a strong component, of which there are none."""
+    nation = lambda c: -1000 - F.col(c)
+    low = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), nation("c_nationkey").alias("dst"))
+    mid = table(spark, d, "nation").select(nation("n_nationkey").alias("src"), (-1 - F.col("n_regionkey")).alias("dst"))
+    e = graph.arcs(low.unionByName(mid))
+    s = graph.strong_components(e)
+    a, b = s.toDF("src", "cs"), s.toDF("dst", "cd")
+    return e.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst")
+
+
+@query()
+def graph_whole_positions(spark, d):
+    """Degrees and strong component of every part that has an arc, over all arcs."""
+    return graph.positions(part_arcs(spark, d))
+
+
+@query(
+    f"""with {_REACH.replace('{arcs}', _ALL)}
+select p_partkey as node, cast(1 + cast(p_size >= 25 as int) + 2 * cast(p_partkey in (select dst from arcs) as int) as int) as verdict
+from part where p_partkey not in (select node from reach)"""
+)
+def graph_whole_dead_verdicts(spark, d):
+    """Parts that no entry reaches over all arcs: 1 + public + 2 * referenced."""
+    e = part_arcs(spark, d)
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") >= 25).alias("public"))
+    return graph.dead_verdicts(nodes, e, _ends(e))
+
+
+def _ends(e):
+    return e.agg(F.min("src").alias("x"), F.max("src").alias("y")).select(F.explode(F.array("x", "y")).alias("node"))

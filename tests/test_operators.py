@@ -185,3 +185,28 @@ def test_segments_of_nulls(spark):
     assert similarity.shingle_sets(docs, 1).select("doc", "n").orderBy("doc").collect() == [(3, 2)]
     assert similarity.shingle_sets(docs.where("false")).count() == 0
     assert fingerprints.grams(docs, 3).agg(F.count(F.lit(1))).first()[0] == 4
+
+
+def test_whole_graph_queries_take_every_arc(spark, sf):
+    from sparkloom.plans import registry
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").collect()
+    full = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
+    orders = {}
+    for r in lines:
+        orders.setdefault(r.l_orderkey, []).append(r)
+    arcs = set()
+    for rows in orders.values():
+        rows.sort(key=lambda r: [r[c] for c in full])
+        arcs |= {(a.l_partkey, b.l_partkey) for a, b in zip(rows, rows[1:]) if a.l_partkey != b.l_partkey}
+    nodes = {n for a in arcs for n in a}
+    reach = closure(nodes, arcs)
+    both = closure(nodes, arcs | {(b, a) for a, b in arcs})
+    run = lambda name: registry.QUERIES[f"graph_whole_{name}"](spark, sf).collect()
+    strong = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+    size = {c: sum(s == c for s in strong.values()) for c in strong.values()}
+    assert dict(run("components")) == {n: min(both[n]) for n in nodes}
+    assert dict(run("strong_components")) == strong
+    assert dict(run("cycles")) == {c: n for c, n in size.items() if n >= 2}
+    degrees = {n: (sum(b == n for _, b in arcs), sum(a == n for a, _ in arcs), strong[n], size[strong[n]]) for n in nodes}
+    assert {r.node: (r.indeg, r.outdeg, r.component, r["size"]) for r in run("positions")} == degrees
