@@ -80,7 +80,7 @@ select a.at_unit as from_unit, b.at_unit as to_unit, cast(sum(least(a.n, b.n)) a
 from a join b using (unit) where a.at_unit <> b.at_unit and a.at_unit % 10 = b.at_unit % 10 group by all"""
 )
 def relocations(spark, d):
-    """What moved from which supplier to which, within groups of suppliers, with counts."""
+    """What moved from which supplier to which, where supplier keys agree modulo 10, as in the SQL; `relocations_whole` has all moves."""
     li = table(spark, d, "lineitem")
     early = F.col("l_shipdate") < F.expr("timestamp '1998-01-01'")
     side = lambda rows, x: rows.groupBy(F.col("l_partkey").alias("unit"), (F.col("l_suppkey") % 10).alias("g"), F.col("l_suppkey").alias(x)).agg(F.count(F.lit(1)).alias(f"n_{x}"))
@@ -89,6 +89,22 @@ def relocations(spark, d):
     return j.groupBy("from_unit", "to_unit").agg(F.sum(F.least("n_from_unit", "n_to_unit")).alias("lines"), F.count(F.lit(1)).alias("units"))
 
 
+@query(
+    """with a as (select l_partkey as unit, l_suppkey as at_unit, count(*) as n from lineitem where l_shipdate < timestamp '1998-01-01' group by all),
+b as (select l_partkey as unit, l_suppkey as at_unit, count(*) as n from lineitem where l_shipdate >= timestamp '1998-01-01' group by all)
+select a.at_unit as from_unit, b.at_unit as to_unit, cast(sum(least(a.n, b.n)) as bigint) as lines, cast(count(*) as bigint) as units
+from a join b using (unit) where a.at_unit <> b.at_unit group by all"""
+)
+def relocations_whole(spark, d):
+    """What moved from which supplier to which, between any two suppliers, with counts."""
+    li = table(spark, d, "lineitem")
+    early = F.col("l_shipdate") < F.expr("timestamp '1998-01-01'")
+    side = lambda rows, x: rows.groupBy(F.col("l_partkey").alias("unit"), F.col("l_suppkey").alias(x)).agg(F.count(F.lit(1)).alias(f"n_{x}"))
+    a, b = side(li.where(early), "from_unit"), side(li.where(~early), "to_unit")
+    j = a.join(b, "unit").where("from_unit <> to_unit")
+    return j.groupBy("from_unit", "to_unit").agg(F.sum(F.least("n_from_unit", "n_to_unit")).alias("lines"), F.count(F.lit(1)).alias("units"))
+
+
 @query(
     """with m as (select distinct l_orderkey as k from lineitem where l_returnflag = 'R' and l_quantity > 30)
 select case when o_orderstatus = 'F' and m.k is not null then 'moved' when o_orderstatus = 'F' then 'plain' else 'other' end as class, m.k is not null and o_orderstatus <> 'F' as refused, cast(count(*) as bigint) as n

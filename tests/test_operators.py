@@ -210,3 +210,14 @@ def test_whole_graph_queries_take_every_arc(spark, sf):
     assert dict(run("cycles")) == {c: n for c, n in size.items() if n >= 2}
     degrees = {n: (sum(b == n for _, b in arcs), sum(a == n for a, _ in arcs), strong[n], size[strong[n]]) for n in nodes}
     assert {r.node: (r.indeg, r.outdeg, r.component, r["size"]) for r in run("positions")} == degrees
+
+
+def test_whole_relocations_cross_supplier_groups(spark, tmp_path):
+    from datetime import datetime
+
+    from sparkloom.plans import registry
+
+    rows = [(1, 3, datetime(1997, 1, 1)), (1, 3, datetime(1997, 2, 1)), (1, 4, datetime(1998, 1, 1)), (1, 13, datetime(1998, 1, 1))]
+    spark.createDataFrame(rows, "l_partkey bigint, l_suppkey bigint, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in registry.QUERIES["relocations_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(3, 4, 1, 1), (3, 13, 1, 1)}
