@@ -46,9 +46,9 @@ def stream_sessions(spark, d):
 
 @query("select user_id, event_type, cast(count(*) > 0 as int) as warned from events where event_type = 'error' group by all")
 def stream_warn_once(spark, d):
-    """One warning for each user and kind: keyed state drops the rest."""
+    """One warning for each user and kind: keyed state drops the rest. The delay spans the table, so no row is late."""
     e = _feed(spark, d).where("event_type = 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
-    once = feeds.warn_once(e, ["user_id", "event_type"], "ts", "400 days").select("user_id", "event_type", F.lit(1).alias("warned"))
+    once = feeds.warn_once(e, ["user_id", "event_type"], "ts", feeds.whole_delay(table(spark, d, "events"), "ts")).select("user_id", "event_type", F.lit(1).alias("warned"))
     return feeds.run_to_end(once, "warn-once")
 
 
@@ -94,9 +94,11 @@ def stream_refresh(spark, d):
     on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'purchase' and b.ts >= a.ts and b.ts <= a.ts + interval 30 minutes"""
 )
 def stream_stream_join(spark, d):
-    """Purchases within half an hour of a click of the user: both sides streams, state bounded by watermarks."""
+    """Purchases within half an hour of a click of the user: both sides streams. The watermark delay spans the table: no row is late and no state that can
+    still match is dropped, in any order of files; state is bounded by the table."""
+    delay = feeds.whole_delay(table(spark, d, "events"), "ts")
     e = _feed(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    a = e.where("event_type = 'click'").select(F.col("user_id").alias("ua"), F.col("ts").alias("ta"), F.col("event_id").alias("click")).withWatermark("ta", "1 hour")
-    b = e.where("event_type = 'purchase'").select(F.col("user_id").alias("ub"), F.col("ts").alias("tb"), F.col("event_id").alias("purchase")).withWatermark("tb", "1 hour")
+    a = e.where("event_type = 'click'").select(F.col("user_id").alias("ua"), F.col("ts").alias("ta"), F.col("event_id").alias("click")).withWatermark("ta", delay)
+    b = e.where("event_type = 'purchase'").select(F.col("user_id").alias("ub"), F.col("ts").alias("tb"), F.col("event_id").alias("purchase")).withWatermark("tb", delay)
     j = a.join(b, F.expr("ua = ub and tb >= ta and tb <= ta + interval 30 minutes"))
     return feeds.run_to_end(j.select("click", "purchase"), "pairs")

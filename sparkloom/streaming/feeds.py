@@ -48,6 +48,13 @@ def each_batch(stream: DataFrame, name: str, work: Callable[[DataFrame, int], No
         raise query.exception()
 
 
+def whole_delay(rows: DataFrame, when: str) -> str:
+    """A watermark delay under which no row of the table is late, whatever the number and order of its files: newest less oldest, and a second."""
+    at = F.col(when).cast("timestamp")
+    span = rows.agg(F.unix_seconds(F.max(at)) - F.unix_seconds(F.min(at))).first()[0]
+    return f"{(span or 0) + 1} seconds"
+
+
 def warn_once(events: DataFrame, keys: list[str], when: str, delay: str) -> DataFrame:
     """The first event of each key; repeats within the watermark are dropped by keyed state."""
     return events.withWatermark(when, delay).dropDuplicatesWithinWatermark(keys)

@@ -221,3 +221,23 @@ def test_whole_relocations_cross_supplier_groups(spark, tmp_path):
     spark.createDataFrame(rows, "l_partkey bigint, l_suppkey bigint, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {tuple(r) for r in registry.QUERIES["relocations_whole"](spark, str(tmp_path)).collect()}
     assert got == {(3, 4, 1, 1), (3, 13, 1, 1)}
+
+
+@pytest.mark.parametrize("name", ["stream_stream_join", "stream_warn_once"])
+def test_streams_do_not_depend_on_the_order_of_files(spark, tmp_path, name):
+    from datetime import datetime, timedelta
+
+    from oracle import compare
+
+    from sparkloom.plans import registry
+
+    start = datetime(2020, 1, 1)
+    rows = []
+    for i in range(60):
+        t = start + timedelta(days=30 * (59 - i) // 2)  # newest first, over two years
+        rows += [[(3 * i, i % 7, "click", t, 1.0)], [(3 * i + 1, i % 7, "purchase", t + timedelta(minutes=20), 1.0)], [(3 * i + 2, i, "error", t, 1.0)]]
+    for part in range(4):  # files of their own, dealt by remainder
+        some = [r for n, x in enumerate(rows) if (n * 7 + n // 15) % 4 == part for r in x]
+        schema = "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz, value double"
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    compare(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLES[name], str(tmp_path))
