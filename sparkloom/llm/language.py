@@ -7,7 +7,8 @@ texts are parsed in step, one character of each at a time.
 
 Texts are parsed whole, in blocks of `BLOCK` characters; a phrase ends with its block.
 The fit takes at most `most_texts` texts and `most_chars` characters of each language, those of
-smallest id hash; languages themselves are not limited.
+smallest id hash; languages and letters themselves are not limited: the commonest letters of all samples index dense tables,
+the others are looked up among the transitions that exist.
 
 Defined results: null texts and texts without a letter are `und` with score 0; no labelled row makes every
 text `und`; ties go to the language first in order; repeated rows each give a row.
@@ -67,28 +68,59 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def table_of(sample: str, alphabet: dict[str, int]) -> np.ndarray:
-    """Dense transitions; where phrases must end, how many, above bit `_COUNT`, and the state that the character starts anew."""
+@dataclass
+class Table:
+    """Transitions of a language. Where phrases must end: how many, above bit `_COUNT`, and the state that the character starts anew."""
+
+    dense: np.ndarray  # by state and symbol below SYMBOLS
+    keys: np.ndarray  # state * size of the alphabet + symbol of each transition by a symbol from SYMBOLS on, ascending
+    targets: np.ndarray
+    fresh: np.ndarray  # by symbol, the entry where no transition goes on
+    root: np.ndarray  # by symbol, the entry of state 0
+
+    def look_up(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Entries for symbols from SYMBOLS on."""
+        out = np.where(state > 0, self.fresh[symbol], self.root[symbol])
+        if len(self.keys):
+            want = state.astype(np.int64) * len(self.fresh) + symbol
+            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            out = np.where(self.keys[at] == want, self.targets[at], out)
+        return out
+
+
+def table_of(sample: str, alphabet: dict[str, int]) -> Table:
+    """Symbol 0, a character unknown to all samples, continues no phrase."""
     steps = suffix_automaton([alphabet.get(c, 0) for c in sample])
+    wide = max(SYMBOLS, len(alphabet) + 1)
     table = np.full((len(steps), SYMBOLS), -1, np.int32)
+    rare = []
     for s, outs in enumerate(steps):
         for c, t in outs.items():
-            if c:  # symbol 0, a character unknown to all samples, continues no phrase
+            if c >= SYMBOLS:
+                rare.append((s * wide + c, t))
+            elif c:
                 table[s, c] = t
+    rare.sort()
+    first = np.full(wide, -1, np.int32)
+    first[:SYMBOLS] = table[0]
+    for c, t in steps[0].items():
+        first[c] = t if c else -1
     # a character that the sample lacks is a phrase of its own: it ends the one before it, if any, and itself
-    fresh = np.where(table[0] < 0, 2 << _COUNT, table[0] | (1 << _COUNT))
-    root = np.where(table[0] < 0, 1 << _COUNT, table[0])
-    table = np.where(table < 0, fresh[None], table)
-    table[0] = root
-    return table.astype(np.int32).ravel()
+    fresh = np.where(first < 0, 2 << _COUNT, first | (1 << _COUNT)).astype(np.int32)
+    root = np.where(first < 0, 1 << _COUNT, first).astype(np.int32)
+    table = np.where(table < 0, fresh[None, :SYMBOLS], table)
+    table[0] = root[:SYMBOLS]
+    keys, targets = np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32)
+    return Table(table.astype(np.int32).ravel(), keys, targets, fresh, root)
 
 
 @dataclass
 class Parser:
     names: list[str]
-    tables: list[np.ndarray]
+    tables: list[Table]
     symbols: np.ndarray  # code point (below 65536) to symbol; blanks stand for all that is no letter
     blank: int
+    beyond: dict[str, int]  # symbols of letters from code point 65536 on
 
     def codes(self, text: str) -> np.ndarray:
         """Symbols of the normalised text; empty if it has no letter."""
@@ -97,7 +129,7 @@ class Parser:
         other = points > 65535
         if other.any():
             out = out.copy()
-            out[other] = [0 if chr(c).isalpha() else self.blank for c in points[other]]
+            out[other] = [self.beyond.get(chr(c).lower()[0], 0) if chr(c).isalpha() else self.blank for c in points[other].tolist()]
         keep = out != self.blank
         if not keep.any():
             return out[:0]
@@ -110,7 +142,7 @@ class Parser:
         size = np.array([len(c) for c in codes])
         blocks = (size + BLOCK - 1) // BLOCK
         owner = np.repeat(np.arange(len(texts)), blocks)
-        flat = np.concatenate([*codes, np.zeros(BLOCK, np.uint8)])
+        flat = np.concatenate([*codes, np.zeros(BLOCK, self.symbols.dtype)])
         base = np.repeat(np.cumsum(size) - size, blocks)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = base + number * BLOCK
@@ -119,13 +151,20 @@ class Parser:
         start, long, owner = start[order], long[order], owner[order]
         active = np.searchsorted(-long, -np.arange(1, BLOCK + 1), "right")  # blocks that have a j-th character
         counts = np.zeros((len(texts), len(self.names)), np.int64)
-        columns = [flat[start[:n] + j].astype(np.int32) for j, n in enumerate(active) if n]
+        columns = []
+        for j, n in enumerate(active):
+            if n:
+                c = flat[start[:n] + j].astype(np.int32)
+                rare = np.flatnonzero(c >= SYMBOLS)
+                columns.append((np.where(c < SYMBOLS, c, 0) if len(rare) else c, rare, c[rare]))
         for k, table in enumerate(self.tables):
             state = np.zeros(len(start), np.int32)
             ended = np.zeros(len(start), np.int32)
-            for j, c in enumerate(columns):
+            for c, rare, symbol in columns:
                 n = len(c)
-                to = table[state[:n] * SYMBOLS + c]
+                to = table.dense[state[:n] * SYMBOLS + c]
+                if len(rare):
+                    to[rare] = table.look_up(state[rare], symbol)
                 ended[:n] += to >> _COUNT
                 state[:n] = to & ((1 << _COUNT) - 1)
             counts[:, k] = np.bincount(owner, ended + (state > 0), len(texts))
@@ -150,21 +189,21 @@ class Parser:
 
 
 def parser_of(samples: dict[str, str]) -> Parser:
-    """The SYMBOLS - 2 commonest letters of all samples have a symbol each; other letters share symbol 0."""
+    """Every letter of the samples has a symbol, the commonest below SYMBOLS; letters of no sample share symbol 0."""
     count: dict[str, int] = {}
     for text in samples.values():
         for c in set(text) - {" "}:
             count[c] = count.get(c, 0) + text.count(c)
-    letters = sorted(count, key=lambda c: (-count[c], c))[: SYMBOLS - 2]
+    letters = sorted(count, key=lambda c: (-count[c], c))
     alphabet = {" ": 1} | {c: i + 2 for i, c in enumerate(letters)}
-    symbols = np.ones(65536, np.uint8)
+    symbols = np.ones(65536, np.uint8 if len(alphabet) < 256 else np.uint32)
     for point in range(65536):
         c = chr(point)
         if c.isalpha():
             low = c.lower()
             symbols[point] = alphabet.get(low if len(low) == 1 else low[0], 0)
     names = sorted(samples)
-    return Parser(names, [table_of(samples[n], alphabet) for n in names], symbols, 1)
+    return Parser(names, [table_of(samples[n], alphabet) for n in names], symbols, 1, {c: i for c, i in alphabet.items() if ord(c) > 65535})
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", most_texts: int = MOST_TEXTS, most_chars: int = MOST_CHARS) -> Parser:

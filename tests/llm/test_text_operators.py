@@ -431,3 +431,28 @@ def test_pipeline(spark, folder):
     ids = {r.doc_id for r in docs.collect()}
     assert not ids & {10, 11} and len(ids & {3, 4, 18}) <= 1
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_language_knows_every_learned_letter():
+    rng = random.Random(8)
+    script = lambda first, n: "".join(chr(first + i) for i in range(n))
+    letters = {"en": script(97, 26), "ja": script(0x4E00, 300), "ko": script(0xAC00, 300), "zh": script(0x20000, 200), "zz": script(0x4E00, 300)}
+    word = lambda of: "".join(rng.choice(of) for _ in range(3))
+    vocabulary = {n: [word(of) for _ in range(60)] for n, of in letters.items()}
+    say = lambda n, k: " ".join(rng.choice(vocabulary[n]) for _ in range(k))
+    samples = {n: say(n, 900 if n == "en" else 200) for n in letters}
+    parser = language.parser_of(samples)
+    texts = [say(n, 40) for n in letters]
+    assert parser.predict([t.encode() for t in texts])[0] == list(letters)
+    for text in [*texts, texts[1] + "ॐ" + texts[3] + texts[0]]:
+        counts, _ = parser.phrases([text])
+        for k, name in enumerate(parser.names):
+            n = 0
+            for s in range(0, len(text), language.BLOCK):
+                block, i = text[s : s + language.BLOCK], 0
+                while i < len(block):
+                    j = i + 1
+                    while j < len(block) and block[i : j + 1] in samples[name]:
+                        j += 1
+                    i, n = j, n + 1
+            assert counts[0, k] == n, name
