@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,10 +131,42 @@ def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
     return dist[-1][-1] if la and lb else len(la) + len(lb)
 
 
+def large_tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> int:
+    """The same distance for large trees: a row of the table at once; what comes from the left is a running minimum."""
+    (la, fa), (lb, fb) = a, b
+    if not la or not lb:
+        return len(la) + len(lb)
+    code = {c: i for i, c in enumerate({*la, *lb})}
+    ca, cb = (np.array([code[c] for c in x]) for x in (la, lb))
+    first = np.array(fb)
+    dist = np.zeros((len(la), len(lb)), np.int32)
+    ends = sorted({f: j for j, f in enumerate(fb)}.values())
+    for i in sorted({f: i for i, f in enumerate(fa)}.values()):
+        for j in ends:
+            p, q = fa[i], fb[j]
+            at = np.arange(j - q + 2, dtype=np.int32)
+            left = first[q : j + 1] - q
+            whole = left == 0
+            w = np.empty((i - p + 2, len(at)), np.int32)
+            w[0] = at
+            for x in range(1, i - p + 2):
+                s = p + x - 1
+                best = w[fa[s] - p][left] + dist[s, q : j + 1]
+                if fa[s] == p:
+                    best = np.where(whole, w[x - 1, :-1] + (ca[s] != cb[q : j + 1]), best)
+                row = w[x - 1] + 1
+                row[1:] = np.minimum(row[1:], best)
+                w[x] = np.minimum.accumulate(row - at) + at
+                if fa[s] == p:
+                    dist[s, q : j + 1][whole] = w[x, 1:][whole]
+    return int(dist[-1, -1])
+
+
 def page_clones(pages: DataFrame, cap: int = knobs.TREE_CAP) -> DataFrame:
-    """(a, b, na, nb, distance, clone): pages of one host of near element counts, beyond `cap` nodes not judged.
+    """(a, b, na, nb, distance, clone): pages of one host of near element counts, of any size.
 
-    The size prune is a range join on counts inside a host; labels are compared before trees are.
+    The size prune is a range join on counts inside a host; equal trees are told without a search, and where both have over `cap` nodes
+    the distance is found by rows.
     """
     schema = T.StructType([T.StructField("page", T.LongType()), T.StructField("host", T.StringType()), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("leaves", T.ArrayType(T.IntegerType()))])
 
@@ -147,7 +180,7 @@ def page_clones(pages: DataFrame, cap: int = knobs.TREE_CAP) -> DataFrame:
 
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     trees = pages.select(F.col("page_id").alias("page"), host.alias("host"), "html").mapInArrow(parse, schema)
-    sized = trees.withColumn("n", F.size("labels").cast("bigint")).where(F.col("n").between(knobs.MIN_NODES, cap))
+    sized = trees.withColumn("n", F.size("labels").cast("bigint")).where(F.col("n") >= knobs.MIN_NODES)
     a, b = sized.alias("a"), sized.alias("b")
     num, den = knobs.SIZE_RATIO
     near = (F.col("a.page") < F.col("b.page")) & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
@@ -157,10 +190,15 @@ def page_clones(pages: DataFrame, cap: int = knobs.TREE_CAP) -> DataFrame:
     )
     out = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "na", "nb", "distance")])
 
+    def distance(x, y):
+        if x == y:
+            return 0
+        return (large_tree_distance if min(len(x[0]), len(y[0])) > cap else tree_distance)(x, y)
+
     def judge(batches):
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("la", "fa", "lb", "fb")]
-            d = [tree_distance((p, q), (r, s)) for p, q, r, s in zip(*cols)]
+            d = [distance((p, q), (r, s)) for p, q, r, s in zip(*cols)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(d, pa.int64())], names=out.names)
 
     tn, td = knobs.TREE_RATIO

@@ -241,3 +241,16 @@ def test_streams_do_not_depend_on_the_order_of_files(spark, tmp_path, name):
         schema = "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz, value double"
         spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     compare(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLES[name], str(tmp_path))
+
+
+def test_large_pages_are_judged(spark):
+    every = [t for n in (1, 2, 3) for t in trees(n)]
+    for a, b in itertools.product(every, every):
+        assert edits.large_tree_distance(post(a), post(b)) == forest_distance(a, b)
+    row = "<tr>" + "<td><b>x</b></td>" * 3 + "</tr>"
+    page = "<html><body><table>" + row * 42 + "</table></body></html>"  # 297 elements, and a root
+    other = page.replace("<b>x</b>", "<i>x</i>", 2).replace("</table>", "<tr></tr></table>")
+    pages = [(1, "http://h/a", page), (2, "http://h/b", page), (3, "http://h/c", other)]
+    got = edits.page_clones(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert {(r.a, r.b): (r.na, r.nb, r.distance, r.clone) for r in got} == {(1, 2): (298, 298, 0, True), (1, 3): (298, 299, 3, True), (2, 3): (298, 299, 3, True)}
+    assert edits.tree_distance(edits.post_order(page), edits.post_order(other)) == 3
