@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import knobs
 from sparkloom.functions import exact
-from sparkloom.operators.similarity import capped_pairs
+from sparkloom.operators.similarity import all_pairs, capped_pairs
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import table
 
@@ -39,12 +39,16 @@ select a, b, cast(min(pa) as bigint) as pa, cast(min(pb) as bigint) as pb, cast(
 )
 def moved_blocks(spark, d):
     """Runs of equal lines between documents; two distinct lines and one wide anchor make a block. Lines in many documents are chained."""
+    return _moved(spark, d, capped_pairs)
+
+
+def _moved(spark, d, paired):
     t = table(spark, d, "documents").select(
         F.col("doc_id").alias("doc"), F.posexplode(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x))).alias("p", "line")
     )
     width = F.length(F.regexp_replace("line", r"[^\p{L}\p{N}]", ""))
     keyed = t.select("doc", F.col("p").cast("bigint").alias("p"), F.md5(F.col("line").cast("binary")).alias("h"), width.alias("width")).where("width > 0")
-    hit = capped_pairs(keyed, "h", ["doc", "p"]).where("a.doc < b.doc").select(
+    hit = paired(keyed, "h", ["doc", "p"]).where("a.doc < b.doc").select(
         F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), F.col("a.p").alias("pa"), F.col("b.p").alias("pb"), F.col("a.width").alias("width"), F.col("a.h").alias("h")
     )
     lane = hit.withColumn("lane", F.col("pb") - F.col("pa"))
@@ -58,6 +62,18 @@ def moved_blocks(spark, d):
     ).drop("lane", "i")
 
 
+@query(
+    f"""with {_DOC_LINES}, r as (select *, row_number() over (partition by line order by doc, p) as rn from w where width > 0),
+hit as (select a.doc as a, b.doc as b, a.p as pa, b.p as pb, a.width, a.line from r a join r b on a.line = b.line and a.rn < b.rn and a.doc < b.doc),
+isl as (select *, pb - pa as lane, pa - row_number() over (partition by a, b, pb - pa order by pa) as i from hit)
+select a, b, cast(min(pa) as bigint) as pa, cast(min(pb) as bigint) as pb, cast(count(*) as bigint) as n, cast(max(width) as bigint) as widest,
+    count(distinct line) >= {knobs.MOVE_LINES} and max(width) >= {knobs.MOVE_ANCHOR} as is_block from isl group by a, b, lane, i"""
+)
+def moved_blocks_whole(spark, d):
+    """Runs of equal lines with all places of every line paired: no run breaks at a common line. Quadratic in a line's places."""
+    return _moved(spark, d, all_pairs)
+
+
 @query(
     f"""with {_TURNS}, c as (select conv_id, turn, count(*) filter (width > 0) as n, count(distinct line) filter (width > 0) as kinds from w group by all),
 p as (select conv_id, turn, n, kinds, n - lag(n) over (partition by conv_id order by turn) as grown from c)

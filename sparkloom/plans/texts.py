@@ -139,8 +139,11 @@ isl as (select *, pb - pa as lane, pa - row_number() over (partition by a, b, pb
 runs as (select a, b, min(pa) as pa, min(pb) as pb, count(*) + {knobs.KGRAM - 1} as tokens, count(distinct h) as n_distinct from isl group by a, b, lane, i)"""
 
 
-def _clone_runs(spark, d):
-    return fp.clone_runs(fp.grams(table(spark, d, "documents"), knobs.KGRAM), knobs.KGRAM)
+_WHOLE_RUNS = _RUNS.replace(f"(a.n <= {knobs.HOT_CAP} or b.rn = a.rn + 1) and ", "")
+
+
+def _clone_runs(spark, d, cap=knobs.HOT_CAP):
+    return fp.clone_runs(fp.grams(table(spark, d, "documents"), knobs.KGRAM), knobs.KGRAM, cap)
 
 
 @query(
@@ -162,18 +165,35 @@ def clone_blocks(spark, d):
 )
 def clone_near_misses(spark, d):
     """How many runs pass, lack variety, or are near misses."""
+    return _counted(_clone_runs(spark, d))
+
+
+def _counted(runs):
     t, v = F.col("tokens"), F.col("n_distinct")
-    return _clone_runs(spark, d).agg(
+    return runs.agg(
         F.count_if((t >= knobs.RUN_TOKENS) & (v >= knobs.MIN_DISTINCT)).alias("blocks"),
         F.count_if((t >= knobs.RUN_TOKENS) & (v < knobs.MIN_DISTINCT)).alias("suppressed"),
         F.count_if((t >= knobs.NEAR_MISS) & (t < knobs.RUN_TOKENS)).alias("near_misses"),
     )
 
 
+@query(
+    f"""with {_WHOLE_RUNS} select cast(count(*) filter (tokens >= {knobs.RUN_TOKENS} and n_distinct >= {knobs.MIN_DISTINCT}) as bigint) as blocks,
+    cast(count(*) filter (tokens >= {knobs.RUN_TOKENS} and n_distinct < {knobs.MIN_DISTINCT}) as bigint) as suppressed,
+    cast(count(*) filter (tokens >= {knobs.NEAR_MISS} and tokens < {knobs.RUN_TOKENS}) as bigint) as near_misses from runs"""
+)
+def clone_near_misses_whole(spark, d):
+    """The same counts with all places of every gram paired."""
+    return _counted(_clone_runs(spark, d, None))
+
+
 @query()
 def clone_groups(spark, d):
     """Groups of documents connected by clone blocks: members, blocks, longest run. Small star and large star rounds."""
-    blocks = clone_blocks(spark, d)
+    return _grouped(clone_blocks(spark, d))
+
+
+def _grouped(blocks):
     label = graph.components(blocks.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     size = label.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     best = blocks.join(label, blocks["a"] == label["node"]).groupBy("component").agg(
@@ -182,6 +202,24 @@ def clone_groups(spark, d):
     return size.join(best, "component")
 
 
+@query(
+    f"""with {_WHOLE_RUNS} select a, b, cast(pa as bigint) as pa, cast(pb as bigint) as pb, cast(tokens as bigint) as tokens, cast(n_distinct as bigint) as n_distinct
+from runs x where tokens >= {knobs.RUN_TOKENS} and n_distinct >= {knobs.MIN_DISTINCT} and not exists (
+    select 1 from runs y where x.a = y.a and x.b = y.b and y.tokens > x.tokens and y.pa <= x.pa and y.pa + y.tokens >= x.pa + x.tokens
+        and y.pb <= x.pb and y.pb + y.tokens >= x.pb + x.tokens)"""
+)
+def clone_blocks_whole(spark, d):
+    """Clone blocks with all places of every gram paired: no run breaks at a common passage. Quadratic in a gram's places."""
+    runs = fp.dominant(_clone_runs(spark, d, None))
+    return runs.where((F.col("tokens") >= knobs.RUN_TOKENS) & (F.col("n_distinct") >= knobs.MIN_DISTINCT))
+
+
+@query()
+def clone_groups_whole(spark, d):
+    """Groups of documents connected by clone blocks, with all places of every gram paired."""
+    return _grouped(clone_blocks_whole(spark, d))
+
+
 _LINES = """ln as (select doc_id as doc, unnest(range(1, len(l) + 1)) as p, unnest(l) as line
     from (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)) as l from documents)),
 sig as (select doc, p, line, length(regexp_replace(line, '[^\\p{L}\\p{N}]', '', 'g')) as width from ln)"""

@@ -254,3 +254,28 @@ def test_large_pages_are_judged(spark):
     got = edits.page_clones(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
     assert {(r.a, r.b): (r.na, r.nb, r.distance, r.clone) for r in got} == {(1, 2): (298, 298, 0, True), (1, 3): (298, 299, 3, True), (2, 3): (298, 299, 3, True)}
     assert edits.tree_distance(edits.post_order(page), edits.post_order(other)) == 3
+
+
+def test_whole_clone_runs_pass_common_passages(spark, tmp_path):
+    from sparkloom.plans import registry
+
+    say = lambda kind, n: " ".join(f"{kind}{i}" for i in range(n))
+    common = say("c", 40)
+    pair = f"{say('left', 40)} {common} {say('right', 40)}"
+    rows = [(1, pair), (100, pair), *((i, f"{common} {say(f'o{i}x', 5)}") for i in range(2, 72))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in registry.QUERIES["clone_blocks_whole"](spark, str(tmp_path)).collect()]
+    assert got == [(1, 100, 0, 0, 120, 96)]
+    assert [(r.members, r.tokens) for r in registry.QUERIES["clone_groups_whole"](spark, str(tmp_path)).collect()] == [(2, 120)]
+    capped = registry.QUERIES["clone_blocks"](spark, str(tmp_path)).collect()
+    assert (1, 100, 0, 0, 120, 96) not in [tuple(r) for r in capped]
+
+
+def test_whole_moved_blocks_pass_common_lines(spark, tmp_path):
+    from sparkloom.plans import registry
+
+    pair = "a line of the left side only\na common line in all documents\na line of the right side only"
+    rows = [(1, pair), (100, pair), *((i, f"a common line in all documents\nown {i}") for i in range(2, 72))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in registry.QUERIES["moved_blocks_whole"](spark, str(tmp_path)).where("a = 1 and b = 100").collect()]
+    assert got == [(1, 100, 0, 0, 3, 25, True)]
