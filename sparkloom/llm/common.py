@@ -1,11 +1,13 @@
 """Pieces shared by the text operators: shipping code, cutting Arrow batches, folding bytes.
 
-Texts travel as UTF-8 bytes. A null text counts as empty everywhere. Operators
-select only the columns they need, so extra columns of any name do no harm.
+Texts travel as UTF-8 bytes. A null text counts as empty everywhere. Columns that ride along are packed into one struct
+with names of its own, so extra columns of any name do no harm; one that has the name of an operator's result is
+replaced by it.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -22,8 +24,8 @@ from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a task; numpy temporaries are a small multiple of it.
 SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch; texts of ordinary length then make about ten MB.
-BATCH_ROWS = 4000
+#: Bytes of an Arrow batch, whatever its rows hold; a longer row stands alone.
+BATCH_BYTES = 4 << 20
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -36,10 +38,15 @@ SPACE_FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Give executors this package, once a session, so that no shared folder or installation is needed; bound Arrow batches."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
+    """Give executors this package, once a session, so that no shared folder or installation is needed.
+
+    The session's bound on the bytes of an Arrow batch is lowered to `BATCH_BYTES` where it is larger; plans are made when a caller
+    acts on them, so that bound has to stay. Rows alone do not bound a batch of long texts.
+    """
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(most, None)
+    if have is None or not have.isdigit() or int(have) > BATCH_BYTES:
+        spark.conf.set(most, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_loom_shipped", False):
         return
@@ -52,10 +59,33 @@ def ship_code(spark: SparkSession) -> None:
     sc._loom_shipped = True
 
 
+def share(spark: SparkSession, value):
+    """Broadcast a value of bounded size; `let_go` frees it on the executors."""
+    shared = spark.sparkContext.broadcast(value)
+    spark.sparkContext.__dict__.setdefault("_loom_shared", []).append(shared)
+    return shared
+
+
+def let_go(spark: SparkSession) -> None:
+    """Free what was broadcast so far on executors. A plan that still needs it fetches it again from the driver."""
+    for shared in spark.sparkContext.__dict__.pop("_loom_shared", ()):
+        shared.unpersist()
+
+
+def tidy() -> None:
+    """At the end of a task: give freed memory back, as Python workers live on and JVM and workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a local folder is set only where that setting is absent."""
+    """A new path under spark.checkpoint.dir. A local folder stands in only where that setting is absent and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark.sparkContext, "_loom_folder", None) or tempfile.mkdtemp(prefix="loom-shared-")
         spark.sparkContext._loom_folder = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -74,7 +104,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the folder of a materialised step that nothing reads any more."""
+    path = df._loom_path
+    jvm = df.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -94,8 +134,33 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start)
 
 
+def as_bytes(column: pa.Array) -> pa.Array:
+    """The same buffers, as bytes."""
+    return column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) else column.cast(pa.binary())
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    return [x or b"" for x in batch.column(column).to_pylist()]
+    return [x or b"" for x in as_bytes(batch.column(column)).to_pylist()]
+
+
+def column(name: str):
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, keep: Sequence[str], **more) -> DataFrame:
+    """One struct, `kept`, of the columns that ride along, beside `more`, whose names hence cannot clash with theirs."""
+    return df.select(F.struct(F.lit(None).alias("none"), *(column(k).alias(f"k{i}") for i, k in enumerate(keep))).alias("kept"), *(c.alias(n) for n, c in more.items()))
+
+
+def unpacked(df: DataFrame, keep: Sequence[str], *more) -> DataFrame:
+    """The columns that ride along, under their own names, then `more`."""
+    return df.select(*(F.col(f"kept.k{i}").alias(k) for i, k in enumerate(keep)), *more)
+
+
+def kept_field(df: DataFrame) -> T.StructField:
+    """The field of `kept` in a schema of results."""
+    return df.schema["kept"]
 
 
 def map_texts(
@@ -106,20 +171,31 @@ def map_texts(
     text: str = "text",
     most: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Add columns computed from whole texts. `make` runs once a task and gives a function of a list of texts of about `most` bytes."""
+    """Add columns computed from whole texts. `make` runs once a task and gives a function of a list of texts of about `most` bytes.
+
+    Columns of `keep` that have the name of a result are replaced by the result.
+    """
     ship_code(df.sparkSession)
-    names = [*keep, *(f.name for f in fields)]
-    schema = T.StructType([*(df.schema[k] for k in keep), *fields])
+    taken = {f.name.lower() for f in fields}
+    keep = [k for k in keep if k.lower() not in taken]
+    inside = keep.index(text) if text in keep else -1
+    sent = packed(df, keep) if inside >= 0 else packed(df, keep, text=column(text).cast("string"))
+    inside = inside if inside < 0 or isinstance(df.schema[text].dataType, T.StringType) else None
+    if inside is None:
+        sent, inside = packed(df, keep, text=column(text).cast("string")), -1
+    schema = T.StructType([kept_field(sent), *fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, "__text", most):
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in keep), *work(texts_of(part, "__text"))], names=names
-                )
-
-    return df.select(*keep, F.encode(F.col(text), "UTF-8").alias("__text")).mapInArrow(run, schema)
+            texts = batch.column("text") if inside < 0 else batch.column("kept").field(inside + 1)
+            whole = pa.RecordBatch.from_arrays([batch.column("kept"), as_bytes(texts)], names=["kept", "text"])
+            for part in slices(whole, "text", most):
+                yield pa.RecordBatch.from_arrays([part.column("kept"), *work(texts_of(part))], names=schema.names)
+        del work
+        tidy()
+
+    return unpacked(sent.mapInArrow(run, schema), keep, *(F.col(f.name) for f in fields))
 
 
 def field(name: str, kind: str) -> T.StructField:

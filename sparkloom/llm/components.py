@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise, ship_code
+from sparkloom.llm.common import materialise, remove, ship_code, tidy
+
+#: Nodes of more edges are hubs. There are at most `MOST_HUBS` of them: with more edges the limit grows.
+HUB_EDGES, MOST_HUBS = 500, 100_000
 
 
 def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +58,7 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = spanning(a, b)
     a, b = spanning(a, b)
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
+    tidy()
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
@@ -62,7 +66,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
 
     Rounds alternate between the large star (each node's larger neighbours move to its smallest
     neighbour) and the small star, which converge in a logarithmic number of rounds. A hub's
-    neighbours are reduced to a minimum by a partial aggregate, never gathered in a list.
+    neighbours are reduced to a minimum by a partial aggregate, never gathered in a list; its edges
+    are labelled by a broadcast of at most `MOST_HUBS` hubs, never sent to one task.
     """
     spark = edges.sparkSession
     ship_code(spark)
@@ -72,13 +77,21 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
     now = materialise(pairs.mapInArrow(_contract, "src bigint, dst bigint"), "edges")
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select(
-            F.col("src").alias("node"), F.least("src", "m").alias("m")
+        least = both.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n")).select(
+            F.col("src").alias("node"), F.least("src", "m").alias("m"), "n"
         )
+        least = materialise(least, "least")
+        # nodes of more edges than this are so few that they can be broadcast; their edges then stay where they are
+        hub = max(HUB_EDGES, -(-2 * now.count() // MOST_HUBS))
+        hubs, others = F.broadcast(least.where(F.col("n") > hub)), least.where(F.col("n") <= hub)
+        hub_src = hubs.select(F.col("node").alias("src"), F.col("m").alias("hs"))
+        hub_dst = hubs.select(F.col("node").alias("dst"), F.col("m").alias("hd"))
+        marked = now.join(hub_src, "src", "left").join(hub_dst, "dst", "left")
         # every edge (u, v) with u > v: u goes to the least label around v, and v to the one around u
-        labelled = now.join(least.select(F.col("node").alias("src"), F.col("m").alias("ms")), "src").join(
-            least.select(F.col("node").alias("dst"), F.col("m").alias("md")), "dst"
-        )
+        of_src = marked.where("hs is null").join(others.select(F.col("node").alias("src"), F.col("m").alias("ms")), "src")
+        half = of_src.select("src", "dst", "hd", "ms").unionByName(marked.where("hs is not null").select("src", "dst", "hd", F.col("hs").alias("ms")))
+        of_dst = half.where("hd is null").join(others.select(F.col("node").alias("dst"), F.col("m").alias("md")), "dst")
+        labelled = of_dst.select("src", "dst", "ms", "md").unionByName(half.where("hd is not null").select("src", "dst", "ms", F.col("hd").alias("md")))
         m = F.least("ms", "md")
         moved = labelled.select(
             F.explode(
@@ -93,6 +106,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         after = materialise(
             moved.where("src <> dst").distinct().mapInArrow(_contract, "src bigint, dst bigint"), "edges"
         )
+        remove(now)
+        remove(least)
         # done when every node has one edge, to a node that has none of its own
         roots = after.select(F.col("dst").alias("src")).distinct().join(after, "src", "left_semi")
         more = after.groupBy("src").count().where("count > 1").select("src")
