@@ -5,13 +5,16 @@ always stay. Lines are alike when the sets of their 8-character shingles (a shor
 Jaccard similarity of 0.8 or more. Of each component of alike lines the first stays, by doc_id, then line number; all
 others are removed, wherever they stand.
 
-Exact copies are folded first, by a partial aggregate over 64-bit hashes. Three minima form a band and eight bands a
-signature: a pair at similarity 0.8 shares a band with probability 0.997, at 0.9 with 0.99997. What shares a band is
-compared exactly; a band group of over `TILE` distinct lines is dealt out as pairs of tiles, so that no
-line is left out and no task gets a whole hot group.
+Exact copies are folded first, by a partial aggregate over 128-bit hashes. Three minima form a band and eight bands a
+signature: a pair at similarity 0.8 shares a band with probability 0.997, at 0.9 with 0.99997. Band members arrive sorted and
+stream through; a group of over `TILE` distinct lines leaves as tiles, whose pairs are dealt out by a join, so that no
+line is left out and no task holds a whole hot group. Lines that share a band are compared exactly: a bit sketch of each
+shingle set bounds the overlap from above and rules out most pairs, the rest count common shingles.
 
 Defined results: null texts stay null and empty ones empty; rows with null doc_id stay as they are and have no say;
-rows of one doc_id and one text get the same result; an empty table gives none.
+rows of one doc_id and one text get the same result; rows of one doc_id with different texts are documents of their own, in
+order of a hash of the text; lines and texts may be of any length; an empty table gives none. Columns of docs named n_lines
+or n_removed are replaced by the results.
 """
 
 from __future__ import annotations
@@ -22,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import field, materialise, partitions, ship_code, slices, texts_of
-from sparkloom.llm.components import components, spanning
+from sparkloom.llm.common import as_bytes, column, field, kept_field, materialise, packed, partitions, ship_code, slices, texts_of, tidy, unpacked
+from sparkloom.llm.components import components, spanning, union
 
 SHINGLE, ROWS, BANDS = 8, 3, 8
 #: Similarity of 4/5, as whole numbers.
 ALIKE = (4, 5)
-TILE = 256
+#: Lines of a tile, and their bytes; a longer line makes a tile of its own.
+TILE, TILE_BYTES = 1024, 1 << 20
+#: Bits of a sketch.
+SKETCH = 256
 _BLANKS = b" \t\r\x0b\x0c"
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _RNG = np.random.default_rng(20)
@@ -41,14 +47,14 @@ def lines_of(text: bytes) -> list[bytes]:
 
 
 def line_hashes(lines: list[bytes]) -> np.ndarray:
-    """Signed 64-bit hashes."""
+    """Signed 128-bit hashes, in two columns."""
     import xxhash
 
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.int64).reshape(-1, 2)
 
 
 def shingles(line: bytes) -> set[str]:
-    text = line.decode("utf-8")
+    text = line.decode("utf-8", "replace")
     return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
 
 
@@ -60,7 +66,7 @@ def alike(a: set[str], b: set[str]) -> bool:
 def band_keys(lines: list[bytes]) -> np.ndarray:
     """Signed 64-bit keys, a row for each line and a column for each band."""
     out = np.zeros((len(lines), BANDS), np.uint64)
-    step = max(1, 1 << 18)
+    step = 1 << 15  # numbers of so many letters stay in a cache
     at, total = 0, 0
     sizes = [len(x) for x in lines]
     for i, n in enumerate(sizes):
@@ -72,7 +78,7 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
 
 
 def _some_keys(lines: list[bytes]) -> np.ndarray:
-    texts = [x.decode("utf-8").ljust(SHINGLE, "\0") for x in lines]
+    texts = [x.decode("utf-8", "replace").ljust(SHINGLE, "\0") for x in lines]
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     size = np.array([len(t) for t in texts])
     count = size - SHINGLE + 1
@@ -100,217 +106,380 @@ def _some_keys(lines: list[bytes]) -> np.ndarray:
     return out
 
 
-def _locate(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(h, doc, line) of every line that is not blank."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = part.column("doc").to_numpy(zero_copy_only=False)
-                lines = [lines_of(t) for t in texts_of(part)]
-                count = np.array([len(x) for x in lines])
-                flat = [y for x in lines for y in x]
-                h = line_hashes(flat)
-                doc = np.repeat(ids, count)
-                number = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
-                full = np.fromiter(map(bool, flat), bool, len(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[full]), pa.array(doc[full]), pa.array(number[full].astype(np.int32))], names=["h", "doc", "line"]
-                )
-
-    source = docs.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(id_column).cast("bigint").alias("doc"), F.encode(F.col(text), "UTF-8").alias("text")
+def _source(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(doc, th, text) of rows that have a say; th tells texts of one doc apart."""
+    have = docs.where(column(id_column).isNotNull() & column(text).isNotNull())
+    return have.select(
+        column(id_column).cast("bigint").alias("doc"), F.xxhash64(column(text)).alias("th"), column(text).cast("binary").alias("text")
     )
-    return source.mapInArrow(run, "h bigint, doc bigint, line int")
 
 
-def _bands(docs: DataFrame, text: str) -> DataFrame:
-    """(key, h), each once a batch."""
+def _locate(batches):
+    """(h, h2, doc, th, line) of every line that is not blank."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            lines = [lines_of(t) for t in texts_of(part)]
+            count = np.array([len(x) for x in lines])
+            flat = [y for x in lines for y in x]
+            h = line_hashes(flat)
+            number = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+            full = np.fromiter(map(bool, flat), bool, len(flat))
+            doc, th = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), count)[full] for c in ("doc", "th"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[full, 0]), pa.array(h[full, 1]), pa.array(doc), pa.array(th), pa.array(number[full].astype(np.int32))],
+                names=["h", "h2", "doc", "th", "line"],
+            )
+    tidy()
+
+
+def _bands(batches):
+    """(key, h, size), each line once a slice."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            only = list({y for t in texts_of(part) for y in lines_of(t)} - {b""})
+            if not only:
+                continue
+            keys = band_keys(only)
+            h = np.repeat(line_hashes(only)[:, 0], BANDS)
+            size = np.repeat(np.fromiter(map(len, only), np.int64, len(only)), BANDS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel()), pa.array(h), pa.array(np.minimum(size, 2**31 - 1).astype(np.int32))], names=["key", "h", "size"]
+            )
+    tidy()
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                only = list({y for t in texts_of(part) for y in lines_of(t)} - {b""})
-                if not only:
-                    continue
-                keys = band_keys(only)
-                h = np.repeat(line_hashes(only), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(h)], names=["key", "h"])
 
-    return docs.where(F.col(text).isNotNull()).select(F.encode(F.col(text), "UTF-8").alias("text")).mapInArrow(
-        run, "key bigint, h bigint"
-    )
+_GROUP = "g bigint, g2 bigint, tile int, h array<bigint>"
 
 
 def _groups(batches):
-    """Distinct lines that share a band: (group, members), large groups as pairs of tiles."""
-    keys, lines, waiting = [], [], 0
-
-    def fold():
-        k, h = np.concatenate(keys), np.concatenate(lines)
-        order = np.lexsort((h, k))
-        k, h = k[order], h[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
-        return k[new], h[new]
-
-    for batch in batches:
-        keys.append(batch.column(0).to_numpy())
-        lines.append(batch.column(1).to_numpy())
-        waiting += batch.num_rows
-        if waiting > 2_000_000:
-            k, h = fold()
-            keys, lines, waiting = [k], [h], 0
-    if not keys:
-        return
-    k, h = fold()
-    edge = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k)) if len(k) else np.zeros(1, np.int64)
-    sets: list[np.ndarray] = []
-    for i in np.flatnonzero(np.diff(edge) > 1).tolist():
-        members = h[edge[i] : edge[i + 1]]
-        if len(members) <= 2 * TILE:
-            sets.append(members)
+    """Sorted by key, h: distinct lines that share a band, as whole groups (tile -1), named by their members, or as tiles of one."""
+    held: np.ndarray | None = None  # rows of the last group, which may go on: key, h, size
+    sent = 0  # tiles of that group that have left
+    for batch in _and_end(batches):
+        rows = held
+        if batch is not None:
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "h", "size")], 1)
+            rows = new if held is None else np.concatenate([held, new])
+        if rows is None or not len(rows):
             continue
-        tiles = [members[j : j + TILE] for j in range(0, len(members), TILE)]
-        sets += [np.concatenate([tiles[a], tiles[b]]) for a in range(len(tiles)) for b in range(a + 1, len(tiles))]
-        if len(sets) > 5000:
-            yield _sets(sets)
-            sets = []
-    if sets:
-        yield _sets(sets)
-
-
-def _sets(sets: list[np.ndarray]) -> pa.RecordBatch:
-    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-    flat = np.concatenate(sets)
-    mixed = (flat.view(np.uint64) ^ (flat.view(np.uint64) >> np.uint64(29))) * _MIX
-    name = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), ends[:-1])  # of the set, whatever band it came from
+        first = np.ones(len(rows), bool)
+        first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+        rows = rows[first]
+        start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        edge = np.append(start, len(rows))
+        count, size = np.diff(edge), np.add.reduceat(rows[:, 2], start)
+        last = len(start) - 1
+        small = (count > 1) & (count <= TILE) & (size <= TILE_BYTES)
+        small[0] &= not sent
+        large = (count > 1) & ~small
+        large[0] |= bool(sent)
+        tiles: list[tuple[int, np.ndarray]] = []
+        held = None
+        if batch is not None:  # the last group waits for more
+            small[last] = large[last] = False
+        for i in np.flatnonzero(large).tolist():
+            mine = rows[edge[i] : edge[i + 1]]
+            cuts = _cuts(mine[:, 2])
+            tiles += [((sent if i == 0 else 0) + t, mine[a:b]) for t, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        if batch is not None:
+            mine = rows[edge[last] :]
+            cuts = _cuts(mine[:, 2]) if count[last] > TILE or size[last] > TILE_BYTES else [0, len(mine)]
+            before = sent if last == 0 else 0
+            tiles += [(before + t, mine[a:b]) for t, (a, b) in enumerate(zip(cuts, cuts[1:-1]))]
+            sent, held = before + len(cuts) - 2, mine[cuts[-2] :]
+        if small.any() or tiles:
+            yield _sets(rows[np.repeat(small, count)], count[small], tiles)
+    tidy()
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def _cuts(size: np.ndarray) -> list[int]:
+    """Edges of tiles."""
+    out, total = [0], 0
+    for i, n in enumerate(size.tolist()):
+        if i > out[-1] and (i - out[-1] >= TILE or total + n > TILE_BYTES):
+            out.append(i)
+            total = 0
+        total += n
+    return [*out, len(size)]
+
+
+def _sets(rows: np.ndarray, count: np.ndarray, tiles: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    flat = np.concatenate([rows, *(t for _, t in tiles)])
+    sizes = np.concatenate([count, np.array([len(t) for _, t in tiles], np.int64)])
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    both = np.ascontiguousarray(flat[:, 1]).view(np.uint64)
+    names = []
+    for shift in (29, 31):  # a set is named by its members, whatever band it came from
+        mixed = (both ^ (both >> np.uint64(shift))) * _MIX
+        names.append(np.add.reduceat(mixed ^ (mixed >> np.uint64(shift)), ends[:-1]).view(np.int64).copy())
+    tile = np.full(len(sizes), -1, np.int32)
+    for i, (t, mine) in enumerate(tiles, len(count)):
+        tile[i] = t
+        names[0][i] = names[1][i] = mine[0, 0]
     return pa.RecordBatch.from_arrays(
-        [pa.array(name.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["g", "members"]
+        [
+            pa.array(names[0]),
+            pa.array(names[1]),
+            pa.array(tile),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(both.view(np.int64))),
+        ],
+        names=["g", "g2", "tile", "h"],
     )
 
 
-def _verify(batches):
-    """Exact comparison inside each group; pairs that are connected already are not compared again."""
-    group, held = None, {}
-    a: list[int] = []
-    b: list[int] = []
-
-    def run():
-        names = sorted(held)
-        sets = [shingles(held[n]) for n in names]
-        size = [len(s) for s in sets]
-        order = sorted(range(len(names)), key=size.__getitem__)
-        root = list(range(len(names)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for p, i in enumerate(order):
-            for j in order[p + 1 :]:
-                if size[i] * ALIKE[1] < size[j] * ALIKE[0]:
-                    break
-                x, y = find(i), find(j)
-                if x != y and alike(sets[i], sets[j]):
-                    root[y] = x
-                    a.append(names[i])
-                    b.append(names[j])
+class Shingles:
+    """Distinct shingles of many lines, as numbers, line after line; equal numbers are equal shingles."""
+
+    def __init__(self, lines: list[bytes]):
+        texts = [x.decode("utf-8", "replace").ljust(SHINGLE, "\0") for x in lines]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        letters = np.zeros(0x110000, bool)
+        letters[points] = True
+        code = (np.cumsum(letters) - 1)[points].astype(np.uint64)  # dense, so that few bits hold a letter
+        bits = max(1, int(letters.sum() - 1).bit_length())
+        inside = np.ones(len(points), bool)
+        ends = np.cumsum(size)
+        for k in range(1, SHINGLE):
+            inside[ends - k] = False
+        at = np.flatnonzero(inside)
+        owner = np.repeat(np.arange(len(lines)), size - SHINGLE + 1)
+        if SHINGLE * bits < 64:  # a shingle's letters fit a number, beside some bits for the line
+            width, word = 1, code
+            while width < SHINGLE:  # numbers of twice the letters from those before
+                word = (word[:-width] << np.uint64(width * bits)) | word[width:]
+                width *= 2
+            number, self.bits = word[at], SHINGLE * bits
+        else:
+            each, number = 64 // bits, np.zeros(len(at), np.int64)
+            for first in range(0, SHINGLE, each):  # the letters of a shingle, as many as fit a word, then numbered anew
+                word = np.zeros(len(at), np.uint64)
+                for k in range(first, min(SHINGLE, first + each)):
+                    word = (word << np.uint64(bits)) | code[at + k]
+                found, mine = np.unique(word, return_inverse=True)
+                number = mine if not first else np.unique(number * len(found) + mine, return_inverse=True)[1]
+            number, self.bits = number.astype(np.uint64), max(1, int(number.max()).bit_length())
+        self.owner, self.number = self._sorted(owner, number)
+        new = np.append(True, (self.number[1:] != self.number[:-1]) | (self.owner[1:] != self.owner[:-1]))
+        self.owner, self.number = self.owner[new], self.number[new]
+        self.size = np.bincount(self.owner, minlength=len(lines))
+        self.start = np.cumsum(self.size) - self.size
+        spread = (self.number + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        spread = ((spread ^ (spread >> np.uint64(32))) * _MIX) >> np.uint64(64 - SKETCH.bit_length() + 1)
+        odd = np.bincount(self.owner * SKETCH + spread.astype(np.int64), minlength=len(lines) * SKETCH) & 1
+        self.sketch = np.packbits(odd.astype(np.uint8).reshape(len(lines), SKETCH), axis=1).view(np.uint64)
+
+    def _sorted(self, owner: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in order by owner; owners come ascending, from 0, and as many are sorted at once as fit beside the number's bits."""
+        some = 1 << min(62 - self.bits, 20) if self.bits < 62 else 1
+        out = np.empty_like(number)
+        most = int(owner[-1]) + 1 if len(owner) else 0
+        edge = np.searchsorted(owner, np.arange(0, most + some, some))
+        low = np.uint64((1 << self.bits) - 1)
+        for k, (a, b) in enumerate(zip(edge, edge[1:])):
+            key = ((owner[a:b] - k * some).astype(np.uint64) << np.uint64(self.bits)) | number[a:b]
+            key.sort()
+            out[a:b] = key & low
+        return owner, out  # as many numbers of each owner as before, so owners stay where they are
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """False where sizes or sketches show that lines i and j cannot be alike: bits that differ are shingles of one line only."""
+        a, b = self.size[i], self.size[j]
+        apart = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(1, dtype=np.int64)
+        total, most = ALIKE[0] + ALIKE[1], ALIKE[1] - ALIKE[0]
+        return (np.minimum(a, b) * ALIKE[1] >= np.maximum(a, b) * ALIKE[0]) & (apart * total <= most * (a + b))
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The exact comparison, by counting common shingles, some pairs at a time."""
+        out = np.zeros(len(i), bool)
+        sizes = self.size[i] + self.size[j]
+        for a, b in _stretches(sizes, 1 << 20):
+            both = np.stack([i[a:b], j[a:b]], 1).ravel()  # the two lines of a pair after each other
+            size = self.size[both]
+            at = np.arange(size.sum()) + np.repeat(self.start[both] - (np.cumsum(size) - size), size)
+            pair, number = self._sorted(np.repeat(np.arange(len(both)) // 2, size), self.number[at])
+            twice = (number[1:] == number[:-1]) & (pair[1:] == pair[:-1])
+            common = np.bincount(pair[1:][twice], minlength=b - a)
+            out[a:b] = common * ALIKE[1] >= ALIKE[0] * (sizes[a:b] - common)
+        return out
+
+
+def _stretches(sizes: np.ndarray, most: int):
+    total = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def linked(lines: list[bytes], group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (i, j) of alike lines of one group. Rows come by group, then side; with two sides only lines of different sides are compared."""
+    sets = Shingles(lines)
+    crossed = np.bincount(group, side, minlength=int(group[-1]) + 1 if len(group) else 1)[group] > 0
+    label = np.arange(len(lines))
+    out_i, out_j = [], []
+    i = np.arange(len(lines))
+    d = 0
+    while True:  # each line with the d-th after it, d = 1, 2, ...
+        d += 1
+        i = i[i + d < len(lines)]
+        i = i[group[i] == group[i + d]]
+        if not len(i):
+            break
+        j = i + d
+        go = (label[i] != label[j]) & (~crossed[i] | (side[i] != side[j]))
+        a, b = i[go], j[go]
+        ok = sets.possible(a, b)
+        a, b = a[ok], b[ok]
+        if len(a):
+            ok = sets.alike(a, b)
+            a, b = a[ok], b[ok]
+        if len(a):
+            out_i.append(a)
+            out_j.append(b)
+            nodes, root = union(label[a], label[b])
+            to = np.arange(len(lines))
+            to[nodes] = root
+            label = to[label]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
 
-    for batch in batches:
-        for g, h, text in zip(*(batch.column(c).to_pylist() for c in ("g", "h", "text"))):
-            if g != group:
-                if len(held) > 1:
-                    run()
-                group, held = g, {}
-            held[h] = text
-    if len(held) > 1:
-        run()
-    u, v = spanning(np.array(a, np.int64), np.array(b, np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["src", "dst"])
+
+def _verify(batches):
+    """Sorted by g, g2, side: links of alike lines, many small groups at a time."""
+    held: pa.Table | None = None
+    src = dst = np.zeros(0, np.int64)
+    for batch in _and_end(batches):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+        if held is None:
+            break
+        g, g2 = (held.column(c).to_numpy() for c in ("g", "g2"))
+        edge = np.append(np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (g2[1:] != g2[:-1]))), len(g))
+        done = len(edge) - 1 if batch is None else len(edge) - 2  # the last group may go on
+        if done <= 0:
+            continue
+        table = held.slice(0, edge[done]).combine_chunks()
+        held = held.slice(edge[done]).combine_chunks() if edge[done] < len(g) else None
+        lines = as_bytes(table.column("text").combine_chunks()).to_pylist()
+        h = table.column("h").to_numpy()
+        side = table.column("side").to_numpy()
+        group = np.repeat(np.arange(done), np.diff(edge[: done + 1]))
+        size = np.add.reduceat(np.fromiter(map(len, lines), np.int64, len(lines)), edge[:done])
+        for a, b in _stretches(size, TILE_BYTES):
+            rows = slice(edge[a], edge[b])
+            i, j = linked(lines[rows], group[rows] - a, side[rows])
+            src, dst = np.concatenate([src, h[rows][i]]), np.concatenate([dst, h[rows][j]])
+        if len(src) > 400_000:
+            src, dst = spanning(src, dst)
+    src, dst = spanning(src, dst)
+    yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+    tidy()
 
 
 def _pick(batches):
     """Texts of the asked lines of each document."""
     for batch in batches:
         for part in slices(batch, "text"):
-            h, texts = [], []
+            h, h2, texts = [], [], []
             for t, asked in zip(texts_of(part), part.column("asked").to_pylist()):
                 lines = lines_of(t)
                 for x in asked:
-                    if x["line"] < len(lines):
-                        h.append(x["h"])
-                        texts.append(lines[x["line"]])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(texts, pa.binary())], names=["h", "text"])
+                    h.append(x["h"])
+                    h2.append(x["h2"])
+                    texts.append(lines[x["line"]])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(texts, pa.binary())], names=["h", "h2", "text"])
+    tidy()
+
+
+def _asked(groups: DataFrame) -> DataFrame:
+    """(g, g2, side, h): the lines that each comparison needs; tiles of a large group alone and in pairs."""
+    member = F.explode("h").alias("h")
+    whole = groups.where("tile < 0").dropDuplicates(["g", "g2"]).select("g", "g2", F.lit(0).alias("side"), member)
+    tiles = groups.where("tile >= 0")
+    alone = tiles.select(F.xxhash64("g", "tile").alias("g"), F.xxhash64("tile", "g").alias("g2"), F.lit(0).alias("side"), member)
+    other = tiles.select("g", F.col("tile").alias("tile2"), F.col("h").alias("hb"))
+    pairs = tiles.join(other, "g").where("tile < tile2")
+    name = (F.xxhash64("g", "tile", "tile2").alias("g"), F.xxhash64("tile2", "tile", "g").alias("g2"))
+    left = pairs.select(*name, F.lit(0).alias("side"), member)
+    right = pairs.select(*name, F.lit(1).alias("side"), F.explode("hb").alias("h"))
+    return whole.unionByName(alone).unionByName(left).unionByName(right)
 
 
 def kept_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, lines): numbers of the lines, not blank, that stay in each document that keeps any."""
+    """(doc, th, lines): numbers of the lines, not blank, that stay in each document that keeps any."""
     ship_code(docs.sparkSession)
-    first = F.min(F.struct("doc", "line")).alias("at")
+    source = _source(docs, id_column, text)
+    first = F.min(F.struct("doc", "th", "line")).alias("at")
     only = materialise(
-        _locate(docs, id_column, text).groupBy("h").agg(first).select("h", "at.doc", "at.line"), "lines"
+        source.mapInArrow(_locate, "h bigint, h2 bigint, doc bigint, th bigint, line int")
+        .groupBy("h", "h2").agg(first).select("h", "h2", "at.doc", "at.th", "at.line"),
+        "lines",
     )
     parts = partitions(docs.sparkSession)
     groups = materialise(
-        _bands(docs.where(F.col(id_column).isNotNull()), text)
+        source.select("text").mapInArrow(_bands, "key bigint, h bigint, size int")
         .repartition(parts, "key")
-        .mapInArrow(_groups, "g bigint, members array<bigint>")
-        .dropDuplicates(["g"]),
+        .sortWithinPartitions("key", "h")
+        .mapInArrow(_groups, _GROUP),
         "groups",
     )
-    asked = groups.select("g", F.explode("members").alias("h"))
+    asked = _asked(groups)
     where = only.join(asked.select("h").distinct(), "h", "left_semi")
-    source = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.encode(F.col(text), "UTF-8").alias("text"))
-    wanted = where.groupBy("doc").agg(F.collect_list(F.struct("h", "line")).alias("asked"))
+    wanted = where.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "h2", "line")).alias("asked"))
     found = materialise(
-        source.join(wanted, "doc").select("text", "asked").mapInArrow(_pick, "h bigint, text binary").dropDuplicates(["h"]),
+        source.join(wanted, ["doc", "th"])
+        .select("text", "asked")
+        .mapInArrow(_pick, "h bigint, h2 bigint, text binary")
+        .dropDuplicates(["h", "h2"]),
         "candidates",
     )
     links = (
-        asked.join(found, "h").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_verify, "src bigint, dst bigint")
+        asked.join(found.select("h", "text"), "h")
+        .repartition(parts, "g", "g2").sortWithinPartitions("g", "g2", "side").mapInArrow(_verify, "src bigint, dst bigint")
     )
     joined = components(links)
-    member = joined.select(F.col("node").alias("h"), "component").join(only, "h")
-    heads = member.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("at"))
-    gone = (
-        member.join(heads, "component").where("doc <> at.doc or line <> at.line").select("h")
-    )
-    kept = only.join(gone, "h", "left_anti")
-    return kept.groupBy("doc").agg(F.collect_list("line").alias("lines"))
+    # 64 bits name a line among those compared, 128 among all
+    member = joined.select(F.col("node").alias("h"), "component").join(found.select("h", "h2"), "h").join(only, ["h", "h2"])
+    heads = member.groupBy("component").agg(F.min(F.struct("doc", "th", "line")).alias("at"))
+    gone = member.join(heads, "component").where("struct(doc, th, line) <> at").select("h", "h2")
+    kept = only.join(gone, ["h", "h2"], "left_anti")
+    return kept.groupBy("doc", "th").agg(F.collect_list("line").alias("lines"))
+
+
+def _rebuilt(batches):
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts, lines, removed = [], [], []
+            for ident, raw, kept in zip(part.column("doc").to_pylist(), as_bytes(part.column("text")).to_pylist(), part.column("lines").to_pylist()):
+                every = raw.split(b"\n") if raw is not None else []
+                full = [i for i, x in enumerate(every) if x.strip(_BLANKS)]
+                stay = set(kept or ()) if ident is not None else set(full)
+                out = [x for i, x in enumerate(every) if i in stay or not x.strip(_BLANKS)]
+                lines.append(len(full))
+                removed.append(len(every) - len(out))
+                texts.append(b"\n".join(out) if removed[-1] else raw)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("kept"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())],
+                names=["kept", "text", "n_lines", "n_removed"],
+            )
+    tidy()
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with `text` rebuilt of the lines that stay, and `n_lines`, `n_removed`, not counting blank lines."""
-    kept = kept_lines(docs, id_column, text).withColumnRenamed("doc", "__doc").withColumnRenamed("lines", "__kept")
-    rows = docs.join(kept, docs[id_column].cast("bigint") == F.col("__doc"), "left").drop("__doc")
-    rest = [c for c in docs.columns if c != text]
-    schema = T.StructType([*(docs.schema[c] for c in rest), field(text, "string"), field("n_lines", "bigint"), field("n_removed", "bigint")])
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "__text"):
-                texts, lines, removed = [], [], []
-                for ident, raw, kept in zip(*(part.column(c).to_pylist() for c in ("__id", "__text", "__kept"))):
-                    every = raw.split(b"\n") if raw is not None else []
-                    full = [i for i, x in enumerate(every) if x.strip(_BLANKS)]
-                    stay = set(kept or ()) if ident is not None else set(full)
-                    out = [x for i, x in enumerate(every) if i in stay or not x.strip(_BLANKS)]
-                    lines.append(len(full))
-                    removed.append(len(every) - len(out))
-                    if raw is None:
-                        texts.append(None)
-                    elif removed[-1]:
-                        texts.append(b"\n".join(out).decode("utf-8"))
-                    else:
-                        texts.append(raw.decode("utf-8"))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())],
-                    names=[*rest, text, "n_lines", "n_removed"],
-                )
-
-    return rows.select(
-        *rest, F.col(id_column).alias("__id"), F.encode(F.col(text), "UTF-8").alias("__text"), "__kept"
-    ).mapInArrow(run, schema)
+    kept = kept_lines(docs, id_column, text)
+    rest = [c for c in docs.columns if c != text and c.lower() not in ("n_lines", "n_removed")]
+    sent = packed(docs, rest, doc=column(id_column).cast("bigint"), th=F.xxhash64(column(text)), text=column(text).cast("string"))
+    rows = sent.join(kept, ["doc", "th"], "left").select("kept", "doc", "text", "lines")
+    schema = T.StructType([kept_field(sent), field("text", "string"), field("n_lines", "bigint"), field("n_removed", "bigint")])
+    return unpacked(rows.mapInArrow(_rebuilt, schema), rest, F.col("text").alias(text), F.col("n_lines"), F.col("n_removed"))
