@@ -2,15 +2,16 @@
 
 Only distinct fingerprints are compared. Two that differ in at most `radius` bits agree on
 at least `blocks - radius` of `blocks` bit blocks, so each choice of that many blocks
-is a table of buckets, and every link falls into one bucket at least. In a
-bucket the bit planes stand vertically, 64 fingerprints a word; carry-save counters add up
-the differing planes, and a comparison is abandoned when all of its block exceed the radius.
-A bucket larger than `tile` is dealt out as pairs of tiles. Buckets send on a spanning
-forest of their links: connectivity whole, never a list of all pairs.
+is a table of buckets, and every link falls into one bucket at least; the number of blocks grows with the
+table, so that buckets stay small. Bit planes stand vertically, 64 fingerprints a word; carry-save counters add up
+the differing planes, and words of which all lanes exceed the radius are abandoned. Buckets up to `PACKED` stand side by
+side in one row of lanes, compared with the row shifted by 1, 2, ... lanes, with lanes of two buckets masked; in larger
+ones each fingerprint is compared with all lanes. A bucket larger than `tile` is dealt out as pairs of tiles. Buckets send on a
+spanning forest of their links: connectivity whole, never a list of all pairs.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other;
 rows with a null doc_id get fingerprint but no part in components (component_id null); repeated
-rows each give a row; an empty table gives none.
+rows each give a row; rows of one id with different texts are linked by their texts alone; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,16 +24,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import field, map_texts, materialise, ship_code, split_words
+from sparkloom.llm.common import column, field, map_texts, materialise, ship_code, split_words, tidy
 from sparkloom.llm.components import components, spanning
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Bit blocks; with radius 4 two of six agree: 15 tables of keys of 20 to 22 bits.
-BLOCKS = 6
+#: Least number of bit blocks beyond the radius: with radius 4 two of six agree, 15 tables of keys of 20 to 22 bits.
+SPARE = 2
+#: Fingerprints a bucket may hold on average before there are more blocks and longer keys.
+CROWD = 64
 #: Fingerprints of a bucket compared in one go.
 TILE = 4096
-#: Buckets up to this size are compared all at once, larger ones by bit planes.
-SMALL = 24
+#: Buckets up to this size stand side by side in words of lanes.
+PACKED = 64
+#: Rows whose buckets are compared together.
+TOGETHER = 1 << 16
+_FULL = ~np.uint64(0)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, words=split_words) -> int:
@@ -56,15 +62,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, words=split_words) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and `bits`, the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The id, `keep` and `bits`, the fingerprint as a signed 64-bit integer."""
 
     def make():
         return lambda texts: [
             pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64), pa.int64())
         ]
 
-    return map_texts(docs, [id_column], [field("bits", "bigint")], make, text)
+    return map_texts(docs, [id_column, *keep], [field("bits", "bigint")], make, text)
 
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
@@ -76,48 +82,80 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(query: np.ndarray, planes: np.ndarray, count: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query number, fingerprint number) of all pairs at `radius` or less.
+def _sliced(difference, over: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, over): rows that have a lane at `radius` or less, and words whose bits say which lanes exceed it.
 
-    Counters are bit-sliced too: a saturating carry-save count of width enough to
-    tell `radius` from more. Every eight planes, queries whose words have all exceeded it leave.
+    `difference(p, rows)` gives the lanes that differ in plane p. Counters are bit-sliced too: a saturating carry-save
+    count of width enough to tell `radius` from more. Every eight planes, rows whose lanes all exceed it leave.
     """
     width = max(1, radius.bit_length())
-    live = np.arange(len(query))
-    words = planes.shape[1]
-    valid = np.full(words, ~np.uint64(0))
-    if count % 64:
-        valid[-1] = np.uint64((1 << (count % 64)) - 1)
-    ones = [np.zeros((len(query), words), np.uint64) for _ in range(width)]
-    over = np.repeat(~valid[None], len(query), 0)
-    full = ~np.uint64(0)
+    live = np.arange(len(over))
+    ones = [np.zeros_like(over) for _ in range(width)]
     for first in range(0, 64, 8):
         for p in range(first, first + 8):
-            flip = np.where((query[live] >> np.uint64(p)) & np.uint64(1), full, np.uint64(0))[:, None]
-            carry = planes[p][None] ^ flip
+            carry = difference(p, live)
             for c in range(width):
                 ones[c], carry = ones[c] ^ carry, ones[c] & carry
-            over |= carry
+            over = over | carry
         # more than radius: compare the sliced counters with the constant, from the top bit down
-        more, same = np.zeros_like(over), np.full_like(over, full)
+        more, same = np.zeros_like(over), np.full_like(over, _FULL)
         for c in reversed(range(width)):
             if radius >> c & 1:
                 same = same & ones[c]
             else:
                 more |= same & ones[c]
                 same = same & ~ones[c]
-        over |= more
-        keep = (over != full).any(1)
+        over = over | more
+        keep = (over != _FULL).any(1)
         if not keep.all():
             live, over = live[keep], over[keep]
             ones = [x[keep] for x in ones]
         if not len(live):
             break
+    return live, over
+
+
+def within(query: np.ndarray, planes: np.ndarray, count: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, fingerprint number) of all pairs at `radius` or less."""
+    over = np.zeros((len(query), planes.shape[1]), np.uint64)
+    if count % 64:
+        over[:, -1] = ~np.uint64((1 << (count % 64)) - 1)
+
+    def difference(p: int, live: np.ndarray) -> np.ndarray:
+        flip = np.where((query[live] >> np.uint64(p)) & np.uint64(1), _FULL, np.uint64(0))
+        return planes[p][None] ^ flip[:, None]
+
+    live, over = _sliced(difference, over, radius)
     hit = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, :count]
     q, f = np.nonzero(hit)
     return live[q], f
 
 
+def side_by_side(prints: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of one group at `radius` or less. Groups come sorted; all are compared at once."""
+    planes = planes_of(prints)
+    n, words = len(prints), planes.shape[1]
+    out = []
+    largest = int(np.bincount(group - group[0]).max()) if n else 0
+    for d in range(1, largest):
+        same = np.zeros(words * 64, bool)
+        same[: n - d] = group[: n - d] == group[d:]
+        lanes = np.packbits(same, bitorder="little").view(np.uint64)
+        at = np.flatnonzero(lanes)
+        word, bit = divmod(d, 64)
+        after = np.concatenate([planes, np.zeros((64, word + 2), np.uint64)], 1)
+        ahead = after[:, at + word]
+        if bit:  # lane i of the shifted planes is lane i + d
+            ahead = (ahead >> np.uint64(bit)) | (after[:, at + word + 1] << np.uint64(64 - bit))
+        here = planes[:, at]
+        live, over = _sliced(lambda p, rows, x=here, y=ahead: (x[p, rows] ^ y[p, rows])[:, None], ~lanes[at][:, None], radius)
+        row, lane = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
+        i = at[live[row]] * 64 + lane
+        out.append((i, i + d))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(x[0] for x in out)]), np.concatenate([none, *(x[1] for x in out)])
+
+
 def links(left: np.ndarray, right: np.ndarray, radius: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of left and right at `radius` or less, blocks of queries at a time."""
     planes = planes_of(right)
@@ -128,15 +166,24 @@ def links(left: np.ndarray, right: np.ndarray, radius: int, step: int = 256) ->
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
+def blocks_for(count: int, radius: int) -> int:
+    """Bit blocks for a table of `count` fingerprints: keys of about 64 * (blocks - radius) / blocks bits. The links found are the same."""
+    blocks = radius + SPARE
+    while blocks < 2 * radius + 2 and count >> (64 * (blocks - radius) // blocks) > CROWD:
+        blocks += 1
+    return blocks
+
+
 def _masks(blocks: int, radius: int) -> list[int]:
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     return [sum(c) for c in combinations(masks, blocks - radius)]
 
 
-def near_pairs(prints: DataFrame, bits: str, node: str, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def near_pairs(prints: DataFrame, bits: str, node: str, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """Spanning links (src, dst) between the nodes of distinct fingerprints at `radius` or less."""
     ship_code(prints.sparkSession)
+    blocks = blocks or blocks_for(prints.count(), radius)
     keyed = prints.select(
         F.col(bits).alias("bits"),
         F.col(node).alias("node"),
@@ -167,8 +214,7 @@ def near_pairs(prints: DataFrame, bits: str, node: str, radius: int = RADIUS, bl
 
 
 def _compare_groups(batches, radius: int):
-    """Groups come sorted; the tail of a batch waits for the next, as its group may go on."""
-    held: pa.Table | None = None
+    """Groups come sorted; the tail of a batch waits for the next, as its group may go on. A group is at most two tiles."""
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     names = ["src", "dst"]
 
@@ -186,17 +232,13 @@ def _compare_groups(batches, radius: int):
         done = edge[-1] if last else edge[-2]
         size = np.diff(edge)
         group = np.repeat(np.arange(len(size)), size)
-        small = (size <= SMALL) & (cols[2][edge[:-1]] == cols[3][edge[:-1]]) & (edge[1:] <= done)
+        small = (size <= PACKED) & (cols[2][edge[:-1]] == cols[3][edge[:-1]]) & (edge[1:] <= done)
         out_a, out_b = [a], [b]
-        at = np.flatnonzero(small[group])
-        for d in range(1, min(SMALL, len(node))):  # all small buckets at once: each row with the d-th after it
-            at = at[at + d < len(node)]
-            at = at[group[at] == group[at + d]]
-            if not len(at):
-                break
-            hit = at[np.bitwise_count(bits[at] ^ bits[at + d]) <= radius]
-            out_a.append(node[hit])
-            out_b.append(node[hit + d])
+        at = np.flatnonzero((small & (size > 1))[group])
+        if len(at):
+            x, y = side_by_side(bits[at], group[at], radius)
+            out_a.append(node[at[x]])
+            out_b.append(node[at[y]])
         for k in np.flatnonzero(~small & (size > 1) & (edge[1:] <= done)).tolist():
             s, e = edge[k], edge[k + 1]
             p, n, r = bits[s:e], node[s:e], right[s:e]
@@ -214,33 +256,43 @@ def _compare_groups(batches, radius: int):
         a, b = spanning(np.concatenate(out_a), np.concatenate(out_b))
         return None if last else table.slice(done)
 
+    waiting: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = pa.concat_tables([held, table]).combine_chunks() if held is not None and held.num_rows else table
-        held = flush(held, False)
-    if held is not None and held.num_rows:
-        flush(held, True)
+        if batch.num_rows:
+            waiting.append(batch)
+            rows += batch.num_rows
+        if rows >= TOGETHER:
+            held = flush(pa.Table.from_batches(waiting).combine_chunks(), False)
+            waiting, rows = held.to_batches(), held.num_rows
+    if rows:
+        flush(pa.Table.from_batches(waiting).combine_chunks(), True)
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+    tidy()
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, bits, component_id: the smallest doc_id that links lead to."""
-    prints = materialise(fingerprints(docs, id_column, text, shingle), "prints")
-    nodes = materialise(
-        prints.where(F.col(id_column).isNotNull()).groupBy("bits").agg(F.min(id_column).cast("bigint").alias("node")), "nodes"
-    )
-    found = components(near_pairs(nodes, "bits", "node", radius))
-    label = nodes.join(found, "node", "left").select(
-        "bits", F.coalesce("component", "node").alias("component_id")
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """The id, `keep`, bits, component_id (the smallest id that links lead to) and component, the smallest fingerprint of the component.
+
+    Nodes are fingerprints, not ids: rows that share an id with different texts are linked by their texts alone.
+    """
+    prints = materialise(fingerprints(docs, id_column, text, shingle, keep), "prints")
+    known = prints.where(column(id_column).isNotNull())
+    nodes = materialise(known.groupBy("bits").agg(F.min(column(id_column)).cast("bigint").alias("node")), "nodes")
+    found = components(near_pairs(nodes, "bits", "bits", radius))
+    label = nodes.join(found.withColumnRenamed("node", "bits"), "bits", "left").select(
+        "bits", "node", F.coalesce("component", "bits").alias("component")
     )
-    return prints.join(label, "bits", "left").select(
-        id_column,
-        "bits",
-        F.when(F.col(id_column).isNotNull(), F.col("component_id")).alias("component_id"),
+    least = label.groupBy("component").agg(F.min("node").alias("component_id"))
+    label = label.join(least, "component").select("bits", "component", "component_id")
+    out = prints.join(label, "bits", "left")
+    told = column(id_column).isNotNull()
+    return out.select(
+        column(id_column), *(column(k) for k in keep), "bits", F.when(told, F.col("component_id")).alias("component_id"), F.when(told, F.col("component")).alias("component")
     )
