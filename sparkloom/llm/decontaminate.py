@@ -3,16 +3,15 @@
 A window is `window` consecutive item words; an item of fewer words, but not none,
 is one window. Defined results: null or empty texts and items have no words; rows of one
 item_id count as one item; an empty benchmark hits nothing; an item with null id takes part in
-hits but not in the items; repeated documents each give a row.
+hits but not in the items; repeated documents each give a row; texts of any length are scanned whole.
 
-The items reach executors as one broadcast automaton while their words stay within
-`most_words`; a larger benchmark is scanned in several passes of that size, so
-what is broadcast never grows past the bound.
+The windows reach executors as one broadcast automaton while there are at most
+`most_windows` of them. A larger benchmark is dealt out, window by window, over several passes of about that size; rows are
+numbered and written before, passes come and go one at a time, and neither the driver nor a broadcast ever holds more than one.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable
 
 import ahocorasick
@@ -21,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD_BYTES, WORD_FOLD, field, fold_words, map_texts
+from sparkloom.llm.common import WORD_BYTES, WORD_FOLD, column, field, fold_words, map_texts, materialise, packed, share, ship_code, tidy, unpacked
 
 WINDOW = 10
-#: Item words in one automaton; about 60 bytes of executor memory for each of their letters.
-MOST_WORDS = 200_000
+#: Windows in one automaton; about 60 bytes of executor memory for each of their letters.
+MOST_WINDOWS = 200_000
 
 
 def windows_of(items: Iterable[tuple[str, bytes]], window: int) -> dict[str, set[str]]:
@@ -77,17 +76,55 @@ class Scanner:
         return len(words), int(hit.sum()), sorted(x for x in items if x is not None), spans
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
+def _windows(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """(win, items): every window, space-joined, with the distinct ids of its items."""
+    ship_code(benchmark.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            wins, items = [], []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                for w in windows_of([(item, text)], window):
+                    wins.append(w.encode("latin-1"))
+                    items.append(item)
+            yield pa.RecordBatch.from_arrays([pa.array(wins, pa.binary()), pa.array(items, pa.string())], names=["win", "item"])
+        tidy()
+
+    source = benchmark.select(column(item_id).cast("string").alias("item"), column(item_text).cast("binary").alias("text"))
+    found = source.where("text is not null").mapInArrow(run, "win binary, item string")
+    # an item without id counts as hits only: collect_set leaves nulls out
+    return found.groupBy("win").agg(F.collect_set("item").alias("items"))
+
+
+def _passes(windows: DataFrame, most_windows: int) -> tuple[int, DataFrame]:
+    """The number of passes, and the windows to take them from."""
+    kept = materialise(windows, "windows")
+    return max(1, -(-kept.count() // most_windows)), kept
+
+
+def _one(windows: DataFrame, number: int, passes: int) -> dict[str, set[str]]:
+    """The windows of one pass, on the driver."""
+    mine = windows.where(F.pmod(F.xxhash64("win"), F.lit(passes)) == number)
+    return {bytes(r["win"]).decode("latin-1"): set(r["items"]) for r in mine.toLocalIterator()}
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """The documents, all their columns, in which no item's window occurs. Passes filter one after another."""
-    for windows in _passes(benchmark, "item_id", "text", window, most_words):
-        shared = docs.sparkSession.sparkContext.broadcast(windows)
+    spark = docs.sparkSession
+    passes, windows = _passes(_windows(benchmark, "item_id", "text", window), most_windows)
+    rows = packed(docs, docs.columns, text=column(text))
+    for number in range(passes):
+        shared = share(spark, _one(windows, number, passes))
 
         def make(shared=shared):
             scanner = Scanner(shared.value)
             return lambda texts: [pa.array([scanner.finds(t) for t in texts], pa.bool_())]
 
-        docs = map_texts(docs, docs.columns, [field("__leaked", "boolean")], make, text).where("not __leaked").drop("__leaked")
-    return docs
+        rows = map_texts(rows, ["kept", "text"] if number + 1 < passes else ["kept"], [field("leaked", "boolean")], make).where("not leaked")
+        if number + 1 < passes:
+            rows = materialise(rows.drop("leaked"), "clean")
+            shared.unpersist()
+    return unpacked(rows, docs.columns)
 
 
 def decontaminate(
@@ -98,43 +135,25 @@ def decontaminate(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
-    most_words: int = MOST_WORDS,
+    most_windows: int = MOST_WINDOWS,
 ) -> DataFrame:
     """One row a document: words, hit words, items, spans of hit words as byte offsets in the original text."""
     spark = docs.sparkSession
-    passes = _passes(benchmark, item_id, item_text, window, most_words)
-    if len(passes) == 1:
-        return _one_pass(docs, id_column, text, passes[0], spark)
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    done = [_one_pass(rows, id_column, text, p, spark, ["__row"]) for p in passes]
-    whole = done[0]
-    for more in done[1:]:
-        whole = whole.unionByName(more)
+    passes, windows = _passes(_windows(benchmark, item_id, item_text, window), most_windows)
+    if passes == 1:
+        return _one_pass(docs, id_column, text, _one(windows, 0, 1), spark)
+    numbered = packed(docs, [id_column], row=F.monotonically_increasing_id(), text=column(text))
+    rows = unpacked(materialise(numbered, "numbered"), [id_column], F.col("row").alias("loom_row"), F.col("text").alias("loom_text"))
+    whole = None
+    for number in range(passes):
+        done = materialise(_one_pass(rows, id_column, "loom_text", _one(windows, number, passes), spark, ["loom_row"]), "pass")
+        whole = done if whole is None else whole.unionByName(done)
     return _merged(whole, id_column)
 
 
-def _passes(benchmark: DataFrame, item_id: str, item_text: str, window: int, most_words: int) -> list[dict[str, set[str]]]:
-    """Windows of the benchmark, in parts of at most `most_words` item words (a longer item stands alone)."""
-    items = benchmark.select(
-        F.col(item_id).cast("string").alias("item"), F.encode(F.col(item_text), "UTF-8").alias("text")
-    ).where("text is not null")
-    passes: list[dict[str, set[str]]] = []
-    group: list[tuple[str, bytes]] = []
-    words = 0
-    for row in items.toLocalIterator():  # one partition of items at a time
-        n = len(fold_words(bytes(row.text)))
-        if group and words + n > most_words:
-            passes.append(windows_of(group, window))
-            group, words = [], 0
-        group.append((row["item"], bytes(row.text)))
-        words += n
-    passes.append(windows_of(group, window))
-    return passes
-
-
 def _merged(whole: DataFrame, id_column: str) -> DataFrame:
     """Several passes over the same row: spans may overlap, so the hit words are the union of their numbers."""
-    merged = whole.groupBy("__row").agg(
+    merged = whole.groupBy("loom_row").agg(
         F.first(id_column).alias(id_column),
         F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -147,7 +166,7 @@ def _merged(whole: DataFrame, id_column: str) -> DataFrame:
 
 
 def _one_pass(docs, id_column, text, windows, spark, more=()) -> DataFrame:
-    shared = spark.sparkContext.broadcast(windows)
+    shared = share(spark, windows)
     fields = [field("n_words", "bigint"), field("n_hit", "bigint"), field("items", "array<string>")]
     fields += [field("spans", "array<struct<start:bigint,stop:bigint>>")]
     if more:
@@ -188,7 +207,3 @@ def _numbers(text: bytes, spans: list[tuple[int, int]]) -> list[int]:
 def items_digest(items: str = "items"):
     """The sha256 of the sorted item ids joined by commas."""
     return F.sha2(F.array_join(F.array_sort(F.col(items)), ",").cast("binary"), 256)
-
-
-def digest(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
