@@ -1,21 +1,23 @@
 """Licence scans: Aho-Corasick over notice phrases and tags, shunting-yard over licence expressions.
 
 Defined results: null or empty text has no words, no labels and score 0; repeated
-rows each give a row; a null doc_id is kept as it is; an expression that does not
-parse adds the label `unparsed` and nothing else.
+rows each give a row; a null doc_id is kept as it is; an expression ends at the end of its line or where prose begins, and one
+that does not parse adds the label `unparsed` and nothing else. Work grows with the length of a text, however many phrases it holds.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import field, map_texts
+from sparkloom.llm.common import WORD_BYTES, field, fold_words, map_texts
 
 # Phrases whose words must stand consecutively, and their labels.
 BASE_PHRASES = {
@@ -74,7 +76,9 @@ UNKNOWN_RESTRICTION = 0.5
 #: What an exception granted by `with` takes off.
 EXCEPTION_RELIEF = 0.1
 
-_TAG = re.compile(rb"spdx-license-identifier\s*:\s*([^\r\n]{0,2000})", re.I)
+# Identifiers that are plain words; others have a digit, a hyphen or several capitals.
+PLAIN_IDENTIFIERS = ("Beerware", "Libpng", "Ruby", "Unlicense", "Vim", "Zlib")
+_VALUE = re.compile(rb"[ \t]*:[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -94,7 +98,17 @@ def family(identifier: str) -> str:
     return name.replace(",", "")
 
 
-def to_postfix(tokens: list[str]) -> list[str] | None:
+def is_identifier(token: str) -> bool:
+    """Whether a token has the form of a licence identifier, not of a word of prose."""
+    return (
+        family(token) in RESTRICTION
+        or token in PLAIN_IDENTIFIERS
+        or any(c.isdigit() or c == "-" for c in token)
+        or sum(c.isupper() for c in token) > 1
+    )
+
+
+def to_postfix(tokens: Iterable[str]) -> list[str] | None:
     """Shunting-yard. Reads the longest prefix that alternates operands and operators; None if it is no expression."""
     out: list[str] = []
     stack: list[str] = []
@@ -104,11 +118,15 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
         if wants_operand:
             if token == "(":
                 stack.append(token)
-            elif token == ")" or low in _RANK:
-                return None
-            else:
+            elif not (token == ")" or low in _RANK) and is_identifier(token):
                 out.append(token)
                 wants_operand = False
+            elif out and "(" not in stack:
+                stack.pop()  # the operator before the prose belongs to it
+                wants_operand = False
+                break
+            else:
+                return None
         elif low in _RANK:
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
@@ -129,7 +147,7 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
 
 def evaluate(text: str) -> Expression | None:
     """`and` asks for both sides, `or` for the milder one, `with` relaxes its licence."""
-    postfix = to_postfix(_TOKEN.findall(text))
+    postfix = to_postfix(m[0] for m in _TOKEN.finditer(text))
     if postfix is None:
         return None
     stack: list[Expression] = []
@@ -157,34 +175,49 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+def _tag_values(text: bytes, tags: set[int]) -> list[str]:
+    """What follows each tag, by the number of its first word, in the original text: a colon and the rest of the line."""
+    out = []
+    last = max(tags) + 2
+    spans: list[tuple[int, int]] = []
+    for i, m in enumerate(WORD_BYTES.finditer(text)):
+        spans = [*spans[-2:], m.span()]
+        if i - 2 in tags and all(text[a[1] : b[0]] == b"-" for a, b in zip(spans, spans[1:])):
+            value = _VALUE.match(text, m.end())
+            if value:
+                out.append(value[1].decode("utf-8", "replace").strip())
+        if i >= last:
+            break
+    return out
+
+
 def scan(text: bytes) -> tuple:
     """(words, base places, first, last, base labels, labels, score, expressions) of one text."""
-    from sparkloom.llm.common import fold_words
-
     words = fold_words(text)
     line = f" {b' '.join(words).decode('latin-1')} " if words else ""
-    starts: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
-    tagged = False
+    hits, tags = [], []  # places in the line of base phrases and of tags
     for end, (kind, label, length) in automaton().iter(line) if line else ():
         if kind is None:
-            tagged = True
+            tags.append(end - length + 1)
         elif kind:
-            starts.append(line.count(" ", 0, end - length + 1))
+            hits.append(end - length + 1)
             base.add(label)
         else:
             labels.add(label)
+    starts: list[int] = []
+    expressions = []
+    if hits or tags:
+        blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+        starts = np.searchsorted(blanks, hits).tolist()
+        expressions = _tag_values(text, set(np.searchsorted(blanks, tags).tolist())) if tags else []
     asked = [RESTRICTION.get(x, UNKNOWN_RESTRICTION) for x in base | labels]
     labels |= base
-    expressions = []
-    if tagged:
-        for m in _TAG.finditer(text):
-            source = m[1].decode("utf-8", "replace").strip()
-            value = evaluate(source)
-            expressions.append(source)
-            labels |= value.labels if value else {"unparsed"}
-            asked.append(value.restriction if value else UNKNOWN_RESTRICTION)
+    for source in expressions:
+        value = evaluate(source)
+        labels |= value.labels if value else {"unparsed"}
+        asked.append(value.restriction if value else UNKNOWN_RESTRICTION)
     return (
         len(words),
         len(starts),
