@@ -3,15 +3,19 @@
 For each language a suffix automaton is built of labelled text. A text is parsed, left to right, into
 the longest phrases that occur in a language's sample; the language that needs the fewest
 phrases a character wins. Automata become dense tables, and all blocks of a batch of
-texts are parsed in step, one character of each at a time.
+texts are parsed in step, one character of each at a time. A block is first parsed as if a phrase began with it; then the
+phrase that reaches into it is carried on from the block before, until both parses begin a phrase at one place, from
+where on they agree. Counts are hence those of the whole text, without any cut.
 
-Texts are parsed whole, in blocks of `BLOCK` characters; a phrase ends with its block.
-The fit takes at most `most_texts` texts and `most_chars` characters of each language, those of
-smallest id hash; languages and letters themselves are not limited: the commonest letters of all samples index dense tables,
-the others are looked up among the transitions that exist.
+The fit takes at most `most_texts` texts of each language, those of smallest id hash, and of each a passage at a place chosen by
+hash, so that a language's sample has about `most_chars` characters, and all samples together at most `TOTAL_CHARS`: with more
+than `TOTAL_CHARS / most_chars` languages each gets less, and over `MOST_LANGS` are refused. Letters are not limited: the
+commonest of all samples index dense tables, the others are looked up among the transitions that exist. Samples and texts are both
+brought to composed form (NFC) and lower case.
 
 Defined results: null texts and texts without a letter are `und` with score 0; no labelled row makes every
-text `und`; ties go to the language first in order; repeated rows each give a row.
+text `und`; among languages that need equally few phrases (as on a text whose letters no sample has) the one with most labelled
+rows wins, with score 0; texts of any length are parsed whole; repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -24,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import field, map_texts
+from sparkloom.llm.common import column, field, map_texts, share
 
 MOST_TEXTS, MOST_CHARS, BLOCK = 60, 12_000, 512
+#: Characters of all samples; a table takes about 400 bytes for each.
+TOTAL_CHARS, MOST_LANGS = 250_000, 500
 SYMBOLS = 64
 #: Bits of a table entry from which on the phrases that end are counted.
 _COUNT = 29
+_STATE = (1 << _COUNT) - 1
 
 
 def normalise(text: str) -> str:
@@ -87,6 +94,13 @@ class Table:
             out = np.where(self.keys[at] == want, self.targets[at], out)
         return out
 
+    def step(self, state: np.ndarray, symbol: np.ndarray, rare: np.ndarray, rare_symbol: np.ndarray) -> np.ndarray:
+        """Entries for the next symbol of each row; at `rare` rows it is one from SYMBOLS on."""
+        to = self.dense[state * SYMBOLS + symbol]
+        if len(rare):
+            to[rare] = self.look_up(state[rare], rare_symbol)
+        return to
+
 
 def table_of(sample: str, alphabet: dict[str, int]) -> Table:
     """Symbol 0, a character unknown to all samples, continues no phrase."""
@@ -121,6 +135,7 @@ class Parser:
     symbols: np.ndarray  # code point (below 65536) to symbol; blanks stand for all that is no letter
     blank: int
     beyond: dict[str, int]  # symbols of letters from code point 65536 on
+    order: np.ndarray  # languages by labelled rows, most first
 
     def codes(self, text: str) -> np.ndarray:
         """Symbols of the normalised text; empty if it has no letter."""
@@ -157,30 +172,66 @@ class Parser:
                 c = flat[start[:n] + j].astype(np.int32)
                 rare = np.flatnonzero(c >= SYMBOLS)
                 columns.append((np.where(c < SYMBOLS, c, 0) if len(rare) else c, rare, c[rare]))
+        # a block goes on from the one before it of the same text, if any
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(number[order] > 0, place[np.maximum(order - 1, 0)], -1)
+        final = number[order] == blocks[owner] - 1
         for k, table in enumerate(self.tables):
             state = np.zeros(len(start), np.int32)
-            ended = np.zeros(len(start), np.int32)
-            for c, rare, symbol in columns:
+            ended = np.zeros((len(columns), len(start)), np.int8)
+            fresh = np.zeros((len(columns), len(start)), bool)  # whether a phrase begins with this character
+            for j, (c, rare, symbol) in enumerate(columns):
                 n = len(c)
-                to = table.dense[state[:n] * SYMBOLS + c]
-                if len(rare):
-                    to[rare] = table.look_up(state[rare], symbol)
-                ended[:n] += to >> _COUNT
-                state[:n] = to & ((1 << _COUNT) - 1)
-            counts[:, k] = np.bincount(owner, ended + (state > 0), len(texts))
+                to = table.step(state[:n], c, rare, symbol)
+                ended[j, :n] = to >> _COUNT
+                fresh[j, :n] = (state[:n] == 0) | (ended[j, :n] > 0)
+                state[:n] = to & _STATE
+            total = ended.sum(0, dtype=np.int64)
+            carried = np.zeros(len(start), np.int32)  # the state that each block was last parsed from
+            todo = np.flatnonzero(before >= 0)
+            while len(todo):
+                into = state[before[todo]]
+                todo = todo[into != carried[todo]]
+                carried[todo] = state[before[todo]]
+                rows, s = todo, carried[todo]
+                moved = []
+                for j, (c, rare, symbol) in enumerate(columns):
+                    rows, s = rows[rows < len(c)], s[: np.searchsorted(rows, len(c))]
+                    if not len(rows):
+                        break
+                    at = np.full(len(c), -1)
+                    at[rows] = np.arange(len(rows))
+                    odd = np.flatnonzero(at[rare] >= 0) if len(rare) else rare
+                    to = table.step(s, c[rows], at[rare[odd]] if len(odd) else odd, symbol[odd] if len(odd) else odd)
+                    new = to >> _COUNT
+                    begins = (s == 0) | (new > 0)
+                    agree = begins & fresh[j, rows]
+                    total[rows] += new - ended[j, rows]
+                    ended[j, rows] = new
+                    fresh[j, rows] = begins
+                    s = to & _STATE
+                    ends = long[rows] == j + 1
+                    stop = ends & ~agree
+                    state[rows[stop]] = s[stop]
+                    moved.append(rows[stop])
+                    go = ~agree & ~ends
+                    rows, s = rows[go], s[go]
+                todo = np.flatnonzero(np.isin(before, np.concatenate([np.zeros(0, np.int64), *moved])))
+            counts[:, k] = np.bincount(owner, total + (final & (state > 0)), len(texts))
         return counts, size
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         if not self.names or not texts:
             return ["und"] * len(texts), [0.0] * len(texts)
-        counts, size = self.phrases([t.decode("utf-8", "replace") for t in texts])
+        counts, size = self.phrases([unicodedata.normalize("NFC", t.decode("utf-8", "replace")) for t in texts])
         names, scores = [], []
         for c, n in zip(counts, size):
             if not n:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            best = int(np.argmin(c))
+            best = int(self.order[np.argmin(c[self.order])])
             rest = np.delete(c, best)
             names.append(self.names[best])
             # how far the runner-up is behind, 0 (equal) to 1
@@ -188,7 +239,7 @@ class Parser:
         return names, scores
 
 
-def parser_of(samples: dict[str, str]) -> Parser:
+def parser_of(samples: dict[str, str], rows: dict[str, int] | None = None) -> Parser:
     """Every letter of the samples has a symbol, the commonest below SYMBOLS; letters of no sample share symbol 0."""
     count: dict[str, int] = {}
     for text in samples.values():
@@ -203,34 +254,39 @@ def parser_of(samples: dict[str, str]) -> Parser:
             low = c.lower()
             symbols[point] = alphabet.get(low if len(low) == 1 else low[0], 0)
     names = sorted(samples)
-    return Parser(names, [table_of(samples[n], alphabet) for n in names], symbols, 1, {c: i for c, i in alphabet.items() if ord(c) > 65535})
+    order = np.array(sorted(range(len(names)), key=lambda i: (-(rows or {}).get(names[i], 0), names[i])), np.int64)
+    beyond = {c: i for c, i in alphabet.items() if ord(c) > 65535}
+    return Parser(names, [table_of(samples[n], alphabet) for n in names], symbols, 1, beyond, order)
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", most_texts: int = MOST_TEXTS, most_chars: int = MOST_CHARS) -> Parser:
-    """Learn from rows with a language; ids are chosen first, so that only their texts are read in full."""
+    """Learn from rows with a language and an id; ids are chosen first, so that only a passage of their texts is read on the driver."""
     spark = docs.sparkSession
-    known = docs.where(F.col(lang).isNotNull() & F.col(id_column).isNotNull() & F.col(text).isNotNull())
-    rank = F.row_number().over(
-        Window.partitionBy(lang).orderBy(F.xxhash64(F.col(id_column).cast("string")), id_column)
-    )
-    ids = known.select(id_column, lang).withColumn("rank", rank).where(F.col("rank") <= most_texts)
-    few = spark.createDataFrame(ids.select(id_column).distinct().collect(), known.select(id_column).schema)
-    rows = (
-        known.join(F.broadcast(few), id_column)
-        .select(lang, F.substring(text, 1, 4 * most_chars).alias("text"), F.xxhash64(F.col(id_column).cast("string")).alias("h"))
-        .collect()
+    known = docs.select(column(id_column).alias("id"), column(lang).cast("string").alias("lang"), column(text).cast("string").alias("text")).where(
+        "lang is not null and id is not null and text is not null"
     )
+    rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS + 1).collect()}
+    if len(rows) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages")
+    chars = min(most_chars, TOTAL_CHARS // max(1, len(rows)))
+    h = F.xxhash64(F.col("id").cast("string"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "id"))
+    ids = known.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= most_texts)
+    few = spark.createDataFrame(ids.select("id").distinct().collect(), known.select("id").schema)
+    # twice the letters that a passage gives to the sample, for what normalising takes away
+    share_of = max(100, chars // most_texts)
+    start = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(17)), F.greatest(F.length("text") - 2 * share_of, F.lit(0)) + 1).cast("int") + 1
+    got = known.join(F.broadcast(few), "id").select("lang", F.substring(F.col("text"), start, F.lit(2 * share_of)).alias("text"), h.alias("h")).dropDuplicates(["lang", "text"]).collect()
     samples: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r[0], r["h"], r["text"])):
-        have = samples.get(r[0], "")
-        # a share of each text, so that one text cannot fill the sample
-        samples[r[0]] = (have + " " + normalise(r["text"])[: max(1, most_chars // 8)])[:most_chars].strip()
-    return parser_of({k: unicodedata.normalize("NFC", v) for k, v in samples.items() if v})
+    for r in sorted(got, key=lambda r: (r[0], r["h"], r["text"])):
+        passage = normalise(unicodedata.normalize("NFC", r["text"]))[:share_of]
+        samples[r[0]] = (samples.get(r[0], "") + " " + passage)[:chars].strip()
+    return parser_of({k: v for k, v in samples.items() if v}, rows)
 
 
 def identify(docs: DataFrame, parser: Parser, keep: list[str], text: str = "text") -> DataFrame:
     """`keep`, `lang_pred` and `score` of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
+    shared = share(docs.sparkSession, parser)
 
     def make():
         p = shared.value

@@ -75,7 +75,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, model, ["doc_id", "lang"])
     return scored.select(
         "doc_id",
-        (_remainder(3) == 1).alias("held_out"),
+        F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
         (F.col("toxicity") >= toxicity.threshold_of(model, F.col("lang"))).cast("int").alias("flagged"),
@@ -98,7 +98,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     parser = language.train(docs.where(_remainder(4) != 2))
     found = language.identify(docs, parser, ["doc_id"])
-    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
