@@ -4,11 +4,14 @@ Vectors are dealt into blocks. A task builds a cover tree of its block and one o
 walks pairs of nodes: a pair is pruned when the best score that its centres and covering
 radii allow is below the worst kth score in the query node. Before that, every query is searched
 in one seed block, of bounded size, whose kth score then goes with the query as a floor to all
-blocks, so that blocks send on only what can still count. Scores are integers; bounds are rounded up, and
-ties are never pruned.
+blocks, so that blocks send on only what can still count. Scores are integers and exact: where norms leave room for rounding in
+double precision, survivors are scored again in whole numbers. Bounds are rounded up, and ties are never pruned.
 
-Defined results: vectors null, of another length than most, or holding null or non-finite components take no
-part, nor those whose scaled components leave 32 bits; a null id takes no part; repeated rows are candidates of their own; a query is never its own candidate, by id.
+A block of candidates is dealt out to several tasks, each with a share of the queries, where there are fewer blocks than partitions.
+
+Defined results: vectors null or holding null or non-finite components take no part; a shorter vector counts as filled up with zeros;
+a null id takes no part; repeated rows are candidates of their own; a query is never its own candidate, by id; the rows of one query
+id are searched together, each with all candidates; a score beyond a long is an error.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise, ship_code
+from sparkloom.llm.common import column, materialise, partitions, ship_code, tidy
 
 K, SCALE = 20, 64
 #: Rows of a block of candidates and of a block of queries.
 BLOCK_ROWS, QUERY_ROWS = 16_384, 512
 LEAF = 64
-NONE = -(1 << 62)
+NONE = -(1 << 63)
+#: Sums of whole numbers below this are exact in double precision.
+EXACT = float(1 << 53)
 
 
 @dataclass
@@ -97,12 +102,15 @@ def dual_search(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, x: np.ndarra
     top = np.full((len(q), k), NONE, np.int64)
     top_row = np.full((len(q), k), -1, np.int64)
     worst = np.maximum(floor, NONE)
+    far_q, far_x = np.sqrt((q**2).sum(1)), np.sqrt((x**2).sum(1)) if len(x) else np.zeros(0)
+    loose = len(q) > 0 and len(x) > 0 and far_q.max() * far_x.max() >= EXACT  # rounding is possible somewhere
     if not len(q) or not len(x):
         return top, top_row
 
     def bound(a: int, b: np.ndarray) -> np.ndarray:
         c = tree.centre[b] @ mine.centre[a]
-        return c + mine.norm[a] * tree.radius[b] + mine.radius[a] * tree.norm[b] + mine.radius[a] * tree.radius[b]
+        slack = 1e-12 * mine.norm[a] * tree.norm[b]  # for rounding where the product cancels out
+        return c + mine.norm[a] * tree.radius[b] + mine.radius[a] * tree.norm[b] + mine.radius[a] * tree.radius[b] + slack
 
     def limit(a: int) -> float:
         return worst[mine.order[mine.first[a] : mine.last[a]]].min()
@@ -111,7 +119,7 @@ def dual_search(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, x: np.ndarra
         rows, cand = mine.order[mine.first[a] : mine.last[a]], tree.order[tree.first[b] : tree.last[b]]
         for at in range(0, len(cand), 4096):  # a leaf of equal vectors can be of any size
             c = cand[at : at + 4096]
-            s = (q[rows] @ x[c].T).astype(np.int64)
+            s = _scores(q[rows], x[c], worst[rows]) if loose else (q[rows] @ x[c].T).astype(np.int64)
             s[q_id[rows][:, None] == x_id[c][None]] = NONE
             live = np.flatnonzero((s >= worst[rows][:, None]).any(1))
             for i in live.tolist():
@@ -120,7 +128,7 @@ def dual_search(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, x: np.ndarra
                 row = np.concatenate([top_row[r], c])
                 score = np.where(score < worst[r], NONE, score)
                 ids = np.where(row < 0, np.iinfo(np.int64).max, x_id[row])
-                best = np.lexsort((ids, -score))[:k]
+                best = np.lexsort((ids, ~score))[:k]
                 top[r], top_row[r] = score[best], np.where(score[best] == NONE, -1, row[best])
                 worst[r] = max(worst[r], top[r][-1])
 
@@ -143,17 +151,34 @@ def dual_search(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, x: np.ndarra
     return top, top_row
 
 
-def _matrix(blobs: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.int32).reshape(-1, width).astype(np.float64)
+def _scores(q: np.ndarray, x: np.ndarray, worst: np.ndarray) -> np.ndarray:
+    """Exact scores of all pairs that can reach `worst`; of others something below it."""
+    near = q @ x.T
+    reach = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))[None]
+    error = np.where(reach < EXACT, 0.0, reach * (q.shape[1] + 2) * 2.0**-52)
+    out = np.full(near.shape, NONE, np.int64)
+    sure = error == 0
+    out[sure] = near[sure].astype(np.int64)
+    for i, j in np.argwhere(~sure & (near + error >= worst[:, None].astype(np.float64) * (1 - np.sign(worst)[:, None] * 1e-15))).tolist():
+        score = sum(int(u) * int(v) for u, v in zip(q[i], x[j]))
+        if not -(1 << 63) < score < 1 << 63:
+            raise OverflowError(f"a score of {score} is beyond a long")
+        out[i, j] = score
+    return out
+
+
+def _floor(x):
+    """The floor of a double as a double; from 2**53 on doubles are whole, and a long may not hold them."""
+    return F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)
 
 
 def quantise(vectors: DataFrame, id_column: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """id and floor(scale * x) of every usable vector, as long integers; unusable ones are left out."""
+    """id and floor(scale * x) of every usable vector, whole numbers in doubles; unusable ones are left out."""
     finite = lambda c: ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
     # an unusable component makes its place null, whichever condition Spark evaluates first
-    v = F.transform(vector, lambda c: F.floor(F.lit(scale) * F.when(finite(c), c.cast("double"))).try_cast("int"))
-    usable = vectors.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull())
-    return usable.select(F.col(id_column).cast("bigint").alias("id"), v.alias("v")).where(
+    v = F.transform(column(vector), lambda c: _floor(F.lit(float(scale)) * F.when(finite(c), c.cast("double"))))
+    usable = vectors.where(column(id_column).isNotNull() & column(vector).isNotNull())
+    return usable.select(column(id_column).cast("bigint").alias("id"), v.alias("v")).where(
         (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull())
     )
 
@@ -172,11 +197,11 @@ def exact_top_k(
     spark = vectors.sparkSession
     ship_code(spark)
     every = quantise(vectors, id_column, vector, scale)
-    shape = every.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not shape:
+    shape = every.agg(F.max(F.size("v")).alias("n"), F.count(F.lit(1)).alias("count")).first()
+    if not shape["count"]:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    width, rows = shape[0]["n"], shape[0]["count"]
-    every = every.where(F.size("v") == width)
+    width, rows = shape["n"], shape["count"]
+    every = every.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
     blocks = max(1, -(-rows // block_rows))
     # whole numbers of the id's hash deal rows out evenly, however ids or copies lie
     data = every.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
@@ -185,8 +210,11 @@ def exact_top_k(
     groups = max(1, -(-queries.count() // query_rows))
     dealt = queries.withColumn("g", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(groups)).cast("int"))
 
+    # a block goes to so many tasks, each with some groups of queries
+    parts = max(1, min(groups, partitions(spark) // blocks))
+
     def search(batches, floors: bool):
-        """Rows: block, g (null: a candidate), id, v, floor; sorted by block, candidates first, then by g."""
+        """Rows: block, part, g (null: a candidate), id, v, floor; sorted by block and part, candidates first, then by g."""
         held_block, tree, x, x_id = None, None, None, None
         pending: list = []
         group: list = []
@@ -212,9 +240,10 @@ def exact_top_k(
             )
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("block", "g", "id", "floor")]
+            cols = [batch.column(c).to_pylist() for c in ("block", "part", "g", "id", "floor")]
             v = batch.column("v").flatten().to_numpy().reshape(-1, width) if batch.num_rows else []
-            for i, (b, g, ident, f) in enumerate(zip(*cols)):
+            for i, (block, part, g, ident, f) in enumerate(zip(*cols)):
+                b = (block, part)
                 if (b, g) != group_key:
                     out = run()
                     if out is not None:
@@ -229,24 +258,26 @@ def exact_top_k(
         out = run()
         if out is not None:
             yield out
+        tidy()
 
     def deal(candidates: DataFrame, asked: DataFrame, floors: bool, kind: str) -> DataFrame:
-        both = candidates.select("block", F.lit(None).cast("int").alias("g"), "id", F.lit(None).cast("bigint").alias("floor"), "v").unionByName(
-            asked.select("block", "g", "id", "floor", "v")
+        both = candidates.select("block", "part", F.lit(None).cast("int").alias("g"), "id", F.lit(None).cast("bigint").alias("floor"), "v").unionByName(
+            asked.select("block", "part", "g", "id", "floor", "v")
         )
-        return both.repartition("block").sortWithinPartitions("block", F.col("g").asc_nulls_first(), "id").mapInArrow(
+        return both.repartition(partitions(spark), "block", "part").sortWithinPartitions("block", "part", F.col("g").asc_nulls_first(), "id").mapInArrow(
             lambda b: search(b, floors), kind
         )
 
     # the seed block is copied to every task of queries: it is at most block_rows rows
-    seeds = seed.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"), "id", "v")
+    seeds = seed.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"), F.lit(0).alias("part"), "id", "v")
     floors = deal(
-        seeds, dealt.select(F.col("g").alias("block"), F.lit(0).alias("g"), "id", F.lit(NONE).alias("floor"), "v"), True, "id bigint, floor bigint"
+        seeds, dealt.select(F.col("g").alias("block"), F.lit(0).alias("part"), F.lit(0).alias("g"), "id", F.lit(NONE).alias("floor"), "v"), True, "id bigint, floor bigint"
     )
     floors = materialise(floors.groupBy("id").agg(F.max("floor").alias("floor")), "floors")
     asked = dealt.join(floors, "id").select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "g", "id", "floor", "v"
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod("g", F.lit(parts)).alias("part"), "g", "id", "floor", "v"
     )
+    data = data.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     found = deal(data, asked, False, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
