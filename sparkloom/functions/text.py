@@ -39,3 +39,29 @@ def lines(text: Column) -> Column:
 def alnum_width(line: Column) -> Column:
     """Letters and digits in a line; a line with none carries no evidence."""
     return F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]", "")).cast("bigint")
+
+
+def let(value: Column, use) -> Column:
+    """`use` of the value, which is computed once a row however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def gram_hashes(tokens: Column, k: int) -> Column:
+    """64-bit hashes of all k-token windows in order; fewer than k tokens have none.
+
+    Tokens are hashed once; hashes of windows of twice the width come from two of those before, so the work for a place grows with the
+    logarithm of k, and no window is ever a string.
+    """
+
+    def grow(h: Column, width: int) -> Column:
+        if width == k:
+            return h
+        step = min(width, k - width)
+
+        def wider(a: Column) -> Column:
+            firsts = F.slice(a, F.lit(1), F.greatest(F.size(a) - step, F.lit(0)))
+            return grow(F.transform(firsts, lambda x, i: F.xxhash64(x, F.get(a, i + step))), width + step)
+
+        return let(h, wider)
+
+    return grow(F.transform(tokens, lambda w: F.xxhash64(w)), 1)

@@ -23,9 +23,10 @@ keys as (select doc, n, unnest(s) as h from reps)"""
 
 
 def _reps(spark, d):
-    sets = similarity.shingle_sets(table(spark, d, "documents"))
-    # written once, as it is read from several sides
-    return graph.settle(sets.join(similarity.classes(sets).where("doc = rep").select("doc"), "doc", "left_semi"))
+    """Representatives' sets and their shared shingles, each written once, as they are read from several sides."""
+    sets = graph.settle(similarity.shingle_sets(table(spark, d, "documents")))
+    reps = graph.settle(sets.join(similarity.classes(sets).where("doc = rep").select("doc"), "doc", "left_semi"))
+    return reps, graph.settle(similarity.known(reps))
 
 
 @query(
@@ -36,13 +37,13 @@ select a, b, cast(shared as bigint) as shared, cast(united as bigint) as united
 )
 def docdup_exact_jaccard(spark, d):
     """Near-duplicate pairs between classes of equal shingle sets, by a prefix-filtered exact join."""
-    return similarity.similarity_join(_reps(spark, d))
+    return similarity.similarity_join(*_reps(spark, d))
 
 
 @query(f"with {SEG} select doc, rep from cls")
 def docdup_classes(spark, d):
     """Membership: the representative of each document's class of equal shingle sets."""
-    return similarity.classes(similarity.shingle_sets(table(spark, d, "documents")))
+    return similarity.classes(graph.settle(similarity.shingle_sets(table(spark, d, "documents"))))
 
 
 @query(
@@ -55,8 +56,8 @@ select a, b, cast(shared as bigint) as shared, cast(total - shared as bigint) as
 )
 def docdup_seed_candidates(spark, d):
     """Candidates that share a shingle, groups over the cap chained, each judged."""
-    sets = _reps(spark, d)
-    return similarity.judged(similarity.seed_pairs(sets).select("a", "b"), sets)
+    sets, shared = _reps(spark, d)
+    return similarity.judged(similarity.seed_pairs(shared).select("a", "b"), sets, shared)
 
 
 @query(
@@ -74,14 +75,14 @@ select a, b, cast(max(n) + 4 as bigint) as run from runs group by a, b"""
 def docdup_longest_run(spark, d):
     """Longest common run of words of each near-duplicate pair."""
     docs = table(spark, d, "documents")
-    return similarity.longest_runs(similarity.similarity_join(_reps(spark, d)), docs)
+    return similarity.longest_runs(similarity.similarity_join(*_reps(spark, d)), docs)
 
 
 @query()
 def docdup_lsh_recall(spark, d):
     """MinHash bands against the exact join: how many duplicate pairs the bands find."""
-    sets = _reps(spark, d)
-    exact = similarity.similarity_join(sets).select("a", "b")
+    sets, shared = _reps(spark, d)
+    exact = similarity.similarity_join(sets, shared).select("a", "b")
     found = exact.join(similarity.lsh_pairs(sets).withColumn("hit", F.lit(1)), ["a", "b"], "left")
     return found.agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("found"))
 
@@ -128,7 +129,7 @@ select distinct doc, cast(-m.q as bigint) as p, m.h as h from m where p <= great
 )
 def winnow_fingerprints(spark, d):
     """Robust winnowing of word grams: the rightmost least digest of each window, once."""
-    return fp.winnow(fp.grams(table(spark, d, "documents"), _GRAM), _WINDOW)
+    return fp.winnow(table(spark, d, "documents"), _GRAM, _WINDOW)
 
 
 _RUNS = f"""{_G.replace('{k}', str(knobs.KGRAM))},
@@ -143,7 +144,8 @@ _WHOLE_RUNS = _RUNS.replace(f"(a.n <= {knobs.HOT_CAP} or b.rn = a.rn + 1) and ",
 
 
 def _clone_runs(spark, d, cap=knobs.HOT_CAP):
-    return fp.clone_runs(fp.grams(table(spark, d, "documents"), knobs.KGRAM), knobs.KGRAM, cap)
+    places = graph.settle(fp.grams(table(spark, d, "documents"), knobs.KGRAM))
+    return graph.settle(fp.clone_runs(graph.settle(fp.repeated(places)), knobs.KGRAM, cap))
 
 
 @query(
@@ -189,8 +191,8 @@ def clone_near_misses_whole(spark, d):
 
 @query()
 def clone_groups(spark, d):
-    """Groups of documents connected by clone blocks: members, blocks, longest run. Small star and large star rounds."""
-    return _grouped(clone_blocks(spark, d))
+    """Groups of documents connected by clone blocks: members, blocks, longest run. Least labels spread in rounds."""
+    return _grouped(graph.settle(clone_blocks(spark, d)))
 
 
 def _grouped(blocks):
@@ -217,7 +219,7 @@ def clone_blocks_whole(spark, d):
 @query()
 def clone_groups_whole(spark, d):
     """Groups of documents connected by clone blocks, with all places of every gram paired."""
-    return _grouped(clone_blocks_whole(spark, d))
+    return _grouped(graph.settle(clone_blocks_whole(spark, d)))
 
 
 _LINES = """ln as (select doc_id as doc, unnest(range(1, len(l) + 1)) as p, unnest(l) as line

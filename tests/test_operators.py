@@ -1,5 +1,6 @@
 """Operators against brute force."""
 
+import hashlib
 import itertools
 import random
 
@@ -147,20 +148,32 @@ def test_band_pairs(spark):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
-def test_winnow(spark):
+def test_winnow(spark, monkeypatch):
     rng = random.Random(2)
     docs = [(d, " ".join(rng.choice("abcd") for _ in range(n))) for d, n in enumerate((0, 1, 4, 7, 30, 60))]
-    stream = fingerprints.grams(spark.createDataFrame(docs, "doc_id int, text string"), 3)
-    by = {}
-    for r in stream.collect():
-        by.setdefault(r.doc, {})[r.p] = r.h
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
     want = set()
-    for doc, h in by.items():
-        n = len(h)
-        for s in range(max(1, n - 5 + 1)):
-            w = [(h[p], -p) for p in range(s, min(s + 5, n))]
+    for doc, text in docs:
+        words = text.split()
+        h = [hashlib.md5(" ".join(words[p : p + 3]).encode()).hexdigest()[:12] for p in range(max(0, len(words) - 2))]
+        for s in range(max(1, len(h) - 5 + 1) if h else 0):
+            w = [(h[p], -p) for p in range(s, min(s + 5, len(h)))]
             want.add((doc, -min(w)[1], min(w)[0]))
-    assert {tuple(r) for r in fingerprints.winnow(stream, 5).collect()} == want
+    assert {tuple(r) for r in fingerprints.winnow(frame, 3, 5).collect()} == want
+    monkeypatch.setattr(fingerprints, "_PLACES", 8)  # the way of long documents
+    assert {tuple(r) for r in fingerprints.winnow(frame.where("doc_id = 5"), 3, 5).collect()} == {x for x in want if x[0] == 5}
+
+
+def test_gram_hashes(spark):
+    from sparkloom.functions import text as tx
+
+    words = "a b c a b c d a b".split()
+    frame = spark.createDataFrame([(words,)], "w array<string>")
+    for k in (1, 2, 3, 5, 7, 9, 10):
+        got = frame.select(tx.gram_hashes(F.col("w"), k)).first()[0]
+        want = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        assert len(got) == len(want) and len(set(got)) == len(set(want))
+        assert len(set(zip(got, want))) == len(set(want))
 
 
 def test_similarity_join_misses_no_pair(spark):
@@ -173,7 +186,8 @@ def test_similarity_join_misses_no_pair(spark):
             s.discard(rng.choice(sorted(s)))
             s.add(rng.randrange(60))
         sets.append((d, sorted(s), len(s)))
-    got = similarity.similarity_join(spark.createDataFrame(sets, "doc int, s array<bigint>, n bigint"))
+    frame = spark.createDataFrame(sets, "doc int, s array<bigint>, n bigint")
+    got = similarity.similarity_join(frame, similarity.known(frame))
     want = {
         (a, b) for (a, x, _), (b, y, _) in itertools.combinations(sets, 2) if len({*x} & {*y}) * 100 >= 80 * len({*x} | {*y})
     }
