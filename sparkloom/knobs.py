@@ -13,12 +13,31 @@ TOLERANCE, TOLERANCE_ABS = (102, 100), 10
 # Soft lines
 SOFT, HARD, ZONE_MAX, SOFT_CLAMP = 300, 750, 10, (200, 500)
 # Scores
-SCALE, NEUTRAL_COST, WEIGHT = 1000, 10, 1
+SCALE, NEUTRAL_COST = 1000, 10
 # Structure
-DEPTH, FANOUT, BIG_DIR, DIR_COST, MIX, MISPLACED = 8, 30, 8, 10, 5, 3
+DEPTH, FANOUT, BIG_DIR, MIX, MISPLACED = 8, 30, 8, 5, 3
 # Trends
-MIN_POINTS, TREND_BAND = 3, 0
+MIN_POINTS = 3
 # Moves between two texts
 MOVE_ANCHOR, MOVE_LINES, STACK_LINES, STACK_RATIO, BRIDGE = 19, 2, 20, 10, 7
 # Grades: measure code, warn above, fail above (0: no hard line)
 GRADES = ((0, 300, 750), (1, 50, 75), (2, 5, 0), (3, 15, 0), (4, 15, 0), (5, 4, 0), (6, 0, 0))
+
+
+def checked(given: dict) -> dict:
+    """Settings that a caller may override, with the defaults for the rest. Unknown names and ladders that do not ascend are refused."""
+    defaults = {
+        "min_words": MIN_WORDS, "hot_cap": HOT_CAP, "near_miss": NEAR_MISS, "run_tokens": RUN_TOKENS, "min_distinct": MIN_DISTINCT, "soft": SOFT, "hard": HARD,
+        "zone_max": ZONE_MAX, "depth": DEPTH, "fanout": FANOUT, "min_points": MIN_POINTS, "bridge": BRIDGE,
+    }
+    unknown = sorted(given.keys() - defaults.keys())
+    if unknown:
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    out = defaults | given
+    wrong = [k for k, v in out.items() if not isinstance(v, int) or isinstance(v, bool) or v < 1]
+    if wrong:
+        raise ValueError(f"not positive whole numbers: {', '.join(sorted(wrong))}")
+    for low, high in (("soft", "hard"), ("near_miss", "run_tokens")):
+        if out[low] >= out[high]:
+            raise ValueError(f"{low} has to be less than {high}")
+    return out

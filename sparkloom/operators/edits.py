@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom import knobs
+from sparkloom.operators.graph import settle
+from sparkloom.operators.intervals import band_pairs
 
 MOST_EDITS = 3000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -88,16 +90,19 @@ def post_order(html: str) -> tuple[list[str], list[int]]:
     labels: list[str] = []
     leaves: list[int] = []
 
-    def walk(node) -> int:
-        first = None
-        for child in node[1]:
-            leaf = walk(child)
-            first = leaf if first is None else first
+    work = [[tree.stack[0], 0, None]]  # node, children done, first leaf: a stack of its own, as pages nest deep
+    while work:
+        node, k, first = work[-1]
+        if k < len(node[1]):
+            work[-1][1] += 1
+            work.append([node[1][k], 0, None])
+            continue
+        work.pop()
+        leaf = len(labels) if first is None else first
         labels.append(node[0])
-        leaves.append(len(labels) - 1 if first is None else first)
-        return leaves[-1]
-
-    walk(tree.stack[0])
+        leaves.append(leaf)
+        if work and work[-1][2] is None:
+            work[-1][2] = leaf
     return labels, leaves
 
 
@@ -163,7 +168,7 @@ def large_tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list
 
 
 def page_clones(pages: DataFrame, cap: int = knobs.TREE_CAP) -> DataFrame:
-    """(a, b, na, nb, distance, clone): pages of one host of near element counts, of any size.
+    """(a, b, na, nb, distance, clone): pages of one host of near element counts, of any size and depth.
 
     The size prune is a range join on counts inside a host; equal trees are told without a search, and where both have over `cap` nodes
     the distance is found by rows.
@@ -180,14 +185,11 @@ def page_clones(pages: DataFrame, cap: int = knobs.TREE_CAP) -> DataFrame:
 
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     trees = pages.select(F.col("page_id").alias("page"), host.alias("host"), "html").mapInArrow(parse, schema)
-    sized = trees.withColumn("n", F.size("labels").cast("bigint")).where(F.col("n") >= knobs.MIN_NODES)
-    a, b = sized.alias("a"), sized.alias("b")
-    num, den = knobs.SIZE_RATIO
-    near = (F.col("a.page") < F.col("b.page")) & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
-    pairs = a.join(b, (F.col("a.host") == F.col("b.host")) & near).select(
-        F.col("a.page").alias("a"), F.col("b.page").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"),
-        F.col("a.labels").alias("la"), F.col("a.leaves").alias("fa"), F.col("b.labels").alias("lb"), F.col("b.leaves").alias("fb"),
-    )
+    sized = settle(trees.withColumn("n", F.size("labels").cast("bigint")).where(F.col("n") >= knobs.MIN_NODES))
+    found = band_pairs(sized, "host", "page", "n", *knobs.SIZE_RATIO).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # trees are fetched by id, for the pairs that are near
+    side = lambda x: sized.select(F.col("page").alias(x), F.col("n").alias(f"n{x}"), F.col("labels").alias(f"l{x}"), F.col("leaves").alias(f"f{x}"))
+    pairs = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "la", "fa", "lb", "fb")
     out = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "na", "nb", "distance")])
 
     def distance(x, y):

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.stores import new_path
+
 
 def settle(df: DataFrame) -> DataFrame:
     """Write to the folder of spark.checkpoint.dir and read back, so that a lost executor costs a task, not the loop."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-graph-")
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def arcs(edges: DataFrame) -> DataFrame:

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-store-")
+    """A new path in the shared folder. A local folder stands in only where none is set and Spark runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="loom-store-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

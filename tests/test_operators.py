@@ -293,3 +293,17 @@ def test_whole_moved_blocks_pass_common_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in registry.QUERIES["moved_blocks_whole"](spark, str(tmp_path)).where("a = 1 and b = 100").collect()]
     assert got == [(1, 100, 0, 0, 3, 25, True)]
+
+
+def test_settings_are_checked():
+    from sparkloom import knobs
+
+    assert knobs.checked({"soft": 100})["soft"] == 100 and knobs.checked({})["hard"] == knobs.HARD
+    for bad in ({"sofft": 1}, {"soft": 900}, {"hot_cap": 0}, {"depth": 1.5}, {"near_miss": 50}):
+        with pytest.raises(ValueError):
+            knobs.checked(bad)
+
+
+def test_deep_pages_have_a_tree():
+    labels, leaves = edits.post_order("<div>" * 3000 + "x")
+    assert len(labels) >= 3000 and set(leaves) == {0}
