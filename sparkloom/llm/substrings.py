@@ -40,6 +40,8 @@ WIDTH = SPAN + LENGTH
 CHUNK = 4_000
 #: Contexts of one anchor beyond which its windows are dealt out by their content.
 HOT = 20_000
+#: Such anchors at most: with more contexts in all, the limit grows.
+MOST_HOT = 100_000
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -380,9 +382,10 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
         dealt.sortWithinPartitions("gram", "context", "context2", "doc", "th", "place").mapInArrow(_first_contexts, _TASK), "anchors"
     )
     wanted = tasks.where("stop < 0")
-    # at most asked / HOT grams, so a broadcast of a bounded share
-    hot_grams = wanted.groupBy("gram").count().where(F.col("count") > HOT).select("gram", F.lit(True).alias("hot"))
-    wanted = wanted.join(hot_grams, "gram", "left").select("doc", "th", "start", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
+    # at most MOST_HOT grams can be that hot, so they are broadcast, and what asks stays where it is
+    most = max(HOT, -(-wanted.count() // MOST_HOT))
+    hot_grams = wanted.groupBy("gram").count().where(F.col("count") > most).select("gram", F.lit(True).alias("hot"))
+    wanted = wanted.join(F.broadcast(hot_grams), "gram", "left").select("doc", "th", "start", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
     asked = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "gram", "hot")).alias("asked"))
     contexts = source.join(asked, ["doc", "th"]).mapInArrow(
         _contexts, "gram bigint, hot boolean, doc bigint, th bigint, place bigint, lead int, context binary"
