@@ -152,7 +152,7 @@ _GROUP = "g bigint, g2 bigint, tile int, h array<bigint>"
 
 
 def _groups(batches):
-    """Sorted by key, h: distinct lines that share a band, as whole groups (tile -1), named by their members, or as tiles of one."""
+    """Sorted by key: distinct lines that share a band, as whole groups (tile -1), named by their members, or as tiles of one."""
     held: np.ndarray | None = None  # rows of the last group, which may go on: key, h, size
     sent = 0  # tiles of that group that have left
     for batch in _and_end(batches):
@@ -162,6 +162,7 @@ def _groups(batches):
             rows = new if held is None else np.concatenate([held, new])
         if rows is None or not len(rows):
             continue
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         first = np.ones(len(rows), bool)
         first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
         rows = rows[first]
@@ -429,7 +430,7 @@ def kept_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     groups = materialise(
         source.select("text").mapInArrow(_bands, "key bigint, h bigint, size int")
         .repartition(parts, "key")
-        .sortWithinPartitions("key", "h")
+        .sortWithinPartitions("key")  # one column of longs is sorted by radix; a task puts the lines of a key in order itself
         .mapInArrow(_groups, _GROUP),
         "groups",
     )
