@@ -21,16 +21,20 @@ def arcs(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(node, depth): nodes reached from the seeds and in how many steps. Each round follows the frontier alone."""
-    edges = settle(arcs(edges))
-    seen = settle(seeds.select(F.col("node").cast("bigint").alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for depth in range(1, most_rounds + 1):
-        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = settle(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+    """(node, depth): nodes reached from the seeds and in how many steps.
+
+    Each round follows the frontier alone and writes it once, as the next depth of a partitioned table; nothing seen is written again.
+    """
+    spark, edges, path = edges.sparkSession, settle(arcs(edges)), new_path(edges.sparkSession, "reach")
+    front = seeds.select(F.col("node").cast("bigint").alias("node")).where("node is not null").distinct()
+    for depth in range(most_rounds + 1):
+        front.write.parquet(f"{path}/depth={depth}")
+        front = spark.read.schema("node bigint").parquet(f"{path}/depth={depth}")
+        seen = spark.read.schema("node bigint, depth int").parquet(path)
         if front.isEmpty():
             return seen
-        seen = settle(seen.unionByName(front))
+        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        front = step.join(seen.select("node"), "node", "left_anti")
     raise RuntimeError("most_rounds is too small for this graph")
 
 
@@ -65,16 +69,18 @@ def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     done = None
     left = e
     for _ in range(most_rounds):
+        size = left.count()
         while True:  # peel
             inner = settle(
                 left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
                     left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
                 ).select("src", "dst")
             )
-            if inner.count() == left.count():
+            rest = inner.count()
+            if rest == size:
                 break
-            left = inner
-        if left.isEmpty():
+            left, size = inner, rest
+        if size == 0:
             break
         colour = settle(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("c", F.col("node")))
         while True:

@@ -95,7 +95,7 @@ def provenance_semi_join(spark, d):
 
 
 _LEGS = """sim as (select distinct least(a.l_partkey, b.l_partkey) as a, greatest(a.l_partkey, b.l_partkey) as b from lineitem a join lineitem b
-    on a.l_orderkey = b.l_orderkey and a.l_partkey <> b.l_partkey where a.l_quantity >= 45 and b.l_quantity >= 45),
+    on a.l_orderkey = b.l_orderkey and a.l_partkey <> b.l_partkey),
 pos as (select p_partkey as k, p_size as v from part where p_size > 10), churn as (select l_partkey as k, count(*) as n from lineitem where l_tax > 0.07 group by 1)"""
 
 
@@ -106,13 +106,9 @@ from sim left join pos x on a = x.k left join pos y on b = y.k left join churn u
 )
 def outer_leg_join(spark, d):
     """Pairs with optional legs: positions stay null where absent, churn counts as zero."""
-    return _legs(spark, d, table(spark, d, "lineitem").where("l_quantity >= 45"))
-
-
-def _legs(spark, d, lines):
     li = table(spark, d, "lineitem")
-    heavy = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    x, y = heavy.alias("x"), heavy.alias("y")
+    parts = li.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    x, y = parts.alias("x"), parts.alias("y")
     sim = x.join(y, (F.col("x.o") == F.col("y.o")) & (F.col("x.p") < F.col("y.p"))).select(F.col("x.p").alias("a"), F.col("y.p").alias("b")).distinct()
     pos = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
     churn = li.where("l_tax > 0.07").groupBy(F.col("l_partkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -124,16 +120,6 @@ def _legs(spark, d, lines):
     return out.select("a", "b", "pos_a", "pos_b", zero("churn_a"), zero("churn_b"), legs.alias("legs"))
 
 
-@query(
-    f"""with {_LEGS.replace(" where a.l_quantity >= 45 and b.l_quantity >= 45", "")} select a, b, x.v as pos_a, y.v as pos_b, cast(coalesce(u.n, 0) as bigint) as churn_a,
-    cast(coalesce(w.n, 0) as bigint) as churn_b, cast(x.v is not null as int) + 2 * cast(y.v is not null as int) as legs
-from sim left join pos x on a = x.k left join pos y on b = y.k left join churn u on a = u.k left join churn w on b = w.k"""
-)
-def outer_leg_join_whole(spark, d):
-    """Pairs of all lines with the same optional legs."""
-    return _legs(spark, d, table(spark, d, "lineitem"))
-
-
 @query(
     """with t as (select l_partkey as k, max(cast(l_returnflag = 'R' as int)) as r, max(cast(l_quantity >= 50 as int)) as q from lineitem group by 1)
 select coalesce(r, 0) + 2 * coalesce(q, 0) as bits, cast(count(*) as bigint) as n, coalesce(r, 0) + 2 * coalesce(q, 0) > 0 as convicted from part left join t on p_partkey = k group by all"""

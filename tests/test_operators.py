@@ -201,7 +201,7 @@ def test_segments_of_nulls(spark):
     assert fingerprints.grams(docs, 3).agg(F.count(F.lit(1))).first()[0] == 4
 
 
-def test_whole_graph_queries_take_every_arc(spark, sf):
+def test_graph_queries_take_every_arc(spark, sf):
     from sparkloom.plans import registry
 
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").collect()
@@ -216,7 +216,7 @@ def test_whole_graph_queries_take_every_arc(spark, sf):
     nodes = {n for a in arcs for n in a}
     reach = closure(nodes, arcs)
     both = closure(nodes, arcs | {(b, a) for a, b in arcs})
-    run = lambda name: registry.QUERIES[f"graph_whole_{name}"](spark, sf).collect()
+    run = lambda name: registry.QUERIES[f"graph_{name}"](spark, sf).collect()
     strong = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
     size = {c: sum(s == c for s in strong.values()) for c in strong.values()}
     assert dict(run("components")) == {n: min(both[n]) for n in nodes}
@@ -226,14 +226,14 @@ def test_whole_graph_queries_take_every_arc(spark, sf):
     assert {r.node: (r.indeg, r.outdeg, r.component, r["size"]) for r in run("positions")} == degrees
 
 
-def test_whole_relocations_cross_supplier_groups(spark, tmp_path):
+def test_relocations_cross_supplier_groups(spark, tmp_path):
     from datetime import datetime
 
     from sparkloom.plans import registry
 
     rows = [(1, 3, datetime(1997, 1, 1)), (1, 3, datetime(1997, 2, 1)), (1, 4, datetime(1998, 1, 1)), (1, 13, datetime(1998, 1, 1))]
     spark.createDataFrame(rows, "l_partkey bigint, l_suppkey bigint, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {tuple(r) for r in registry.QUERIES["relocations_whole"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in registry.QUERIES["relocations"](spark, str(tmp_path)).collect()}
     assert got == {(3, 4, 1, 1), (3, 13, 1, 1)}
 
 
