@@ -167,42 +167,64 @@ def large_tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list
     return int(dist[-1, -1])
 
 
-def page_clones(pages: DataFrame, cap: int = knobs.TREE_CAP) -> DataFrame:
-    """(a, b, na, nb, distance, clone): pages of one host of near element counts, of any size and depth.
+_TREES = T.StructType([T.StructField("page", T.LongType()), T.StructField("host", T.StringType()), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("leaves", T.ArrayType(T.IntegerType()))])
 
-    The size prune is a range join on counts inside a host; equal trees are told without a search, and where both have over `cap` nodes
-    the distance is found by rows.
-    """
-    schema = T.StructType([T.StructField("page", T.LongType()), T.StructField("host", T.StringType()), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("leaves", T.ArrayType(T.IntegerType()))])
+
+def page_trees(pages: DataFrame) -> DataFrame:
+    """(page, host, labels, leaves, n, tree): every page's elements in post order, how many there are, and SHA-256 of the tree. Null html has the root alone."""
 
     def parse(batches):
         for batch in batches:
             trees = [post_order(x or "") for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page"), batch.column("host"), pa.array([t[0] for t in trees], pa.list_(pa.string())), pa.array([t[1] for t in trees], pa.list_(pa.int32()))],
-                names=schema.names,
+                names=_TREES.names,
             )
 
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
-    trees = pages.select(F.col("page_id").alias("page"), host.alias("host"), "html").mapInArrow(parse, schema)
-    sized = settle(trees.withColumn("n", F.size("labels").cast("bigint")).where(F.col("n") >= knobs.MIN_NODES))
-    found = band_pairs(sized, "host", "page", "n", *knobs.SIZE_RATIO).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # trees are fetched by id, for the pairs that are near
-    side = lambda x: sized.select(F.col("page").alias(x), F.col("n").alias(f"n{x}"), F.col("labels").alias(f"l{x}"), F.col("leaves").alias(f"f{x}"))
-    pairs = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "la", "fa", "lb", "fb")
-    out = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "na", "nb", "distance")])
-
-    def distance(x, y):
-        if x == y:
-            return 0
-        return (large_tree_distance if min(len(x[0]), len(y[0])) > cap else tree_distance)(x, y)
+    trees = pages.select(F.col("page_id").alias("page"), host.alias("host"), "html").mapInArrow(parse, _TREES)
+    return trees.withColumn("n", F.size("labels").cast("bigint")).withColumn("tree", F.sha2(F.to_json(F.struct("labels", "leaves")), 256))
+
+
+def page_classes(trees: DataFrame) -> DataFrame:
+    """(host, tree, n, page, copies): pages of a host with one tree, as their smallest page and how many they are."""
+    return trees.groupBy("host", "tree", "n").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("copies"))
 
-    def judge(batches):
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("la", "fa", "lb", "fb")]
-            d = [distance((p, q), (r, s)) for p, q, r, s in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(d, pa.int64())], names=out.names)
 
+def page_clones(trees: DataFrame, cap: int = knobs.TREE_CAP) -> DataFrame:
+    """(a, b, na, nb, copies_a, copies_b, distance, clone): pairs of classes of one host whose element counts are near, of any size and depth.
+
+    Pages of one tree are one class, named by its smallest page, so copies make no pairs. The size prune is a range join on counts inside a host.
+    The distance is at least what the labels, counted with multiplicity, do not have in common; where that alone rules a clone out, distance is
+    null. All other pairs of trees are compared once, however many hosts have them, and by rows where both have over `cap` nodes.
+    `trees` is read from several sides and should be a written table.
+    """
+    sized = trees.where(F.col("n") >= knobs.MIN_NODES)
+    classes = settle(page_classes(sized))
+    near = band_pairs(classes, "host", "page", "n", *knobs.SIZE_RATIO).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    side = lambda x: classes.select(F.col("page").alias(x), F.col("n").alias(f"n{x}"), F.col("copies").alias(f"copies_{x}"), F.col("tree").alias(f"t{x}"))
+    found = settle(near.join(side("a"), "a").join(side("b"), "b"))
+    x, y = F.least("ta", "tb").alias("x"), F.greatest("ta", "tb").alias("y")
+    counted = F.transform(F.array_distinct("labels"), lambda v: F.struct(v, F.size(F.filter("labels", lambda w: w == v))))
+    forms = settle(sized.groupBy("tree").agg(F.first("labels").alias("l"), F.first("leaves").alias("f")).withColumnRenamed("l", "labels").withColumn("kinds", F.map_from_entries(counted)))
     tn, td = knobs.TREE_RATIO
+    kinds = lambda k: forms.select(F.col("tree").alias(k), F.col("kinds").alias(f"k{k}"), F.size("labels").alias(f"n{k}"))
+    common = F.aggregate(F.map_keys("kx"), F.lit(0), lambda t, k: t + F.least(F.col("kx")[k], F.coalesce(F.try_element_at("ky", k), F.lit(0))))
+    alike = found.select(x, y).distinct().join(kinds("x"), "x").join(kinds("y"), "y").where(common * td >= F.greatest("nx", "ny") * tn).select("x", "y")
+    whole = lambda k: forms.select(F.col("tree").alias(k), F.col("labels").alias(f"l{k}"), F.col("f").alias(f"f{k}"))
+    rows = alike.join(whole("x"), "x").join(whole("y"), "y").select("x", "y", "lx", "fx", "ly", "fy")
+    out = T.StructType([T.StructField("x", T.StringType()), T.StructField("y", T.StringType()), T.StructField("distance", T.LongType())])
+
+    def judge(batches):
+        for batch in batches:
+            d = []
+            for p, q, r, s in zip(*(batch.column(c).to_pylist() for c in ("lx", "fx", "ly", "fy"))):
+                d.append((large_tree_distance if min(len(p), len(r)) > cap else tree_distance)((p, q), (r, s)))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(d, pa.int64())], names=out.names)
+
+    # the pairs are dealt anew, as their arrays weigh little and their search much
+    deal = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    judged = settle(rows.repartition(4 * deal).mapInArrow(judge, out))
     most = F.greatest("na", "nb")
-    return pairs.mapInArrow(judge, out).withColumn("clone", (most - F.col("distance")) * td >= most * tn)
+    clone = F.coalesce((most - F.col("distance")) * td >= most * tn, F.lit(False))
+    return found.select("*", x, y).join(judged, ["x", "y"], "left").select("a", "b", "na", "nb", "copies_a", "copies_b", "distance", clone.alias("clone"))

@@ -142,6 +142,17 @@ runs as (select a, b, min(pa) as pa, min(pb) as pb, count(*) + {knobs.KGRAM - 1}
 
 _WHOLE_RUNS = _RUNS.replace(f"(a.n <= {knobs.HOT_CAP} or b.rn = a.rn + 1) and ", "")
 
+_BLOCKS = f"""select a, b, cast(pa as bigint) as pa, cast(pb as bigint) as pb, cast(tokens as bigint) as tokens, cast(n_distinct as bigint) as n_distinct
+from runs x where tokens >= {knobs.RUN_TOKENS} and n_distinct >= {knobs.MIN_DISTINCT} and not exists (
+    select 1 from runs y where x.a = y.a and x.b = y.b and y.tokens > x.tokens and y.pa <= x.pa and y.pa + y.tokens >= x.pa + x.tokens
+        and y.pb <= x.pb and y.pb + y.tokens >= x.pb + x.tokens)"""
+_GROUPS = f"""blocks as ({_BLOCKS}), both_ways as (select a as src, b as dst from blocks union select b, a from blocks),
+reach(x, y) as (select src, src from both_ways union select x, dst from reach join both_ways on src = y and dst > x),
+label as (select y as node, min(x) as component from reach group by y),
+size as (select component, count(*) as members from label group by component),
+best as (select component, count(*) as blocks, max(tokens) as tokens from blocks join label on a = node group by component)
+select component, cast(members as bigint) as members, cast(blocks as bigint) as blocks, tokens from size join best using (component)"""
+
 
 def _clone_runs(spark, d, cap=knobs.HOT_CAP):
     places = graph.settle(fp.grams(table(spark, d, "documents"), knobs.KGRAM))
@@ -149,10 +160,7 @@ def _clone_runs(spark, d, cap=knobs.HOT_CAP):
 
 
 @query(
-    f"""with {_RUNS} select a, b, cast(pa as bigint) as pa, cast(pb as bigint) as pb, cast(tokens as bigint) as tokens, cast(n_distinct as bigint) as n_distinct
-from runs x where tokens >= {knobs.RUN_TOKENS} and n_distinct >= {knobs.MIN_DISTINCT} and not exists (
-    select 1 from runs y where x.a = y.a and x.b = y.b and y.tokens > x.tokens and y.pa <= x.pa and y.pa + y.tokens >= x.pa + x.tokens
-        and y.pb <= x.pb and y.pb + y.tokens >= x.pb + x.tokens)"""
+    f"with {_RUNS} {_BLOCKS}"
 )
 def clone_blocks(spark, d):
     """Verified runs long and varied enough, without those inside a longer run of the same pair."""
@@ -189,7 +197,7 @@ def clone_near_misses_whole(spark, d):
     return _counted(_clone_runs(spark, d, None))
 
 
-@query()
+@query(f"with recursive {_RUNS}, {_GROUPS}")
 def clone_groups(spark, d):
     """Groups of documents connected by clone blocks: members, blocks, longest run. Least labels spread in rounds."""
     return _grouped(graph.settle(clone_blocks(spark, d)))
@@ -205,10 +213,7 @@ def _grouped(blocks):
 
 
 @query(
-    f"""with {_WHOLE_RUNS} select a, b, cast(pa as bigint) as pa, cast(pb as bigint) as pb, cast(tokens as bigint) as tokens, cast(n_distinct as bigint) as n_distinct
-from runs x where tokens >= {knobs.RUN_TOKENS} and n_distinct >= {knobs.MIN_DISTINCT} and not exists (
-    select 1 from runs y where x.a = y.a and x.b = y.b and y.tokens > x.tokens and y.pa <= x.pa and y.pa + y.tokens >= x.pa + x.tokens
-        and y.pb <= x.pb and y.pb + y.tokens >= x.pb + x.tokens)"""
+    f"with {_WHOLE_RUNS} {_BLOCKS}"
 )
 def clone_blocks_whole(spark, d):
     """Clone blocks with all places of every gram paired: no run breaks at a common passage. Quadratic in a gram's places."""
@@ -216,7 +221,7 @@ def clone_blocks_whole(spark, d):
     return runs.where((F.col("tokens") >= knobs.RUN_TOKENS) & (F.col("n_distinct") >= knobs.MIN_DISTINCT))
 
 
-@query()
+@query(f"with recursive {_WHOLE_RUNS}, {_GROUPS}")
 def clone_groups_whole(spark, d):
     """Groups of documents connected by clone blocks, with all places of every gram paired."""
     return _grouped(graph.settle(clone_blocks_whole(spark, d)))
@@ -323,7 +328,18 @@ def turn_line_diff(spark, d):
 
 @query()
 def page_tree_distance(spark, d):
-    """Tree edit distance between pages of one host whose element counts are near: size prune, then Zhang-Shasha in Arrow batches."""
+    """Tree edit distance between classes of equal pages of one host whose element counts are near: size and label prunes, then Zhang-Shasha in Arrow
+    batches, once for each pair of trees. `page_tree_classes` says which pages a class has."""
+    from sparkloom.operators import edits
+
+    return edits.page_clones(graph.settle(edits.page_trees(table(spark, d, "pages"))))
+
+
+@query()
+def page_tree_classes(spark, d):
+    """Every page with the smallest page of its host that has the same tree of elements, and how many have it."""
     from sparkloom.operators import edits
 
-    return edits.page_clones(table(spark, d, "pages"))
+    trees = graph.settle(edits.page_trees(table(spark, d, "pages")).select("page", "host", "tree", "n"))
+    classes = edits.page_classes(trees).select(F.col("host").alias("its"), F.col("tree").alias("form"), F.col("page").alias("class"), "copies")
+    return trees.join(classes, F.col("host").eqNullSafe(F.col("its")) & (F.col("tree") == F.col("form"))).select("page", "n", "class", "copies")

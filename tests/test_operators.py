@@ -265,11 +265,51 @@ def test_large_pages_are_judged(spark):
     page = "<html><body><table>" + row * 42 + "</table></body></html>"  # 297 elements, and a root
     other = page.replace("<b>x</b>", "<i>x</i>", 2).replace("</table>", "<tr></tr></table>")
     pages = [(1, "http://h/a", page), (2, "http://h/b", page), (3, "http://h/c", other)]
-    got = edits.page_clones(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
-    assert {(r.a, r.b): (r.na, r.nb, r.distance, r.clone) for r in got} == {(1, 2): (298, 298, 0, True), (1, 3): (298, 299, 3, True), (2, 3): (298, 299, 3, True)}
+    made = edits.page_trees(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    got = edits.page_clones(made).collect()
+    assert [tuple(r) for r in got] == [(1, 3, 298, 299, 2, 1, 3, True)]
+    assert [(r.page, r.copies) for r in edits.page_classes(made).orderBy("page").collect()] == [(1, 2), (3, 1)]
     assert edits.tree_distance(edits.post_order(page), edits.post_order(other)) == 3
 
 
+def test_page_clones_are_those_of_all_pairs(spark, tmp_path):
+    """Expanded by its classes, the result has the clones of every pair of pages of a host, judged one by one."""
+    from sparkloom import knobs
+    from sparkloom.plans import registry
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(48):
+        n_p, n_b = rng.choice([(30, 2), (31, 2), (33, 5), (36, 2), (24, 8)])
+        tags = ["p"] * n_p + ["b"] * n_b
+        if rng.random() < 0.5:
+            rng.shuffle(tags)
+        rows.append((i, rng.choice(["http://h/x", "http://g/y", "http://h/z"]), "<html>" + "".join(f"<{t}>w</{t}>" for t in tags) + "</html>"))
+    rows += [(100 + i, u, h) for i, (_, u, h) in enumerate(rows[:9])] + [(200, "http://h/n", None), (201, None, rows[0][2]), (202, "http://h/e", "")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    num, den = knobs.TREE_RATIO
+    near, far = knobs.SIZE_RATIO
+    tree = {i: edits.post_order(h or "") for i, _, h in rows}
+    host = {i: u and u.split("/")[2] for i, u, _ in rows}
+    want = set()
+    for a, b in itertools.combinations(sorted(tree), 2):
+        na, nb = len(tree[a][0]), len(tree[b][0])
+        if host[a] and host[a] == host[b] and min(na, nb) >= knobs.MIN_NODES and min(na, nb) * far >= max(na, nb) * near:
+            d = edits.large_tree_distance(tree[a], tree[b])
+            if (max(na, nb) - d) * den >= max(na, nb) * num:
+                want.add((a, b, d))
+    members = {}
+    for r in registry.QUERIES["page_tree_classes"](spark, str(tmp_path)).collect():
+        members.setdefault(r["class"], []).append(r.page)
+    assert sorted(x for m in members.values() for x in m) == sorted(tree)
+    found = registry.QUERIES["page_tree_distance"](spark, str(tmp_path)).collect()
+    assert any(r.distance is None for r in found) and all(r.copies_a == len(members[r.a]) for r in found)
+    got = {(min(x, y), max(x, y), r.distance) for r in found if r.clone for x in members[r.a] for y in members[r.b]}
+    big = lambda m: host[m[0]] and len(tree[m[0]][0]) >= knobs.MIN_NODES
+    got |= {(*pair, 0) for m in members.values() if big(m) for pair in itertools.combinations(sorted(m), 2)}
+    assert got == want and len({d for *_, d in want}) > 2
+
+
 def test_whole_clone_runs_pass_common_passages(spark, tmp_path):
     from sparkloom.plans import registry
 
