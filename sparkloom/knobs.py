@@ -5,7 +5,7 @@ SHINGLE_WORDS, MIN_WORDS, JACCARD, VERBATIM_WORDS, HOT_CAP = 5, 50, (80, 100), 5
 # Clone runs over token k-grams
 KGRAM, WINDOW, RUN_TOKENS, NEAR_MISS, MIN_DISTINCT = 25, 26, 50, 25, 7
 # Near-equal sizes and trees
-SIZE_RATIO, TREE_RATIO, TREE_CAP, MIN_NODES = (85, 100), (85, 100), 256, 24
+SIZE_RATIO, TREE_RATIO, MIN_NODES = (85, 100), (85, 100), 24
 # Co-change
 COCHANGE_FLOOR, COMMIT_FILES = 2, 20
 # Ratchet

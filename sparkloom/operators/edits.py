@@ -106,64 +106,72 @@ def post_order(html: str) -> tuple[list[str], list[int]]:
     return labels, leaves
 
 
-def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> int:
-    """Least number of node inserts, deletes and relabels between two ordered trees."""
-    (la, fa), (lb, fb) = a, b
+def _forests(first: list[int], width: int) -> list[tuple]:
+    """The forests of a tree's key roots side by side, in blocks of about `width` columns: those that hold no other come first.
 
-    def roots(first: list[int]) -> list[int]:
-        last = {f: i for i, f in enumerate(first)}
-        return sorted(last.values())
-
-    dist = [[0] * len(lb) for _ in la]
-    for i in roots(fa):
-        for j in roots(fb):
-            p, q = fa[i], fb[j]
-            w = [[0] * (j - q + 2) for _ in range(i - p + 2)]
-            for x in range(1, i - p + 2):
-                w[x][0] = x
-            for y in range(1, j - q + 2):
-                w[0][y] = y
-            for x in range(1, i - p + 2):
-                for y in range(1, j - q + 2):
-                    s, t = p + x - 1, q + y - 1
-                    best = min(w[x - 1][y], w[x][y - 1]) + 1
-                    if fa[s] == p and fb[t] == q:
-                        best = min(best, w[x - 1][y - 1] + (la[s] != lb[t]))
-                        dist[s][t] = best
-                    else:
-                        best = min(best, w[fa[s] - p][fb[t] - q] + dist[s][t])
-                    w[x][y] = best
-    return dist[-1][-1] if la and lb else len(la) + len(lb)
-
-
-def large_tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> int:
-    """The same distance for large trees: a row of the table at once; what comes from the left is a running minimum."""
+    A block has, for each column, how many nodes its prefix has and an offset that grows from forest to forest, and for the columns of nodes:
+    place, node, place of the prefix before the node's subtree, and whether the subtree is all of the prefix.
+    """
+    last = {f: j for j, f in enumerate(first)}
+    level: dict[int, int] = {}
+    for j in sorted(last.values()):
+        q = first[j]
+        level[j] = max((level[last[f]] + 1 for f in first[q : j + 1] if f != q), default=0)
+    blocks: list[list[int]] = []
+    room = at = -1
+    for j in sorted(level, key=lambda j: (level[j], j)):
+        need = j - first[j] + 2
+        if level[j] != at or need > room:
+            blocks.append([])
+            at, room = level[j], width
+        blocks[-1].append(j)
+        room -= need
+    out, tree = [], np.array(first)
+    for roots in blocks:
+        sizes = np.array([j - first[j] + 2 for j in roots])
+        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        count = np.arange(len(start)) - start
+        q = np.repeat([first[j] for j in roots], sizes)
+        place = np.flatnonzero(count)
+        node = (q + count - 1)[place]
+        before = tree[node] - q[place]
+        apart = np.repeat(np.arange(len(roots)), sizes)
+        out.append((count, apart, place, node, start[place] + before, before == 0))
+    return out
+
+
+def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]], most: int = 1 << 22) -> int:
+    """Least number of node inserts, deletes and relabels between two ordered trees (Zhang-Shasha).
+
+    A row of the table is found for many key roots of the second tree at once, in blocks of about `most` cells, however large the trees;
+    what comes from the left is a running minimum, which an offset starts anew at each forest.
+    """
     (la, fa), (lb, fb) = a, b
     if not la or not lb:
         return len(la) + len(lb)
     code = {c: i for i, c in enumerate({*la, *lb})}
     ca, cb = (np.array([code[c] for c in x]) for x in (la, lb))
-    first = np.array(fb)
-    dist = np.zeros((len(la), len(lb)), np.int32)
-    ends = sorted({f: j for j, f in enumerate(fb)}.values())
+    dist = np.zeros((len(la), len(lb)), np.int64)
+    blocks = [
+        (count, count + apart * (len(la) + len(lb) + 2), place, node, left, whole, cb[node], place[whole], node[whole])
+        for count, apart, place, node, left, whole in _forests(fb, most // (len(la) + 1))
+    ]
     for i in sorted({f: i for i, f in enumerate(fa)}.values()):
-        for j in ends:
-            p, q = fa[i], fb[j]
-            at = np.arange(j - q + 2, dtype=np.int32)
-            left = first[q : j + 1] - q
-            whole = left == 0
-            w = np.empty((i - p + 2, len(at)), np.int32)
-            w[0] = at
-            for x in range(1, i - p + 2):
-                s = p + x - 1
-                best = w[fa[s] - p][left] + dist[s, q : j + 1]
+        p = fa[i]
+        for count, offset, place, node, left, whole, labels, at, tops in blocks:
+            w = np.empty((i - p + 2, len(count)), np.int64)
+            w[0] = count
+            for x, s in enumerate(range(p, i + 1), 1):
+                best = w[fa[s] - p][left] + dist[s][node]
                 if fa[s] == p:
-                    best = np.where(whole, w[x - 1, :-1] + (ca[s] != cb[q : j + 1]), best)
+                    best = np.where(whole, w[x - 1][place - 1] + (labels != ca[s]), best)
                 row = w[x - 1] + 1
-                row[1:] = np.minimum(row[1:], best)
-                w[x] = np.minimum.accumulate(row - at) + at
+                row[place] = np.minimum(row[place], best)
+                row -= offset
+                np.minimum.accumulate(row, out=w[x])
+                w[x] += offset
                 if fa[s] == p:
-                    dist[s, q : j + 1][whole] = w[x, 1:][whole]
+                    dist[s, tops] = w[x][at]
     return int(dist[-1, -1])
 
 
@@ -191,12 +199,12 @@ def page_classes(trees: DataFrame) -> DataFrame:
     return trees.groupBy("host", "tree", "n").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("copies"))
 
 
-def page_clones(trees: DataFrame, cap: int = knobs.TREE_CAP) -> DataFrame:
+def page_clones(trees: DataFrame) -> DataFrame:
     """(a, b, na, nb, copies_a, copies_b, distance, clone): pairs of classes of one host whose element counts are near, of any size and depth.
 
     Pages of one tree are one class, named by its smallest page, so copies make no pairs. The size prune is a range join on counts inside a host.
     The distance is at least what the labels, counted with multiplicity, do not have in common; where that alone rules a clone out, distance is
-    null. All other pairs of trees are compared once, however many hosts have them, and by rows where both have over `cap` nodes.
+    null. All other pairs of trees are compared once, however many hosts have them.
     `trees` is read from several sides and should be a written table.
     """
     sized = trees.where(F.col("n") >= knobs.MIN_NODES)
@@ -219,7 +227,7 @@ def page_clones(trees: DataFrame, cap: int = knobs.TREE_CAP) -> DataFrame:
         for batch in batches:
             d = []
             for p, q, r, s in zip(*(batch.column(c).to_pylist() for c in ("lx", "fx", "ly", "fy"))):
-                d.append((large_tree_distance if min(len(p), len(r)) > cap else tree_distance)((p, q), (r, s)))
+                d.append(tree_distance((p, q), (r, s)))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(d, pa.int64())], names=out.names)
 
     # the pairs are dealt anew, as their arrays weigh little and their search much

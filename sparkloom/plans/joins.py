@@ -72,11 +72,11 @@ def interval_semi_join(spark, d):
     return listed.join(points, inside, "left_semi").select("c", "span", "start", "stop").distinct()
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
 def anti_join(spark, d):
-    """Customers without an order."""
-    c = table(spark, d, "customer")
-    return c.join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Orders of which no line came back."""
+    back = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    return table(spark, d, "orders").join(back, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
 @query(
@@ -169,15 +169,15 @@ def resolution_ladder(spark, d):
 
 @query(
     """with w as (select distinct doc_id, source, unnest(coalesce(regexp_extract_all(lower(text), '([\\p{L}\\p{N}\\p{M}]+)', 1), [])) as word from documents),
-n as (select distinct unnest(coalesce(regexp_extract_all(lower(p_name), '([\\p{L}\\p{N}\\p{M}]+)', 1), [])) as name from part)
+n as (select distinct unnest(coalesce(regexp_extract_all(lower(text), '([\\p{L}\\p{N}\\p{M}]+)', 1), [])) as name from benchmark)
 select source, name, cast(count(*) as bigint) as mentions from w join n on word = name where length(name) >= 3 group by all"""
 )
 def mentions(spark, d):
-    """Documents of each source that mention a word of a part's name, at word bounds, names of three letters and more: an equi-join of words."""
+    """Documents of each source that mention a word of a benchmark item, at word bounds, words of three letters and more: an equi-join of words."""
     from sparkloom.functions import text as tx
 
     w = table(spark, d, "documents").select("doc_id", "source", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("word"))
-    n = table(spark, d, "part").select(F.explode(tx.words(F.col("p_name"))).alias("name")).where(F.length("name") >= 3).distinct()
+    n = table(spark, d, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("name")).where(F.length("name") >= 3).distinct()
     return w.join(n, F.col("word") == F.col("name")).groupBy("source", "name").agg(F.count(F.lit(1)).alias("mentions"))
 
 

@@ -85,12 +85,12 @@ def cochange_small_orders(spark, d):
 @query(
     f"""with {_PAIRS.format(cap=knobs.COMMIT_FILES)},
 t as (select a, b, n from pairs order by n desc, a, b limit 20)
-select a, b, cast(n as bigint) as n, cast((select count(*) from pairs) - 20 as bigint) as rest from t"""
+select a, b, cast(n as bigint) as n, cast(greatest((select count(*) from pairs) - 20, 0) as bigint) as rest from t"""
 )
 def cochange_top(spark, d):
     """The twenty most frequent pairs, and how many more there are."""
     pairs = cochange(spark, d, knobs.COMMIT_FILES, 1)
-    rest = pairs.agg((F.count(F.lit(1)) - 20).alias("rest"))
+    rest = pairs.agg(F.greatest(F.count(F.lit(1)) - 20, F.lit(0)).alias("rest"))
     return pairs.orderBy(F.desc("n"), "a", "b").limit(20).join(rest, how="cross")
 
 

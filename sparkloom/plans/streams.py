@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query
-from sparkloom.sources import stores
 from sparkloom.sources.tables import table
 from sparkloom.streaming import feeds
 
@@ -17,10 +16,9 @@ def _feed(spark, d):
     """select time_bucket(interval 1 hour, ts) as start, event_type, cast(count(*) as bigint) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events group by all"""
 )
 def stream_tumbling(spark, d):
-    """Hourly windows by type, complete at the end of the input."""
-    w = _feed(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
-    done = feeds.run_to_end(w, "tumbling", "complete")
-    return done.select(F.col("w.start").alias("start"), "event_type", "n", "cents")
+    """Hourly windows by type: each batch gives the windows that it changed. The watermark delay spans the table, so no row is late."""
+    w = feeds.windowed(_feed(spark, d), "ts", feeds.whole_delay(table(spark, d, "events"), "ts"), "1 hour", ["event_type"])
+    return feeds.upserted(w, "tumbling", ["start", "event_type"])
 
 
 @query(
@@ -28,9 +26,9 @@ def stream_tumbling(spark, d):
 select start, cast(count(*) as bigint) as n from w group by start"""
 )
 def stream_sliding(spark, d):
-    """Hourly windows every quarter."""
-    w = _feed(spark, d).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return feeds.run_to_end(w, "sliding", "complete").select(F.col("w.start").alias("start"), "n")
+    """Hourly windows every quarter, in the same way."""
+    w = feeds.windowed(_feed(spark, d), "ts", feeds.whole_delay(table(spark, d, "events"), "ts"), "1 hour", [], "15 minutes")
+    return feeds.upserted(w, "sliding", ["start"]).select("start", "n")
 
 
 @query(
@@ -69,24 +67,8 @@ def stream_gate(spark, d):
 @query("select doc_id, md5(coalesce(text, '')) as h, lang from documents")
 def stream_refresh(spark, d):
     """Incremental refresh: a batch overwrites the buckets of changed content alone; replayed, it changes nothing."""
-    path = stores.new_path(spark, "refresh")
     docs = feeds.stream_of(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), "lang")
-
-    def upsert(batch, number):
-        new = batch.withColumn("bucket", F.pmod("doc_id", F.lit(16)))
-        if number:
-            old = spark.read.parquet(path)
-            gone = old.join(new.select("doc_id"), "doc_id", "left_anti").join(new.select("bucket").distinct(), "bucket", "left_semi")
-            new = feeds_checkpoint(new.unionByName(gone.select(new.columns)))
-        stores.overwrite_partitions(new, path, "bucket")
-
-    def feeds_checkpoint(df):
-        at = stores.new_path(spark, "refresh-step")
-        df.write.parquet(at)
-        return spark.read.parquet(at)
-
-    feeds.each_batch(docs, "refresh", upsert)
-    return spark.read.parquet(path).select("doc_id", "h", "lang")
+    return feeds.refreshed(docs, "refresh", "doc_id").select("doc_id", "h", "lang")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,27 +27,33 @@ def overwrite_partitions(rows: DataFrame, path: str, key: str) -> None:
 
 
 class Versions:
-    """Whole versions beside each other, and a log of pointers written last: readers see a complete version or none."""
+    """Whole versions beside each other, and pointers written last: readers see a complete version or none.
+
+    Every version has a folder and a pointer of its own. Two writers who take the same number at once both keep their rows, and readers agree on
+    the one whose name sorts last.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _last(self) -> int | None:
+    def _last(self) -> tuple[int, str] | None:
         try:
-            log = self.spark.read.schema("version int").parquet(f"{self.path}/pointers/*")
-            return log.agg(F.max("version")).first()[0]
-        except Exception as missing:  # the only way that readers of any store tell an absent path
-            if "PATH_NOT_FOUND" in str(missing):
+            log = self.spark.read.schema("version int, name string").parquet(f"{self.path}/pointers/*")
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
+        newest = log.agg(F.max(F.struct("version", "name"))).first()[0]
+        return None if newest is None else (newest["version"], newest["name"])
 
     def put(self, rows: DataFrame) -> int:
-        version = (self._last() or 0) + 1
-        rows.write.parquet(f"{self.path}/v{version}")
-        pointer = self.spark.createDataFrame([(version,)], "version int")
-        pointer.coalesce(1).write.parquet(f"{self.path}/pointers/p{version}")
+        last = self._last()
+        version, name = (last[0] + 1 if last else 1), uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{name}")
+        pointer = self.spark.createDataFrame([(version, name)], "version int, name string")
+        pointer.coalesce(1).write.parquet(f"{self.path}/pointers/{name}")
         return version
 
     def get(self) -> DataFrame | None:
-        version = self._last()
-        return None if version is None else self.spark.read.parquet(f"{self.path}/v{version}")
+        last = self._last()
+        return None if last is None else self.spark.read.parquet(f"{self.path}/{last[1]}")

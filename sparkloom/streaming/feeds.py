@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.sources import stores
 
@@ -39,10 +40,10 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.parquet(f"{out}/b{done}")
 
 
-def each_batch(stream: DataFrame, name: str, work: Callable[[DataFrame, int], None]) -> None:
+def each_batch(stream: DataFrame, name: str, work: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """foreachBatch to the end of the input."""
     state = stores.new_path(stream.sparkSession, f"{name}-state")
-    query = stream.writeStream.foreachBatch(work).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
@@ -61,10 +62,45 @@ def warn_once(events: DataFrame, keys: list[str], when: str, delay: str) -> Data
 
 
 def windowed(events: DataFrame, when: str, delay: str, width: str, keys: list[str], slide: str | None = None) -> DataFrame:
-    """Counts and sums by window and keys; late events beyond `delay` are left out."""
+    """start, keys, n, cents: counts and sums by window; events later than `delay` are left out. Times without a zone are read in the session's."""
     w = F.window(when, width, slide) if slide else F.window(when, width)
-    return events.withWatermark(when, delay).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    timed = events.withColumn(when, F.col(when).cast("timestamp")).withWatermark(when, delay)
+    counted = timed.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    return counted.select(F.col("w.start").cast(events.schema[when].dataType).alias("start"), *keys, "n", "cents")
 
 
-def sessions(events: DataFrame, when: str, delay: str, gap: str, keys: list[str]) -> DataFrame:
-    return events.withWatermark(when, delay).groupBy(F.session_window(when, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+def upserted(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run an aggregate in update mode to the end of the input: a batch writes the groups that it changed, and of each group the newest row counts.
+
+    A batch that is run again replaces what it wrote; state that the watermark has passed is dropped, and no batch writes the whole result again.
+    """
+    spark = stream.sparkSession
+    out = stores.new_path(spark, f"{name}-out")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    each_batch(stream, name, write, "update")
+    rest = [c for c in stream.columns if c not in keys]
+    every = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
+    newest = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("newest"))
+    return newest.select(*keys, "newest.*")
+
+
+def refreshed(stream: DataFrame, name: str, key: str, buckets: int = 16) -> DataFrame:
+    """The newest row of each key: a batch rewrites the buckets of its keys alone, and run again it changes nothing. A batch has a key once."""
+    spark = stream.sparkSession
+    path = stores.new_path(spark, name)
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+        if number:
+            old = spark.read.parquet(path)
+            stay = old.join(new.select(key), key, "left_anti").join(new.select("bucket").distinct(), "bucket", "left_semi")
+            step = stores.new_path(spark, f"{name}-step")  # a table is not overwritten while it is read
+            new.unionByName(stay.select(new.columns)).write.parquet(step)
+            new = spark.read.schema(new.schema).parquet(step)
+        stores.overwrite_partitions(new, path, "bucket")
+
+    each_batch(stream, name, upsert)
+    return spark.read.parquet(path).drop("bucket")

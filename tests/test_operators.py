@@ -260,7 +260,7 @@ def test_streams_do_not_depend_on_the_order_of_files(spark, tmp_path, name):
 def test_large_pages_are_judged(spark):
     every = [t for n in (1, 2, 3) for t in trees(n)]
     for a, b in itertools.product(every, every):
-        assert edits.large_tree_distance(post(a), post(b)) == forest_distance(a, b)
+        assert edits.tree_distance(post(a), post(b), 1) == forest_distance(a, b)
     row = "<tr>" + "<td><b>x</b></td>" * 3 + "</tr>"
     page = "<html><body><table>" + row * 42 + "</table></body></html>"  # 297 elements, and a root
     other = page.replace("<b>x</b>", "<i>x</i>", 2).replace("</table>", "<tr></tr></table>")
@@ -295,7 +295,7 @@ def test_page_clones_are_those_of_all_pairs(spark, tmp_path):
     for a, b in itertools.combinations(sorted(tree), 2):
         na, nb = len(tree[a][0]), len(tree[b][0])
         if host[a] and host[a] == host[b] and min(na, nb) >= knobs.MIN_NODES and min(na, nb) * far >= max(na, nb) * near:
-            d = edits.large_tree_distance(tree[a], tree[b])
+            d = edits.tree_distance(tree[a], tree[b])
             if (max(na, nb) - d) * den >= max(na, nb) * num:
                 want.add((a, b, d))
     members = {}
@@ -347,3 +347,63 @@ def test_settings_are_checked():
 def test_deep_pages_have_a_tree():
     labels, leaves = edits.post_order("<div>" * 3000 + "x")
     assert len(labels) >= 3000 and set(leaves) == {0}
+
+
+def _feed_of(spark, path, batches, schema):
+    """One file for each batch, taken in their order."""
+    import os
+    import time
+
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        for name in os.listdir(path):
+            at = os.path.join(path, name)
+            if name.endswith(".parquet") and os.path.getmtime(at) > time.time() - 1000:
+                os.utime(at, (time.time() - 2000 + 10 * n,) * 2)
+
+
+def test_refresh_takes_changes_and_replays(spark, tmp_path):
+    from sparkloom.streaming import feeds
+
+    first = [(i, f"t{i}", "en") for i in range(40)]
+    changed = [(3, "new", "fr"), (50, "more", "en")]
+    _feed_of(spark, f"{tmp_path}/documents.parquet", [first, changed, changed], "doc_id bigint, text string, lang string")
+    want = {i: (t, s) for i, t, s in first} | {3: ("new", "fr"), 50: ("more", "en")}
+    got = feeds.refreshed(feeds.stream_of(spark, str(tmp_path), "documents"), "refresh", "doc_id", 4).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.text, r.lang) for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_sliding", "stream_sessions"])
+def test_windows_span_files_in_any_order(spark, tmp_path, name):
+    from datetime import datetime, timedelta
+
+    from oracle import compare
+
+    from sparkloom.plans import registry
+
+    rng = random.Random(5)
+    rows = [(i, i % 3, rng.choice(["click", "error"]), datetime(1999, 1, 1) + timedelta(minutes=rng.randrange(3000)), i / 4) for i in range(200)]
+    _feed_of(spark, f"{tmp_path}/events.parquet", [rows[i::4] for i in range(4)], "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz, value double")
+    compare(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLES[name], str(tmp_path))
+
+
+def test_versions_keep_both_writers(spark, tmp_path):
+    from sparkloom.sources import stores
+
+    path = f"{tmp_path}/store"
+    one, two = stores.Versions(spark, path), stores.Versions(spark, path)
+    assert one.get() is None and one.put(spark.range(1)) == 1
+    two._last = lambda: None  # the second writer looked before the first one's pointer was there
+    assert two.put(spark.range(2)) == 1
+    assert stores.Versions(spark, path).get().count() in (1, 2)
+    assert one.put(spark.range(5)) == 2 and one.get().count() == 5
+    assert spark.read.parquet(f"{path}/pointers/*").count() == 3
+
+
+def test_recent_window_reaches_the_scan(spark, sf, tmp_path):
+    from sparkloom.plans import registry
+
+    plan = registry.QUERIES["recent_window"](spark, sf)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "NestedLoop" not in plan
+    spark.createDataFrame([], "event_type string, ts timestamp_ntz, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert registry.QUERIES["recent_window"](spark, str(tmp_path)).count() == 0
