@@ -32,12 +32,12 @@ def stream_sliding(spark, d):
 
 
 @query(
-    """with g as (select user_id, ts, event_id, case when ts < lag(ts) over (partition by user_id order by ts) + interval 2 hours then 0 else 1 end as new from events),
+    """with g as (select user_id, ts, event_id, case when ts <= lag(ts) over (partition by user_id order by ts) + interval 2 hours then 0 else 1 end as new from events),
 s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g)
 select user_id, min(ts) as start, max(ts) + interval 2 hours as stop, cast(count(*) as bigint) as n from s group by user_id, k"""
 )
 def stream_sessions(spark, d):
-    """Sessions of a user that two quiet hours end."""
+    """Sessions of a user that more than two quiet hours end: an event two hours after the last one, to the second, still belongs to it."""
     s = _feed(spark, d).groupBy(F.session_window("ts", "2 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return feeds.run_to_end(s, "sessions", "complete").select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
