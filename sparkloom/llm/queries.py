@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, language, licences, lines, pieces, search, simhash, substrings, toxicity
+from sparkloom.llm import chat, decontaminate, language, licences, lines, packing, pieces, ranking, search, simhash, spelling, substrings, toxicity
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,6 +19,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, dealt over all cores before a heavy map where its files are fewer splits than that."""
+    rows = _table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def _remainder(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
 
@@ -190,6 +197,45 @@ select conv_id, cast(n as bigint) as n_turns, sha256(turns) as turns_sha256,
 from agg
 """
 
+
+
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_dealt(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_dealt(spark, sf_dir, "documents"), ["doc_id"])
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group"
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(_dealt(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13_SQL = f"""
+with item as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERMS}')) as term from benchmark),
+doc as (
+    select row_number() over () as row_id, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERMS}') as t from documents),
+size as (select row_id, doc_id, len(t) as n from doc where len(t) > 0),
+total as (select count(*) as docs, cast(sum(n) as bigint) as everything from size),
+posting as (select row_id, term, count(*) as tf from (select row_id, unnest(t) as term from doc) where term in (select term from item) group by row_id, term),
+weight as (
+    select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w
+    from (select term, count(*) as df from posting group by term), total),
+impact as (
+    select row_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // everything)) as q from posting join size using (row_id), total),
+scored as (
+    select item_id, row_id, cast(sum(w * q) as bigint) as score from item join weight using (term) join impact using (term) group by item_id, row_id),
+ranked as (
+    select item_id, doc_id, score, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank
+    from scored join size using (row_id) where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= {ranking.K}
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -203,6 +249,9 @@ QUERIES = {
         op8_language,
         op9_decontaminate,
         op10_chat_format,
+        op11_spelling_groups,
+        op12_packing,
+        op13_ranked_search,
     )
 }
-ORACLES = {"op3_topk_search": OP3_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op3_topk_search": OP3_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL, "op13_ranked_search": OP13_SQL}
