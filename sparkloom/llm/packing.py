@@ -11,14 +11,13 @@ sequences carry the number of the task, and a lost task is redone from its own r
 from __future__ import annotations
 
 import os
-import unicodedata
+import re
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heapreplace
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -33,16 +32,25 @@ END = 1
 TIERS = (128, 256, 512, 1024, 2048)
 #: Tokens that are packed together, and tokens of a step group.
 ROUND_TOKENS, STEP_TOKENS = 1 << 21, 1 << 16
-#: Letters after which a long text is cut between two words, and chunks that a task remembers.
-CUT, MEMORY = 1 << 20, 200_000
+#: Letters after which a long text is cut between two words, and words that a task remembers.
+CUT, MEMORY = 1 << 20, 600_000
+#: Bytes of texts that are encoded together.
+SLICE = 4 << 20
 
-# How text falls into chunks before the merges of the vocabulary file.
-_CHUNK = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?(?:[A-Za-z]++(?!\p{L})|\p{L}++)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+")
-_BETWEEN_WORDS = regex.compile(r"[A-Za-z](?= [A-Za-z])")
+# Texts of these letters, digits, signs and white space fall into the vocabulary's chunks by a pattern of the standard library.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
+_PLAIN = re.compile(f"[{_LETTERS}\\x00-\\x08\\t\\n\\r\\x20-\\x7e«»¡¿£§°±×÷]*")
+_CHUNK = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]++| ?[0-9]++| ?[^ \\t\\n\\r{_LETTERS}0-9]++|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
+# White space around a blank: there a chunk can reach over the blank, elsewhere every blank begins one.
+_REACHES = re.compile(r"\s (?:\s|$)")
+_BETWEEN_WORDS = re.compile(r"[A-Za-z](?= [A-Za-z])")
 
 
 class Encoder:
-    """Ids of whole texts by a vocabulary file of byte pairs; each distinct chunk is encoded once a task."""
+    """Ids of whole texts by a vocabulary file of byte pairs. A text is cut where the vocabulary's own splitting has a border, and what stands between two
+    cuts is encoded once a task: chunks, or for texts of other letters words with their blanks. Texts with special strings or white space that reaches over a blank
+    are left to the tokenizer whole.
+    """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,71 +58,68 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(file)
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = regex.compile("|".join(regex.escape(t.content) for t in added)) if added else None
+        self.special = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
         self.memory = Memory()
 
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """All ids of each text. A text with special strings or with characters that are in no table of this Python is left to the tokenizer whole."""
+        """All ids of each text."""
         out: list = [None] * len(texts)
-        short = []
+        short, split = [], []
         for i, text in enumerate(texts):
             if self.special is not None and self.special.search(text):
-                out[i] = self._plain(text)
+                parts = None
             elif len(text) > CUT:
                 out[i] = self._long(text)
+                continue
+            else:
+                parts = _parts(text)
+            if parts is None:
+                out[i] = self._plain(text)
             else:
                 short.append(i)
-        split = [_CHUNK.findall(texts[i]) for i in short]
-        chunks = list(chain.from_iterable(split))
-        odd = self._learn(chunks)
-        if odd:
-            for i, part in zip(short, split):
-                if not odd.isdisjoint(part):
-                    out[i] = self._plain(texts[i])
-            left = [k for k, i in enumerate(short) if out[i] is None]
-            short, split = [short[k] for k in left], [split[k] for k in left]
-            chunks = list(chain.from_iterable(split))
-        ids, size = self._look_up(chunks)
-        chunk_ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split))))]
-        for i, a, b in zip(short, chunk_ends[:-1].tolist(), chunk_ends[1:].tolist()):
+                split.append(parts)
+        ids, size = self._look_up(list(chain.from_iterable(split)))
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split))))]
+        for i, a, b in zip(short, ends[:-1].tolist(), ends[1:].tolist()):
             out[i] = ids[a:b]
         return out
 
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
     def _long(self, text: str) -> np.ndarray:
         """A long text in stretches that end between two words."""
-        parts, at = [], 0
+        out, at = [], 0
         while at < len(text):
             cut = _BETWEEN_WORDS.search(text, at + CUT) if len(text) - at > CUT else None
             stop = cut.end() if cut else len(text)
-            chunks = _CHUNK.findall(text[at:stop])
-            if self._learn(chunks):
-                return self._plain(text)
-            parts.append(self._look_up(chunks)[0])
+            parts = _parts(text[at:stop])
+            out.append(self._plain(text[at:stop]) if parts is None else self._look_up(parts)[0])
             at = stop
-        return np.concatenate(parts)
+        return np.concatenate(out)
 
-    def _learn(self, chunks: list[str]) -> set[str]:
-        """Encode what is not remembered yet; the chunks that cannot be judged here."""
-        memory, wanted = self.memory, set(chunks)
+    def _look_up(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, ids by part), after encoding what is not remembered yet."""
+        memory, wanted = self.memory, set(parts)
         fresh = list(wanted - memory.number.keys())
-        odd = {c for c in fresh if not c.isascii() and any(unicodedata.category(x) == "Cn" for x in c)}
-        if odd:
-            fresh = [c for c in fresh if c not in odd]
         if len(memory.number) + len(fresh) > MEMORY:
             memory.keep(list(wanted & memory.number.keys()))
         if fresh:
             done = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-            count = np.bincount(np.array(done.word_ids, np.int64), minlength=len(fresh))
-            memory.add(fresh, np.array(done.ids, np.int32), count)
-        return odd
+            memory.add(fresh, np.array(done.ids, np.int32), np.bincount(np.array(done.word_ids, np.int64), minlength=len(fresh)))
+        at = np.fromiter(map(memory.number.__getitem__, parts), np.int64, len(parts))
+        size = memory.size[at]
+        return memory.ids[_ranges(memory.start[at], size)], size
+
 
-    def _look_up(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        memory = self.memory
-        at = np.fromiter(map(memory.number.__getitem__, chunks), np.int64, len(chunks))
-        return memory.ids[_ranges(memory.start[at], memory.size[at])], memory.size[at]
+def _parts(text: str) -> list[str] | None:
+    """A text cut at borders of the vocabulary's splitting; none: leave it to the tokenizer."""
+    if _PLAIN.fullmatch(text):
+        return _CHUNK.findall(text)
+    if _REACHES.search(text):
+        return None
+    first, *words = text.split(" ")
+    return [first, *(" " + w for w in words)]
 
 
 class Pool:
@@ -277,7 +282,7 @@ def pack_documents(
 
         for batch in batches:
             whole = pa.RecordBatch.from_arrays([batch.column("kept"), as_bytes(batch.column("text"))], names=["kept", "text"])
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", SLICE):
                 kept.append(part.column("kept"))
                 for one in encoder([t.decode("utf-8") for t in texts_of(part)]):
                     ids.append(np.append(one, np.int32(end)).astype(np.int32))

@@ -1,6 +1,7 @@
 """Spelling variants, packing and ranked search against brute force, and on nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -189,7 +190,8 @@ def test_encoder_splits_as_the_tokenizer_does(monkeypatch):
         encoder = packing.Encoder(file.read())
     monkeypatch.setattr(packing, "CUT", 60)
     every = ["".join(f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)} " for c in range(a, a + 256) if not 0xD800 <= c < 0xE000) for a in range(0, 0x20000, 256)]
-    every += ["it's We'll 'S", "\n\n  two \t lines\n", "x" * 500, "<|endoftext|> <|endoftext|", ""]
+    every += ["it's We'll 'S", "\n\n  two \t lines\n", "x" * 500, "<|endoftext|> <|endoftext|", "", " ", "  ", " a", "a ", "\n a"]
+    every += ["".join(p) for n in range(1, 7) for p in itertools.product(" a\n\xa0", repeat=n)]
     plain = [e.ids for e in encoder.tokenizer.encode_batch(every, add_special_tokens=False)]
     assert [x.tolist() for x in encoder(every)] == plain
 
