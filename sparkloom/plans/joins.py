@@ -57,7 +57,7 @@ select c, cast(pt as bigint) as pt, span from r where n = 1"""
 def interval_innermost(spark, d):
     """The smallest span that holds each point."""
     p, s = _spans(spark, d)
-    return intervals.innermost(p, s, "c", "pt", 100)
+    return intervals.innermost(p, s, "c", "pt").where("span is not null")
 
 
 @query(
@@ -66,10 +66,38 @@ def interval_innermost(spark, d):
 def interval_semi_join(spark, d):
     """Spans that hold at least one point."""
     p, s = _spans(spark, d)
-    listed = s.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / 100), F.floor(F.col("stop") / 100))))
-    points = p.select(F.col("c").alias("pc"), "pt", F.floor(F.col("pt") / 100).alias("pb"))
-    inside = (F.col("c") == F.col("pc")) & (F.col("b") == F.col("pb")) & F.col("pt").between(F.col("start"), F.col("stop"))
-    return listed.join(points, inside, "left_semi").select("c", "span", "start", "stop").distinct()
+    return intervals.holders(p, s, "c", "pt").select("c", "span", "start", "stop").distinct()
+
+
+_UNITS = """u as (select l_orderkey as line_order, o_custkey as c, epoch(l_shipdate) // 86400 as first, epoch(l_shipdate) // 86400 + cast(l_quantity as bigint) as last
+    from lineitem join orders on l_orderkey = o_orderkey)"""
+
+
+def _units(spark, d):
+    day = lambda c: F.floor(F.unix_timestamp(c) / 86400).cast("bigint")
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return li.select(F.col("l_orderkey").alias("line_order"), F.col("o_custkey").alias("c"), day("l_shipdate").alias("first"), (day("l_shipdate") + F.col("l_quantity").cast("bigint")).alias("last"))
+
+
+@query(
+    f"""with {_SPANS}, {_UNITS}, k as (select distinct c, first, last from u),
+r as (select k.*, span, row_number() over (partition by k.c, first, last order by stop - start, start, span) as n from k join s on k.c = s.c and start <= first and last <= stop)
+select u.c, line_order, cast(u.first as bigint) as first, cast(u.last as bigint) as last, span from u left join r on u.c = r.c and u.first = r.first and u.last = r.last and n = 1"""
+)
+def interval_owner(spark, d):
+    """The owner of each unit of days: the shortest span that holds it whole, else the top level (null); a unit across two spans is guessed into neither."""
+    _, s = _spans(spark, d)
+    return intervals.innermost(_units(spark, d), s, "c", "first", "last").select("c", "line_order", "first", "last", "span")
+
+
+@query(
+    f"""with {_SPANS}, {_UNITS}, k as (select distinct c, first, last from u)
+select s.c, span, cast(count(*) as bigint) as units from s join k on k.c = s.c and start <= first and last <= stop group by s.c, span"""
+)
+def interval_units_covered(spark, d):
+    """Spans with how many distinct units lie in them whole."""
+    _, s = _spans(spark, d)
+    return intervals.holders(_units(spark, d), s, "c", "first", "last").groupBy("c", "span").agg(F.count(F.lit(1)).alias("units"))
 
 
 @query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")

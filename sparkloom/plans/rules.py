@@ -12,9 +12,9 @@ from sparkloom.operators import graph, intervals, similarity
 from sparkloom.operators import fingerprints as fp
 from sparkloom.plans.registry import query
 from sparkloom.plans.structure import _PAGES, _dirs, _pages
-from sparkloom.plans.texts import _W, _reps
+from sparkloom.plans.texts import _BETWEEN, _W, _reps
 from sparkloom.sources import stores
-from sparkloom.sources.tables import table
+from sparkloom.sources.tables import dealt, table
 
 _ERA = "timestamp '1997-01-01'"
 
@@ -22,6 +22,7 @@ _ERA = "timestamp '1997-01-01'"
 # ---- documents: the verdict's two arms, and prints that documents share
 
 _RUN = knobs.VERBATIM_WORDS
+_REP_RUNS = _BETWEEN.replace(f"(select doc_id as doc, {_W} as w from documents)", "(select doc, w from reps)")
 
 
 @query(
@@ -31,21 +32,22 @@ reps as (select doc, w, s from (select *, min(doc) over (partition by list_sort(
 keys as (select doc, len(s) as n, unnest(s) as h from reps),
 alike as (select a.doc as a, b.doc as b from keys a join keys b on a.h = b.h and a.doc < b.doc group by all
     having count(*) * 100 >= (any_value(a.n) + any_value(b.n) - count(*)) * 80),
-long as (select distinct doc, array_to_string(w[i : i + {_RUN - 1}], ' ') as h from reps, unnest(range(1, len(w) - {_RUN - 2})) as t(i)),
-verbatim as (select distinct a.doc as a, b.doc as b from long a join long b on a.h = b.h and a.doc < b.doc)
+{_REP_RUNS},
+verbatim as (select distinct a, b from runs where tokens >= {_RUN})
 select coalesce(x.a, y.a) as a, coalesce(x.b, y.b) as b, x.a is not null as alike, y.a is not null as verbatim
 from alike x full join verbatim y on x.a = y.a and x.b = y.b"""
 )
 def docdup_verdicts(spark, d):
     """Duplicates of either kind between representatives: similarity of 0.8 or more, or a common run of fifty words.
 
-    A run of fifty words is a common fifty-word window, so windows that stand in two documents are the keys.
+    Runs come from anchors, of which any fifty common words hold one. A passage in more places than the cap gives a chain of pairs that connects its documents,
+    not all of them.
     """
     reps, shared = _reps(spark, d)
     alike = similarity.similarity_join(reps, shared).select("a", "b", F.lit(True).alias("alike"))
-    docs = table(spark, d, "documents").join(reps.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    windows = fp.repeated(graph.settle(fp.grams(docs, _RUN))).select("doc", "h").distinct()
-    pairs = similarity.all_pairs(windows, "h", ["doc"]).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
+    docs = dealt(spark, d, "documents").join(reps.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    runs = fp.anchored_runs(graph.settle(fp.streams(docs, knobs.KGRAM, knobs.WINDOW)), knobs.KGRAM)
+    pairs = runs.where(F.col("tokens") >= _RUN).select("a", "b").distinct()
     both = alike.join(pairs.withColumn("verbatim", F.lit(True)), ["a", "b"], "full")
     return both.select("a", "b", F.coalesce("alike", F.lit(False)).alias("alike"), F.coalesce("verbatim", F.lit(False)).alias("verbatim"))
 
@@ -65,7 +67,7 @@ on a.h = b.h and a.rn < b.rn and (a.n <= {knobs.HOT_CAP} or b.rn = a.rn + 1) gro
 )
 def print_cooccurrence(spark, d):
     """Pairs of documents by how many winnowed prints they share; prints of very many documents are chained, so that their groups stay connected."""
-    prints = graph.settle(fp.winnow(table(spark, d, "documents"), _PRINT_K, _PRINT_W).select("doc", "h").distinct())
+    prints = graph.settle(fp.winnow(dealt(spark, d, "documents"), _PRINT_K, _PRINT_W).select("doc", "h").distinct())
     pairs = similarity.capped_pairs(prints, "h", ["doc"])
     counted = pairs.groupBy(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     return counted.where(F.col("shared") >= _PRINT_LEAST)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import settle
 from sparkloom.plans.registry import query
+from sparkloom.plans.texts import _BETWEEN, _PICKED, clone_blocks
 from sparkloom.sources.tables import table
-from sparkloom.streaming import feeds
+from sparkloom.streaming import feeds, state
 
 def _feed(spark, d):
     return feeds.stream_of(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
@@ -66,9 +68,9 @@ def stream_gate(spark, d):
 
 @query("select doc_id, md5(coalesce(text, '')) as h, lang from documents")
 def stream_refresh(spark, d):
-    """Incremental refresh: a batch overwrites the buckets of changed content alone; replayed, it changes nothing."""
+    """Incremental refresh: a batch overwrites the buckets of changed content alone; replayed, it writes nothing."""
     docs = feeds.stream_of(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), "lang")
-    return feeds.refreshed(docs, "refresh", "doc_id").select("doc_id", "h", "lang")
+    return feeds.refreshed(docs, "refresh", "doc_id", "h").select("doc_id", "h", "lang")
 
 
 @query(
@@ -84,3 +86,43 @@ def stream_stream_join(spark, d):
     b = e.where("event_type = 'purchase'").select(F.col("user_id").alias("ub"), F.col("ts").alias("tb"), F.col("event_id").alias("purchase")).withWatermark("tb", delay)
     j = a.join(b, F.expr("ua = ub and tb >= ta and tb <= ta + interval 30 minutes"))
     return feeds.run_to_end(j.select("click", "purchase"), "pairs")
+
+
+_QUIET_HOURS = 12
+
+
+@query(
+    f"""with recursive e as (select user_id, event_type, ts from events where event_type in ('error', 'signup')),
+w as (select user_id, event_type, min(ts) as ts from e group by user_id, event_type
+    union all
+    select w.user_id, w.event_type, min(e.ts) as ts from w join e on e.user_id = w.user_id and e.event_type = w.event_type
+        and epoch_ms(e.ts) >= epoch_ms(w.ts) + {_QUIET_HOURS} * 3600000 group by w.user_id, w.event_type)
+select user_id, event_type, ts from w"""
+)
+def stream_warn_again(spark, d):
+    """Warnings that repeat only after half a quiet day: keyed state of one time, dropped by an event-time timer. An hour of delay; what comes later is counted."""
+    e = _feed(spark, d).where("event_type in ('error', 'signup')")
+    warned, _ = state.run_tallied(state.warn_again(e, ["user_id", "event_type"], "ts", _QUIET_HOURS * 3_600_000, "1 hour"), "warn-again")
+    return warned.select("user_id", "event_type", F.col("ts").cast(table(spark, d, "events").schema["ts"].dataType).alias("ts"))
+
+
+@query(
+    """with w as (select case when user_id is null then 'no user' when value is null then 'no value' when coalesce(try_cast(json_extract_string(props, '$.k') as integer), 0) < 10 then 'weak props'
+    when value > 100 then 'outlier' else 'kept' end as reason from events)
+select r.reason, cast(count(w.reason) as bigint) as n from (values ('no user'), ('no value'), ('weak props'), ('outlier'), ('kept')) r(reason) left join w using (reason) group by r.reason"""
+)
+def stream_skips(spark, d):
+    """Rows that the feed leaves out, by the first reason that holds: observed as they pass, summed over batches by a listener."""
+    props = F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0))
+    reasons = {"no user": F.col("user_id").isNull(), "no value": F.col("value").isNull(), "weak props": props < 10, "outlier": F.col("value") > 100}
+    return state.skips(_feed(spark, d), "skips", reasons)[1]
+
+
+@query(
+    f"""with {_BETWEEN}, blocks as ({_PICKED}), touched as (select doc_id from documents where lang <> 'en')
+select blocks.*, a in (from touched) as a_touched, b in (from touched) as b_touched from blocks where a in (from touched) or b in (from touched)"""
+)
+def stream_audit(spark, d):
+    """Clone blocks that a feed of changed documents (here those in other languages than English) touches: micro-batches against a static table."""
+    changed = feeds.stream_of(spark, d, "documents").where("lang <> 'en'")
+    return state.audited(changed, settle(clone_blocks(spark, d)), "doc_id", "audit")

@@ -10,7 +10,7 @@ from sparkloom.functions import text as tx
 from sparkloom.operators import fingerprints as fp
 from sparkloom.operators import graph, similarity
 from sparkloom.plans.registry import query
-from sparkloom.sources.tables import table
+from sparkloom.sources.tables import dealt, table
 
 _W = r"coalesce(regexp_extract_all(lower(text), '([\p{L}\p{N}\p{M}]+)', 1), [])"
 SEG = f"""seg as (select doc_id as doc, {_W} as w from documents),
@@ -24,7 +24,7 @@ keys as (select doc, n, unnest(s) as h from reps)"""
 
 def _reps(spark, d):
     """Representatives' sets and their shared shingles, each written once, as they are read from several sides."""
-    sets = graph.settle(similarity.shingle_sets(table(spark, d, "documents")))
+    sets = graph.settle(similarity.shingle_sets(dealt(spark, d, "documents")))
     reps = graph.settle(sets.join(similarity.classes(sets).where("doc = rep").select("doc"), "doc", "left_semi"))
     return reps, graph.settle(similarity.known(reps))
 
@@ -43,7 +43,7 @@ def docdup_exact_jaccard(spark, d):
 @query(f"with {SEG} select doc, rep from cls")
 def docdup_classes(spark, d):
     """Membership: the representative of each document's class of equal shingle sets."""
-    return similarity.classes(graph.settle(similarity.shingle_sets(table(spark, d, "documents"))))
+    return similarity.classes(graph.settle(similarity.shingle_sets(dealt(spark, d, "documents"))))
 
 
 @query(
@@ -112,7 +112,7 @@ select item, doc, cast(count(*) as bigint) as shared, cast(max(asked) as bigint)
 )
 def probe_benchmark(spark, d):
     """Probe join: shingles of each benchmark item in each document."""
-    return similarity.probe(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return similarity.probe(dealt(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 _G = r"""g as (
@@ -129,7 +129,7 @@ select distinct doc, cast(-m.q as bigint) as p, m.h as h from m where p <= great
 )
 def winnow_fingerprints(spark, d):
     """Robust winnowing of word grams: the rightmost least digest of each window, once."""
-    return fp.winnow(table(spark, d, "documents"), _GRAM, _WINDOW)
+    return fp.winnow(dealt(spark, d, "documents"), _GRAM, _WINDOW)
 
 
 _RUNS = f"""{_G.replace('{k}', str(knobs.KGRAM))},
@@ -154,28 +154,71 @@ best as (select component, count(*) as blocks, max(tokens) as tokens from blocks
 select component, cast(members as bigint) as members, cast(blocks as bigint) as blocks, tokens from size join best using (component)"""
 
 
-def _clone_runs(spark, d, cap=knobs.HOT_CAP):
-    places = graph.settle(fp.grams(table(spark, d, "documents"), knobs.KGRAM))
+_K, _H = knobs.KGRAM, knobs.KGRAM // 2
+_SEEDED = f"""tok as (select doc_id as doc, {_W} as w from documents),
+hs as (select doc, w, list_transform(w, lambda x: cast('0x' || left(md5(x), 7) as bigint)) as h from tok where len(w) >= {_K}),
+g as (select doc, i - 1 as p, (h[i] * {fp.FACTORS[0]} + h[i + {_H}] * {fp.FACTORS[1]} + h[i + {_K - 1}]) % {fp.PRIME} as n, array_to_string(w[i : i + {_K - 1}], ' ') as h
+    from hs, unnest(range(1, len(w) - {_K} + 2)) as t(i)),
+m as (select doc, p, max(p) over (partition by doc) as last,
+    min({{'h': n, 'q': -p}}) over (partition by doc order by p rows between current row and {knobs.WINDOW - 1} following) as m from g),
+an as (select distinct doc, -m.q as p from m where p <= greatest(last - {knobs.WINDOW - 1}, 0)),
+r as (select doc, p, h, row_number() over (partition by h order by doc, p) as rn, count(*) over (partition by h) as n from an join g using (doc, p)),
+seed as (select a.doc as a, b.doc as b, a.p as pa, b.p - a.p as lane from r a join r b
+    on a.h = b.h and a.rn < b.rn and (a.n <= {knobs.HOT_CAP} or b.rn = a.rn + 1) and a.doc {{side}} b.doc),
+lanes as (select distinct a, b, lane from seed),
+hit as (select a, b, lane, x.p as pa from lanes join g x on x.doc = a join g y on y.doc = b and y.h = x.h and y.p - x.p = lane),
+isl as (select *, pa - row_number() over (partition by a, b, lane order by pa) as i from hit),
+whole as (select a, b, lane, min(pa) as pa, count(*) + {_K - 1} as len from isl group by a, b, lane, i),
+held as (select distinct whole.* from whole join seed using (a, b, lane) where seed.pa between whole.pa and whole.pa + len - {_K}),
+runs as (select a, b, pa, pa + lane as pb, {{tokens}} as tokens, len(list_distinct(w[pa + 1 : pa + {{tokens}}])) as n_distinct from held join tok on doc = a),
+best as (select * from runs x where not exists (
+    select 1 from runs y where x.a = y.a and x.b = y.b and y.tokens > x.tokens and y.pa <= x.pa and y.pa + y.tokens >= x.pa + x.tokens
+        and y.pb <= x.pb and y.pb + y.tokens >= x.pb + x.tokens))"""
+_BETWEEN = _SEEDED.replace("{side}", "<").replace("{tokens}", "len")
+_WITHIN = _SEEDED.replace("{side}", "=").replace("{tokens}", "least(len, lane)")
+_PICKED = f"""select a, b, cast(pa as bigint) as pa, cast(pb as bigint) as pb, cast(tokens as bigint) as tokens, cast(n_distinct as bigint) as n_distinct
+from best where tokens >= {knobs.RUN_TOKENS} and n_distinct >= {knobs.MIN_DISTINCT}"""
+
+
+def _clone_runs(spark, d, cap=None):
+    places = graph.settle(fp.grams(dealt(spark, d, "documents"), knobs.KGRAM))
     return graph.settle(fp.clone_runs(graph.settle(fp.repeated(places)), knobs.KGRAM, cap))
 
 
-@query(
-    f"with {_RUNS} {_BLOCKS}"
-)
-def clone_blocks(spark, d):
-    """Verified runs long and varied enough, without those inside a longer run of the same pair."""
-    runs = fp.dominant(_clone_runs(spark, d))
+def _streams(spark, d):
+    """Word hashes and anchors of the documents, written once."""
+    return graph.settle(fp.streams(dealt(spark, d, "documents"), knobs.KGRAM, knobs.WINDOW))
+
+
+def _long(runs):
     return runs.where((F.col("tokens") >= knobs.RUN_TOKENS) & (F.col("n_distinct") >= knobs.MIN_DISTINCT))
 
 
+@query(f"with {_BETWEEN} {_PICKED}")
+def clone_blocks(spark, d):
+    """Verified runs between two documents, long and varied enough, without those inside a longer run of the same pair: anchors, extended both ways."""
+    return _long(fp.anchored_runs(_streams(spark, d), knobs.KGRAM))
+
+
+@query(f"with {_WITHIN} {_PICKED}")
+def clone_blocks_within(spark, d):
+    """Verified runs that a document has twice; the two sides stay disjoint."""
+    return _long(fp.anchored_runs(_streams(spark, d), knobs.KGRAM, within=True))
+
+
 @query(
-    f"""with {_RUNS} select cast(count(*) filter (tokens >= {knobs.RUN_TOKENS} and n_distinct >= {knobs.MIN_DISTINCT}) as bigint) as blocks,
+    f"""with {_BETWEEN}, groups as (select h, count(*) as n from r group by h)
+select cast(count(*) filter (tokens >= {knobs.RUN_TOKENS} and n_distinct >= {knobs.MIN_DISTINCT}) as bigint) as blocks,
     cast(count(*) filter (tokens >= {knobs.RUN_TOKENS} and n_distinct < {knobs.MIN_DISTINCT}) as bigint) as suppressed,
-    cast(count(*) filter (tokens >= {knobs.NEAR_MISS} and tokens < {knobs.RUN_TOKENS}) as bigint) as near_misses from runs"""
+    cast(count(*) filter (tokens >= {knobs.NEAR_MISS} and tokens < {knobs.RUN_TOKENS}) as bigint) as near_misses,
+    cast((select count(*) from groups where n > {knobs.HOT_CAP}) as bigint) as chained from best"""
 )
 def clone_near_misses(spark, d):
-    """How many runs pass, lack variety, or are near misses."""
-    return _counted(_clone_runs(spark, d))
+    """How many runs pass, lack variety, or are near misses, and how many anchors stand in so many places that they are chained."""
+    stream = _streams(spark, d)
+    hot = similarity.hot_groups(fp.anchors(stream), "g")
+    chained = hot.agg(F.count(F.lit(1)).alias("chained"))
+    return _counted(fp.anchored_runs(stream, knobs.KGRAM, hot=hot)).crossJoin(F.broadcast(chained))
 
 
 def _counted(runs):
@@ -197,7 +240,7 @@ def clone_near_misses_whole(spark, d):
     return _counted(_clone_runs(spark, d, None))
 
 
-@query(f"with recursive {_RUNS}, {_GROUPS}")
+@query(f"with recursive {_BETWEEN}, {_GROUPS.replace(_BLOCKS, _PICKED).replace("best as", "most as").replace("join best", "join most")}")
 def clone_groups(spark, d):
     """Groups of documents connected by clone blocks: members, blocks, longest run. Least labels spread in rounds."""
     return _grouped(graph.settle(clone_blocks(spark, d)))

@@ -21,6 +21,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read back; `drop` deletes them."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out._loom_path = path
+    return out
+
+
+def drop(rows: DataFrame) -> None:
+    """Delete what `written` wrote, once nothing reads it any more."""
+    where = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(rows._loom_path)
+    where.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def overwrite_partitions(rows: DataFrame, path: str, key: str) -> None:
     """Replace the partitions of the keys that `rows` holds; a second call with the same rows changes nothing."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

@@ -18,6 +18,7 @@ def scoped(rows: DataFrame, path: str, include: str | None = None, exclude: str
     return out.where(~F.col(path).rlike(exclude)) if exclude else out
 
 
-def newest(rows: DataFrame, key: str, when: str, order: list[str]) -> DataFrame:
-    """The newest time of each key."""
-    return rows.groupBy(key).agg(F.max(when).alias(when)).select(key, when, *order)
+def dealt(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of long texts, dealt over all cores where its files are fewer splits than that: a heavy map over one split is one task."""
+    rows, cores = table(spark, folder, name), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

@@ -12,10 +12,10 @@ from sparkloom.sources import stores
 
 
 def stream_of(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A table's files as a stream, in the table's schema."""
+    """A table's files as a stream, in the table's schema. A pattern that only this name fits stands for a table that is one file; neighbours are not read."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -87,8 +87,12 @@ def upserted(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return newest.select(*keys, "newest.*")
 
 
-def refreshed(stream: DataFrame, name: str, key: str, buckets: int = 16) -> DataFrame:
-    """The newest row of each key: a batch rewrites the buckets of its keys alone, and run again it changes nothing. A batch has a key once."""
+def refreshed(stream: DataFrame, name: str, key: str, content: str, buckets: int = 16) -> DataFrame:
+    """The newest row of each key. A batch has a key once.
+
+    `content` is a hash of what a row stands for: rows whose stored hash is the same are left alone, and a batch rewrites the buckets of changed keys only. A batch
+    without changes, such as one that is run again, writes nothing.
+    """
     spark = stream.sparkSession
     path = stores.new_path(spark, name)
 
@@ -96,11 +100,17 @@ def refreshed(stream: DataFrame, name: str, key: str, buckets: int = 16) -> Data
         new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
         if number:
             old = spark.read.parquet(path)
-            stay = old.join(new.select(key), key, "left_anti").join(new.select("bucket").distinct(), "bucket", "left_semi")
-            step = stores.new_path(spark, f"{name}-step")  # a table is not overwritten while it is read
-            new.unionByName(stay.select(new.columns)).write.parquet(step)
-            new = spark.read.schema(new.schema).parquet(step)
+            was = old.select(F.col(key).alias("k"), F.col(content).alias("was"), F.lit(True).alias("known"))
+            changed = new.join(was, F.col(key).eqNullSafe(F.col("k")), "left").where(F.col("known").isNull() | ~F.col(content).eqNullSafe(F.col("was")))
+            changed = stores.written(changed.select(new.columns), f"{name}-changed")
+            if changed.isEmpty():
+                return
+            stay = old.join(changed.select(key), old[key].eqNullSafe(changed[key]), "left_anti").join(changed.select("bucket").distinct(), "bucket", "left_semi")
+            # a table is not overwritten while it is read
+            new = stores.written(changed.unionByName(stay.select(new.columns)), f"{name}-step")
         stores.overwrite_partitions(new, path, "bucket")
 
     each_batch(stream, name, upsert)
-    return spark.read.parquet(path).drop("bucket")
+    out = spark.read.parquet(path).drop("bucket")
+    out._loom_path = path
+    return out
