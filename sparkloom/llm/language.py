@@ -9,7 +9,7 @@ where on they agree. Counts are hence those of the whole text, without any cut.
 
 The fit takes at most `most_texts` texts of each language, those of smallest id hash, and of each a passage at a place chosen by
 hash, so that a language's sample has about `most_chars` characters, and all samples together at most `TOTAL_CHARS`: with more
-than `TOTAL_CHARS / most_chars` languages each gets less, and over `MOST_LANGS` are refused. Letters are not limited: the
+than `TOTAL_CHARS / most_chars` languages each gets less, and of over `MOST_LANGS` those with most rows are learned. Letters are not limited: the
 commonest of all samples index dense tables, the others are looked up among the transitions that exist. Samples and texts are both
 brought to composed form (NFC) and lower case.
 
@@ -136,6 +136,7 @@ class Parser:
     blank: int
     beyond: dict[str, int]  # symbols of letters from code point 65536 on
     order: np.ndarray  # languages by labelled rows, most first
+    weight: np.ndarray  # logarithm of the length of each language's sample
 
     def codes(self, text: str) -> np.ndarray:
         """Symbols of the normalised text; empty if it has no letter."""
@@ -231,6 +232,8 @@ class Parser:
                 names.append("und")
                 scores.append(0.0)
                 continue
+            # a phrase of a longer sample is longer by its logarithm: phrases times that estimate the cross entropy
+            c = c * self.weight if (c != c[0]).any() else c * 1.0
             best = int(self.order[np.argmin(c[self.order])])
             rest = np.delete(c, best)
             names.append(self.names[best])
@@ -256,7 +259,8 @@ def parser_of(samples: dict[str, str], rows: dict[str, int] | None = None) -> Pa
     names = sorted(samples)
     order = np.array(sorted(range(len(names)), key=lambda i: (-(rows or {}).get(names[i], 0), names[i])), np.int64)
     beyond = {c: i for c, i in alphabet.items() if ord(c) > 65535}
-    return Parser(names, [table_of(samples[n], alphabet) for n in names], symbols, 1, beyond, order)
+    weight = np.log([len(samples[n]) + 1 for n in names])
+    return Parser(names, [table_of(samples[n], alphabet) for n in names], symbols, 1, beyond, order, weight)
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", most_texts: int = MOST_TEXTS, most_chars: int = MOST_CHARS) -> Parser:
@@ -265,9 +269,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     known = docs.select(column(id_column).alias("id"), column(lang).cast("string").alias("lang"), column(text).cast("string").alias("text")).where(
         "lang is not null and id is not null and text is not null"
     )
-    rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS + 1).collect()}
-    if len(rows) > MOST_LANGS:
-        raise ValueError(f"over {MOST_LANGS} languages")
+    rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    known = known.where(F.col("lang").isin(list(rows)))
     chars = min(most_chars, TOTAL_CHARS // max(1, len(rows)))
     h = F.xxhash64(F.col("id").cast("string"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "id"))

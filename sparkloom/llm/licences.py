@@ -76,8 +76,11 @@ UNKNOWN_RESTRICTION = 0.5
 #: What an exception granted by `with` takes off.
 EXCEPTION_RELIEF = 0.1
 
-# Identifiers that are plain words; others have a digit, a hyphen or several capitals.
-PLAIN_IDENTIFIERS = ("Beerware", "Libpng", "Ruby", "Unlicense", "Vim", "Zlib")
+# Identifiers without a version, and the tag's words for "no licence" and "not looked at", which label nothing.
+PLAIN_IDENTIFIERS = ("0BSD", "Beerware", "Libpng", "NTP", "OpenSSL", "PostgreSQL", "Ruby", "Unlicense", "Vim", "WTFPL", "X11", "Zlib", "curl")
+NO_LICENCE = ("NONE", "NOASSERTION")
+#: Letters, then parts of which one is a version, as in BSD-3-Clause; or a licence of one's own; or an exception.
+_VERSIONED = re.compile(r"[A-Za-z][A-Za-z0-9.]*(-[A-Za-z0-9.]+)*-v?[0-9]+(\.[0-9]+)*(-[A-Za-z0-9.]+)*\+?|(LicenseRef|DocumentRef)-[A-Za-z0-9.:-]+|[A-Za-z0-9.-]+-exception")
 _VALUE = re.compile(rb"[ \t]*:[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
@@ -99,13 +102,10 @@ def family(identifier: str) -> str:
 
 
 def is_identifier(token: str) -> bool:
-    """Whether a token has the form of a licence identifier, not of a word of prose."""
-    return (
-        family(token) in RESTRICTION
-        or token in PLAIN_IDENTIFIERS
-        or any(c.isdigit() or c == "-" for c in token)
-        or sum(c.isupper() for c in token) > 1
-    )
+    """Whether a token is a licence identifier: a known one or one with a version. Capitals, digits or hyphens alone are prose."""
+    label = family(token)
+    known = label in RESTRICTION and label != "reserved"
+    return known or token in PLAIN_IDENTIFIERS or token in NO_LICENCE or _VERSIONED.fullmatch(token) is not None
 
 
 def to_postfix(tokens: Iterable[str]) -> list[str] | None:
@@ -154,6 +154,9 @@ def evaluate(text: str) -> Expression | None:
     for token in postfix:
         if token not in _RANK:
             label = family(token)
+            if token in NO_LICENCE:
+                stack.append(Expression(frozenset(), UNKNOWN_RESTRICTION))
+                continue
             stack.append(Expression(frozenset([label]), RESTRICTION.get(label, UNKNOWN_RESTRICTION)))
             continue
         right, left = stack.pop(), stack.pop()

@@ -146,6 +146,12 @@ def test_expression_of_tag():
     assert found[4:6] == ("reserved", "apache,mit,reserved") and found[6] == 1.0
     assert licences.scan(b"spdx-license-identifier: and")[5] == "unparsed"
     assert licences.scan(b"the SPDX license identifier: MIT")[5] == ""
+    tags = {
+        "MIT AND ALL RIGHTS RESERVED": "mit,reserved", "MIT OR THE LICENSE": "mit", "MIT and e-mail me": "mit", "NONE": "", "NOASSERTION": "", "MIT and 3rd parties": "mit",
+        "MIT AND RESERVED": "mit", "BSD-3-Clause OR GPL-2.0+ WITH Classpath-exception-2.0": "bsd,gpl", "LicenseRef-own and X11": "licenseref-own,x11", "USE IT": "unparsed",
+    }
+    for tag, labels in tags.items():
+        assert licences.scan(f"// SPDX-License-Identifier: {tag}\n".encode())[5] == labels, tag
     long = " or ".join(f"LicenseRef-{i}" for i in range(900))
     assert len(licences.scan(b"SPDX-License-Identifier: " + long.encode())[5].split(",")) == 900
 

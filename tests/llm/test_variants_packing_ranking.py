@@ -260,3 +260,29 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], ITEMS).write.parquet(f"{d}/benchmark.parquet")
     for name in ("op11_spelling_groups", "op12_packing", "op13_ranked_search"):
         assert queries.QUERIES[name](spark, d).collect() == []
+
+
+def test_languages_beyond_the_bound_do_not_end_the_job(spark):
+    from sparkloom.llm import language
+
+    rows = [(i, f"alpha beta gamma {i % 7}", "aa") for i in range(30)] + [(100 + i, f"zeta theta iota {i % 5}", "bb") for i in range(20)]
+    rows += [(1000 + i, f"q{i} dirt", f"x{i}") for i in range(language.MOST_LANGS + 20)]
+    parser = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(parser.names) == language.MOST_LANGS and {"aa", "bb"} <= set(parser.names)
+
+
+def test_a_short_sample_is_weighed():
+    from sparkloom.llm import language
+
+    rng = random.Random(1)
+    # close languages: the same words, some of them changed
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(150)]
+    other = [w if i % 4 else w[::-1] + "o" for i, w in enumerate(words)]
+    say = lambda ws, n: " ".join(rng.choice(ws) for _ in range(n))
+    parser = language.parser_of({"one": say(words, 3000), "two": say(other, 150)})
+    texts = [say(ws, 60).encode() for ws in (words, other) for _ in range(40)]
+    names, _ = parser.predict(texts)
+    right = sum(n == ("one" if i < 40 else "two") for i, n in enumerate(names))
+    counts, _ = parser.phrases([t.decode() for t in texts])
+    plain = sum(int(c[1] < c[0]) == (i >= 40) for i, c in enumerate(counts))
+    assert right >= 70 and right >= plain
