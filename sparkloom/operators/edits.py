@@ -14,52 +14,118 @@ from sparkloom import knobs
 from sparkloom.operators.graph import settle
 from sparkloom.operators.intervals import band_pairs
 
-MOST_EDITS = 3000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-def script_length(a: list[str], b: list[str], most: int = MOST_EDITS) -> tuple[int, bool]:
-    """(inserts + deletes of a shortest script, whether `most` cut the search short; then all lines count)."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+def _slide(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x after following equal lines from each (x, y): all diagonals at once, in steps that double where few are left."""
+    x, y = x.copy(), y.copy()
+    live = np.flatnonzero((x >= 0) & (y >= 0) & (x < len(a)) & (y < len(b)))
+    while len(live):
+        if len(live) <= 4:
+            for i in live.tolist():
+                step = 16
+                while True:
+                    n = min(step, len(a) - x[i], len(b) - y[i])
+                    unlike = np.flatnonzero(a[x[i] : x[i] + n] != b[y[i] : y[i] + n])
+                    run = int(unlike[0]) if len(unlike) else n
+                    x[i], y[i], step = x[i] + run, y[i] + run, step * 2
+                    if len(unlike) or not n:
+                        break
+            return x
+        live = live[a[x[live]] == b[y[live]]]
+        x[live] += 1
+        y[live] += 1
+        live = live[(x[live] < len(a)) & (y[live] < len(b))]
+    return x
+
+
+def _middle(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
+    """Begin and end of a run of equal lines (it may be empty) in the middle of a shortest script; both sides have lines and differ at both ends.
+
+    Furthest places are kept for the last number of edits alone, from both ends, so memory is linear.
+    """
     n, m = len(a), len(b)
-    if not n or not m:
-        return n + m, False
-    far = {1: 0}
-    for d in range(min(n + m, most) + 1):
-        for k in range(-d, d + 1, 2):
-            x = far[k + 1] if k == -d or (k != d and far[k - 1] < far[k + 1]) else far[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            far[k] = x
-            if x >= n and x - k >= m:
-                return d, False
-    return n + m, True
+    gap, most = n - m, (n + m + 1) // 2
+    flip_a, flip_b = a[::-1], b[::-1]
+    ahead, back = np.full(2 * most + 3, -1), np.full(2 * most + 3, -1)
+    ahead[most + 2] = back[most + 2] = 0
+    zero = most + 1
+    for d in range(most + 1):
+        k = np.arange(-d, d + 1, 2)
+        for far, p, q, forwards in ((ahead, a, b, True), (back, flip_a, flip_b, False)):
+            down = far[zero + k + 1]
+            right = far[zero + k - 1] + 1
+            start = np.where((k == -d) | ((k != d) & (right - 1 < down)), down, right)
+            x = _slide(p, q, start, start - k)
+            x = np.where((start > n) | (start - k > m) | (start < 0), -1, x)
+            far[zero + k] = x
+            other = back if forwards else ahead
+            # a diagonal k of one end is gap - k of the other
+            twin = gap - k
+            reach = d - 1 if forwards else d
+            seen = (np.abs(twin) <= reach) & ((twin + reach) % 2 == 0)
+            if (gap % 2 == 1) != forwards or not seen.any():
+                continue
+            met = np.flatnonzero(seen & (x >= 0))
+            met = met[x[met] + other[zero + twin[met]] >= n]
+            if len(met):
+                i = met[0]
+                s, e = int(start[i]), int(x[i])
+                return (s, s - int(k[i]), e, e - int(k[i])) if forwards else (n - e, m - (e - int(k[i])), n - s, m - (s - int(k[i])))
+    raise AssertionError("the two searches did not meet")
+
+
+def script(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(removed, added): the lines of a and of b that a shortest script changes, as numbers of lines; in linear space, without a bound on edits."""
+    removed, added = [], []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        x, y = a[a0:a1], b[b0:b1]
+        n = min(len(x), len(y))
+        unlike = np.flatnonzero(x[:n] != y[:n])
+        lo = int(unlike[0]) if len(unlike) else n
+        a0, b0, x, y, n = a0 + lo, b0 + lo, x[lo:], y[lo:], n - lo
+        unlike = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+        hi = int(unlike[0]) if len(unlike) else n
+        x, y = x[: len(x) - hi], y[: len(y) - hi]
+        if not len(x) or not len(y):
+            removed.append(np.arange(a0, a0 + len(x)))
+            added.append(np.arange(b0, b0 + len(y)))
+            continue
+        s, t, e, f = _middle(x, y)
+        todo.append((a0, a0 + s, b0, b0 + t))
+        todo.append((a0 + e, a0 + len(x), b0 + f, b0 + len(y)))
+    none = np.zeros(0, np.int64)
+    return np.sort(np.concatenate([none, *removed])), np.sort(np.concatenate([none, *added]))
+
+
+def four_classes(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
+    """(novel, moved in, deleted, moved out) of the changed lines: a line with a letter or digit moved if the other side has its content among its changed lines."""
+    code: dict[str, int] = {}
+    removed, added = script(*(np.array([code.setdefault(x, len(code)) for x in side], np.int64) for side in (a, b)))
+    out, come = ([side[i].strip() for i in at.tolist()] for side, at in ((a, removed), (b, added)))
+    says = {x: any(map(str.isalnum, x)) for x in {*out, *come}}
+    gone, here = set(out), set(come)
+    moved_in, moved_out = sum(says[x] and x in gone for x in come), sum(says[x] and x in here for x in out)
+    return len(come) - moved_in, moved_in, len(out) - moved_out, moved_out
 
 
 def line_diff(rows: DataFrame, keep: list[str], before: str, after: str) -> DataFrame:
-    """`keep`, added, removed, kept, degraded for two texts of a row."""
-    schema = T.StructType(
-        [*(rows.schema[k] for k in keep), *(T.StructField(n, T.LongType()) for n in ("added", "removed", "kept")), T.StructField("degraded", T.BooleanType())]
-    )
+    """`keep`, novel, moved, deleted, moved_out, kept for two texts of a row; a null text has no lines but one that is empty."""
+    names = ("novel", "moved", "deleted", "moved_out", "kept")
+    schema = T.StructType([*(rows.schema[k] for k in keep), *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches):
         for batch in batches:
             out = []
             for x, y in zip(batch.column(before).to_pylist(), batch.column(after).to_pylist()):
                 a, b = (x or "").split("\n"), (y or "").split("\n")
-                d, cut = script_length(a, b)
-                kept = (len(a) + len(b) - d) // 2
-                out.append((len(b) - kept, len(a) - kept, kept, cut))
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keep), *(pa.array(list(c), t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.bool_()]))], names=schema.names
-            )
+                classes = four_classes(a, b)
+                out.append((*classes, len(b) - classes[0] - classes[1]))
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(list(c), pa.int64()) for c in cols)], names=schema.names)
 
     return rows.select(*keep, before, after).mapInArrow(run, schema)
 

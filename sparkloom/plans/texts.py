@@ -361,7 +361,7 @@ def turn_changes(spark, d):
 
 @query()
 def turn_line_diff(spark, d):
-    """Shortest line edit script (Myers) between consecutive turns: added, removed, kept; Arrow batches."""
+    """Four classes of lines between consecutive turns, from a shortest script in linear space: novel, moved, deleted, moved out, and those kept."""
     from sparkloom.operators import edits
 
     t = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))

@@ -4,23 +4,44 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import edits, fingerprints, graph, intervals, similarity
 
 
-def test_script_length_is_shortest():
+def test_scripts_are_shortest():
     rng = random.Random(3)
-    for _ in range(300):
-        a = [rng.choice("abc") for _ in range(rng.randrange(8))]
-        b = [rng.choice("abc") for _ in range(rng.randrange(8))]
+    for n in range(500):
+        a = [rng.randrange(1 + n % 4) for _ in range(rng.randrange(12))]
+        b = [rng.randrange(1 + n % 4) for _ in range(rng.randrange(12))]
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, j in itertools.product(range(len(a) + 1), range(len(b) + 1)):
             if i and j:
                 best[i][j] = best[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(best[i - 1][j], best[i][j - 1])
-        assert edits.script_length(a, b)[0] == len(a) + len(b) - 2 * best[-1][-1]
-    assert edits.script_length(list("abcdef"), list("ghijkl"), most=3) == (12, True)
+        removed, added = edits.script(np.array(a, np.int64), np.array(b, np.int64))
+        assert [x for i, x in enumerate(a) if i not in set(removed.tolist())] == [x for i, x in enumerate(b) if i not in set(added.tolist())]
+        assert len(removed) + len(added) == len(a) + len(b) - 2 * best[-1][-1]
+
+
+def test_scripts_have_no_bound():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 10**9, 4000), rng.integers(0, 10**9, 4000)
+    b[100:3000:50] = a[150:3050:50]
+    removed, added = edits.script(a, b)
+    assert len(removed) == len(added) == 4000 - 58
+    same = rng.integers(0, 5, 30_000)
+    assert [len(x) for x in edits.script(same, np.delete(same, 9_000))] == [1, 0]
+
+
+def test_four_classes_of_lines(spark):
+    old = "head\n  one thing\ntwo things\n}\nkept\n\nlast"
+    new = "head\n}\nkept\n\nlast\none thing  \nnew thing\n}"
+    assert edits.four_classes(old.split("\n"), new.split("\n")) == (2, 1, 1, 1)
+    rows = [(1, old, new), (2, None, None), (3, "", "a"), (4, "a\na", "a")]
+    got = edits.line_diff(spark.createDataFrame(rows, "i int, x string, y string"), ["i"], "x", "y").collect()
+    assert [tuple(r) for r in got] == [(1, 2, 1, 1, 1, 5), (2, 0, 0, 0, 0, 1), (3, 1, 0, 1, 0, 0), (4, 0, 0, 1, 0, 1)]
 
 
 def trees(n):
