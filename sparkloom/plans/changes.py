@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom import knobs
 from sparkloom.functions import exact
 from sparkloom.operators.similarity import all_pairs, capped_pairs
+from sparkloom.operators import selection
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import table
 
@@ -183,28 +184,22 @@ def normalised_texts(spark, d):
     return g.where("docs >= 2")
 
 
+_SOFT_K, _SOFT_CLAMP = 2, (1500, 6000)
+
+
 @query(
-    f"""with r as (select p_brand as k, p_size as v from part where p_size > 0),
+    f"""with r as (select source as k, cast(n_chars as hugeint) as v from documents where n_chars > 0),
 m as (select k, v, row_number() over (partition by k order by v) as n, count(*) over (partition by k) as c from r),
 med as (select k, sum(v) as m2, count(*) as d from m where n in ((c + 1) // 2, (c + 2) // 2) group by k),
-ratio as (select k, case when v * d >= m2 then v * d else m2 end as top, case when v * d >= m2 then m2 else v * d end as low from r join med using (k)),
-o as (select *, row_number() over (partition by k order by cast(top as decimal(38,12)) / low, top, low) as n, count(*) over (partition by k) as c from ratio)
-select k, cast(least(greatest((300 * top) // low, {knobs.SOFT_CLAMP[0]}), {knobs.SOFT_CLAMP[1]}) as bigint) as soft from o where n = (c + 1) // 2"""
+ratio as (select k, greatest(v * d, m2) as p, least(v * d, m2) as q from r join med using (k)),
+o as (select *, row_number() over (partition by k order by cast(p as decimal(38,20)) / q, p, q) as n, count(*) over (partition by k) as c from ratio),
+two as (select k, min(p) filter (n = (c + 1) // 2) as p, min(q) filter (n = (c + 1) // 2) as q, min(p) filter (n = (c + 2) // 2) as p2, min(q) filter (n = (c + 2) // 2) as q2 from o group by k),
+line as (select k, (m2 * (p * q2 + p2 * q) * (p * q2 + p2 * q)) // (d * (2 * q * q2) * (2 * q * q2)) as s from two join med using (k))
+select k, cast(least(greatest(s, {_SOFT_CLAMP[0]}), {_SOFT_CLAMP[1]}) as bigint) as soft from line"""
 )
 def soft_lines(spark, d):
-    """A soft line for each brand from the median ratio to its median size, clamped, in whole numbers (the lower middle)."""
-    r = table(spark, d, "part").where("p_size > 0").select(F.col("p_brand").alias("k"), F.col("p_size").cast("bigint").alias("v"))
-    w = Window.partitionBy("k")
-    m = r.withColumn("n", F.row_number().over(w.orderBy("v"))).withColumn("c", F.count(F.lit(1)).over(w))
-    mid = m.where((F.col("n") == exact.whole(F.col("c") + 1, F.lit(2))) | (F.col("n") == exact.whole(F.col("c") + 2, F.lit(2))))
-    med = mid.groupBy("k").agg(F.sum("v").alias("m2"), F.count(F.lit(1)).alias("d"))
-    vd = F.col("v") * F.col("d")
-    ratio = r.join(med, "k").select("k", F.greatest(vd, "m2").alias("top"), F.least(vd, "m2").alias("low"))
-    q = F.col("top").cast("decimal(20,0)") / F.col("low").cast("decimal(20,0)")
-    o = ratio.withColumn("n", F.row_number().over(w.orderBy(q, "top", "low"))).withColumn("c", F.count(F.lit(1)).over(w))
-    line = exact.whole(F.col("top") * 300, F.col("low"))
-    lo, hi = knobs.SOFT_CLAMP
-    return o.where(F.col("n") == exact.whole(F.col("c") + 1, F.lit(2))).select("k", F.least(F.greatest(line, F.lit(lo)), F.lit(hi)).cast("bigint").alias("soft"))
+    """A soft line for the length of each source's documents: median times the squared median ratio to it, rounded down and clamped, in whole numbers."""
+    return selection.soft_lines(table(spark, d, "documents").withColumnRenamed("source", "k"), "k", "n_chars", _SOFT_K, *_SOFT_CLAMP)
 
 
 # Kinds of events and whether they are judged.

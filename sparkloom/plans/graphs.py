@@ -105,15 +105,17 @@ def graph_cycles_absent(spark, d):
 
 
 @query(
-    f"""{_STRONG},
+    f"""{_STRONG}, {_SEEDED.replace("reach", "come")},
 size as (select component, count(*) as size from strong group by component),
 i as (select dst as node, count(*) as indeg from arcs group by dst), o as (select src as node, count(*) as outdeg from arcs group by src)
-select node, cast(coalesce(indeg, 0) as bigint) as indeg, cast(coalesce(outdeg, 0) as bigint) as outdeg, component, cast(size as bigint) as size
+select node, cast(coalesce(indeg, 0) as bigint) as indeg, cast(coalesce(outdeg, 0) as bigint) as outdeg, component, cast(size as bigint) as size,
+    cast(node in (select node from come) as int) as reached
 from strong join size using (component) left join i using (node) left join o using (node)"""
 )
 def graph_positions(spark, d):
-    """Degrees and strong component of every part that has an arc."""
-    return graph.positions(part_arcs(spark, d))
+    """Degrees, strong component and the reach bit of every part that has an arc."""
+    e = part_arcs(spark, d)
+    return graph.positions(e, _ends(e))
 
 
 @query(
@@ -128,6 +130,21 @@ def graph_dead_verdicts(spark, d):
     return graph.dead_verdicts(nodes, e, _ends(e))
 
 
+_GRAIN = "case when p_type like 'PROMO%' then 'section' when p_size > 45 then 'package' else 'file' end"
+
+
+@query(
+    f"""with recursive {_DATED}, {_SEEDED}, v as (select p_partkey, {_GRAIN} as grain from part where p_partkey not in (select node from reach))
+select cast(count(*) filter (grain = 'file') as bigint) as dead, cast(count(*) filter (grain <> 'file') as bigint) as reported,
+    coalesce(bool_or(grain = 'file'), false) as failed from v"""
+)
+def graph_dead_gate(spark, d):
+    """The gate over the verdicts: parts of the finest grain fail it, larger ones (here some types and sizes) are reported only."""
+    verdicts = graph_dead_verdicts(spark, d)
+    grain = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.expr(_GRAIN).alias("grain"))
+    return graph.dead_gate(verdicts.join(grain, "node"))
+
+
 @query(
     """with n as (select 'c' || c_custkey as child, 'n' || c_nationkey as parent from customer
     union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import knobs
 from sparkloom.functions import exact
+from sparkloom.operators import selection
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import table
 
@@ -150,12 +151,8 @@ select brand, cast(sum(v) as bigint) as twice_median_top, cast(count(*) as bigin
 )
 def exact_median(spark, d):
     """Median part size of each brand as a ratio: the sum of the middle one or two over their number."""
-    part = table(spark, d, "part")
-    w = Window.partitionBy("p_brand")
-    n = F.count(F.lit(1)).over(w)
-    r = part.select(F.col("p_brand").alias("brand"), F.col("p_size").alias("v"), F.row_number().over(w.orderBy("p_size")).alias("rn"), n.alias("n"))
-    mid = r.where((F.col("rn") == exact.whole(F.col("n") + 1, F.lit(2))) | (F.col("rn") == exact.whole(F.col("n") + 2, F.lit(2))))
-    return mid.groupBy("brand").agg(F.sum("v").alias("twice_median_top"), F.count(F.lit(1)).alias("bottom"))
+    part = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("v"))
+    return selection.medians(part, "brand", "v").select("brand", F.col("top").alias("twice_median_top"), "bottom")
 
 
 @query(

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. A local folder stands in only where none is set and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,9 +25,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read back; `drop` deletes them."""
-    path = new_path(rows.sparkSession, name)
-    rows.write.parquet(path)
+    """The rows, written to the shared folder and read back; `drop` deletes them. Shuffle files behind them are let go, as nothing needs them any more."""
+    path, conf = new_path(rows.sparkSession, name), rows.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     out = rows.sparkSession.read.schema(rows.schema).parquet(path)
     out._loom_path = path
     return out

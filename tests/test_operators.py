@@ -245,6 +245,13 @@ def test_graph_queries_take_every_arc(spark, sf):
     assert dict(run("cycles")) == {c: n for c, n in size.items() if n >= 2}
     degrees = {n: (sum(b == n for _, b in arcs), sum(a == n for a, _ in arcs), strong[n], size[strong[n]]) for n in nodes}
     assert {r.node: (r.indeg, r.outdeg, r.component, r["size"]) for r in run("positions")} == degrees
+    seeds = spark.createDataFrame([(min(nodes),)], "node bigint")
+    come, front = {min(nodes)}, [min(nodes)]
+    while front:
+        front = [b for a, b in arcs if a in front and b not in come]
+        come |= set(front)
+    table = spark.createDataFrame(sorted(arcs), "src bigint, dst bigint")
+    assert {r.node for r in graph.positions(table, seeds).where("reached = 1").collect()} == come
 
 
 def test_relocations_cross_supplier_groups(spark, tmp_path):
@@ -588,3 +595,73 @@ def test_innermost_of_units_and_top_level(spark):
         return min(held)[2] if held else None
 
     assert sorted(map(str, ((*u, owner(*u)) for u in units))) == sorted(str(tuple(r)) for r in got)
+
+
+def test_medians_and_soft_lines_are_exact(spark):
+    from fractions import Fraction
+    from statistics import median
+
+    from sparkloom.operators import selection
+
+    rng = random.Random(8)
+    rows = [(k, rng.choice([rng.randrange(1, 9), rng.randrange(1, 5000)])) for k in range(12) for _ in range(rng.randrange(1, 40))]
+    rows += [(50, 7), (51, 3), (51, 3), (52, None), (53, -4), (54, 2), (54, 9)]
+    df = spark.createDataFrame(rows, "k int, v bigint")
+    group = {}
+    for k, v in rows:
+        if v is not None:
+            group.setdefault(k, []).append(Fraction(v))
+    assert {r.k: Fraction(r.top, r.bottom) for r in selection.medians(df, "k", "v").collect()} == {k: median(v) for k, v in group.items()}
+    for exponent in (0, 1, 2):
+        want = {}
+        for k, values in group.items():
+            some = [v for v in values if v > 0]
+            if some:
+                m = median(some)
+                want[k] = min(9000, max(2, int(m * median([max(v / m, m / v) for v in some]) ** exponent)))
+        assert {r.k: r.soft for r in selection.soft_lines(df, "k", "v", exponent, 2, 9000).collect()} == want
+
+
+def _strong_by_definition(arcs):
+    nodes = {x for a in arcs for x in a}
+    ahead = {n: {b for a, b in arcs if a == n} for n in nodes}
+    reach = {}
+    for n in nodes:
+        seen, front = set(), [n]
+        while front:
+            front = [y for x in front for y in ahead[x] if y not in seen]
+            seen |= set(front)
+            front = list(set(front))
+        reach[n] = seen
+    return {n: min([n, *(m for m in reach[n] if n in reach[m])]) for n in nodes}
+
+
+def test_chains_and_rings_are_contracted(spark):
+    rng = random.Random(6)
+    for n in range(4):
+        arcs = {(rng.randrange(6), rng.randrange(6)) for _ in range(7)}
+        fresh = itertools.count(100)
+
+        def chain(a, b, length):
+            way = [a, *(next(fresh) for _ in range(length)), b]
+            arcs.update(itertools.pairwise(way))
+
+        for _ in range(4):
+            chain(rng.randrange(6), rng.randrange(6), rng.randrange(1, 7))
+        first = next(fresh)
+        chain(first, first, 5 + n)  # a ring apart
+        chain(50 + n, rng.randrange(6), 3)
+        want = _strong_by_definition({(a, b) for a, b in arcs if a != b})
+        got = graph.strong_components(spark.createDataFrame(sorted(arcs), "src bigint, dst bigint"))
+        assert {r.node: r.component for r in got.collect()} == want
+
+
+def test_long_paths_and_rings_take_few_rounds(spark, monkeypatch):
+    n, writes = 20_000, []
+    real = graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: (writes.append(1), real(df))[1])
+    path = spark.range(n).selectExpr("id as src", "id + 1 as dst")
+    ring = spark.range(n // 2).selectExpr(f"{2 * n} + id as src", f"{2 * n} + (id + 1) % {n // 2} as dst")
+    got = graph.strong_components(path.union(ring)).groupBy("component").count()
+    assert {(r.component, r["count"]) for r in got.where("count > 1").collect()} == {(2 * n, n // 2)}
+    assert len(writes) < 40
