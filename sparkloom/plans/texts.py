@@ -10,6 +10,8 @@ from sparkloom.functions import text as tx
 from sparkloom.operators import fingerprints as fp
 from sparkloom.operators import graph, similarity
 from sparkloom.plans.registry import query
+from sparkloom.sources import stores
+from sparkloom.sources.index import PrintIndex
 from sparkloom.sources.tables import dealt, table
 
 _W = r"coalesce(regexp_extract_all(lower(text), '([\p{L}\p{N}\p{M}]+)', 1), [])"
@@ -115,6 +117,28 @@ def probe_benchmark(spark, d):
     return similarity.probe(dealt(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+_PROBE_K, _PROBE_W = 8, 5
+_PROBE_RUN = _PROBE_K + _PROBE_W - 1
+
+
+@query(
+    f"""with x as (select item_id as a, {_W} as w from benchmark where item_id is not null), y as (select doc_id as b, {_W} as w from documents where doc_id is not null),
+gx as (select a, i as p, array_to_string(w[i : i + {_PROBE_RUN - 1}], ' ') as g from x, unnest(range(1, len(w) - {_PROBE_RUN - 2})) as t(i)),
+gy as (select b, i as p, array_to_string(w[i : i + {_PROBE_RUN - 1}], ' ') as g from y, unnest(range(1, len(w) - {_PROBE_RUN - 2})) as t(i)),
+hit as (select a, b, gx.p as pa, gy.p - gx.p as lane from gx join gy using (g)),
+isl as (select *, pa - row_number() over (partition by a, b, lane order by pa) as i from hit),
+runs as (select a, b, min(pa) - 1 as pa, min(pa) - 1 + lane as pb, count(*) + {_PROBE_RUN - 1} as tokens from isl group by a, b, lane, i)
+select r.a, r.b, cast(pa as bigint) as pa, cast(pb as bigint) as pb, cast(tokens as bigint) as tokens, cast(len(list_distinct(w[pa + 1 : pa + tokens])) as bigint) as n_distinct
+from runs r join x on x.a = r.a where not exists (select 1 from runs s where s.a = r.a and s.b = r.b and s.tokens > r.tokens
+    and s.pa <= r.pa and s.pa + s.tokens >= r.pa + r.tokens and s.pb <= r.pb and s.pb + s.tokens >= r.pb + r.tokens)"""
+)
+def index_probe(spark, d):
+    """Benchmark items probed against a stored index of the documents' prints: only buckets of their prints are read, and matches are extended to whole runs."""
+    index = PrintIndex(spark, stores.new_path(spark, "prints"), _PROBE_K, _PROBE_W)
+    index.put(dealt(spark, d, "documents"))
+    return index.probe(table(spark, d, "benchmark"), "item_id").where(F.col("tokens") >= _PROBE_RUN)
+
+
 _G = r"""g as (
     select doc_id as doc, i - 1 as p, left(md5(array_to_string(w[i : i + {k} - 1], ' ')), 12) as h
     from (select doc_id, """ + _W + r""" as w from documents), unnest(range(1, len(w) - {k} + 2)) as t(i))"""

@@ -665,3 +665,35 @@ def test_long_paths_and_rings_take_few_rounds(spark, monkeypatch):
     got = graph.strong_components(path.union(ring)).groupBy("component").count()
     assert {(r.component, r["count"]) for r in got.where("count > 1").collect()} == {(2 * n, n // 2)}
     assert len(writes) < 40
+
+
+def test_a_stored_index_is_refreshed_and_probed(spark, tmp_path, monkeypatch):
+    from sparkloom.sources import index, stores
+
+    rng = random.Random(2)
+    say = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    docs = {i: say(60) for i in range(30)}
+    docs[4] = docs[3][:40] + say(10)
+    frame = lambda some: spark.createDataFrame([(i, " ".join(t)) for i, t in some.items()], "doc_id bigint, text string")
+    ix = index.PrintIndex(spark, str(tmp_path / "ix"), 4, 3, 8)
+    assert ix.probe(frame(docs), "doc_id").count() == 0
+    assert ix.put(frame(docs)) == 30
+    writes = []
+    real = stores.overwrite_partitions
+    monkeypatch.setattr(index.stores, "overwrite_partitions", lambda *a: (writes.append(1), real(*a))[1])
+    assert ix.put(frame(docs)) == 0 and not writes
+    docs[7], docs[40] = say(50), docs[9][10:40]
+    assert ix.put(frame({i: docs[i] for i in (3, 7, 40)})) == 2
+    ix.drop(spark.createDataFrame([(5,), (999,)], "doc_id bigint"))
+    gone = docs.pop(5)
+    assert {r.doc for r in ix.documents().collect()} == set(docs)
+    probes = {**{i: docs[i] for i in (3, 4, 40)}, 77: gone}
+    got = ix.probe(frame(probes), "doc_id", itself=True).where("tokens >= 6").collect()
+    want = set()
+    for x, a in probes.items():
+        for y, b in docs.items():
+            if x != y:
+                want |= {(x, y, *r[2:]) for r in _runs_by_definition({1: a, 2: b}, 6)}
+    assert {tuple(r)[:5] for r in got} == want and any(r[4] >= 30 for r in want)
+    plan = ix.scan(spark.createDataFrame([(docs and 12345,)], "g bigint"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
