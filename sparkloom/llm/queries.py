@@ -67,7 +67,7 @@ select query_id, rank, vec_id, score from ranked where rank <= {search.K}
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.encode(_table(spark, sf_dir, "documents"), ["doc_id"])
+    coded = pieces.encode(_dealt(spark, sf_dir, "documents"), ["doc_id"])
     return coded.select(
         "doc_id",
         F.size("pieces").cast("bigint").alias("n_pieces"),
@@ -104,7 +104,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     parser = language.train(docs.where(_remainder(4) != 2))
-    found = language.identify(docs, parser, ["doc_id"])
+    found = language.identify(_dealt(spark, sf_dir, "documents"), parser, ["doc_id"])
     return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
