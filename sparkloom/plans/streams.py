@@ -34,7 +34,7 @@ def stream_sliding(spark, d):
 
 
 @query(
-    """with g as (select user_id, ts, event_id, case when ts <= lag(ts) over (partition by user_id order by ts) + interval 2 hours then 0 else 1 end as new from events),
+    """with g as (select user_id, ts, event_id, case when ts <= lag(ts) over (partition by user_id order by ts, event_id) + interval 2 hours then 0 else 1 end as new from events),
 s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g)
 select user_id, min(ts) as start, max(ts) + interval 2 hours as stop, cast(count(*) as bigint) as n from s group by user_id, k"""
 )

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from sparkloom.sources import stores
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -65,6 +66,9 @@ def run_tallied(stream: DataFrame, name: str, watch=lambda rows, metric: rows) -
     tally, watched = Tally(query_name), watch(stream, query_name)
     out, state = stores.new_path(spark, f"{name}-out"), stores.new_path(spark, f"{name}-state")
     sink = watched.writeStream.queryName(query_name).format("parquet").option("path", out).option("checkpointLocation", state)
+    # states with timers need this store; a query keeps the one it starts with, others of the session keep theirs
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
     spark.streams.addListener(tally)
     try:
         query = sink.trigger(availableNow=True).start()
@@ -75,6 +79,7 @@ def run_tallied(stream: DataFrame, name: str, watch=lambda rows, metric: rows) -
             raise RuntimeError(f"no report of the end of {query_name}")
     finally:
         spark.streams.removeListener(tally)
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
     return spark.read.schema(watched.schema).parquet(out), tally
 
 
@@ -134,9 +139,8 @@ def warn_again(events: DataFrame, keys: list[str], when: str, quiet_ms: int, del
 
     Keyed state holds one time a key, and an event-time timer drops it when the quiet time has passed the watermark, so state is bounded by the keys that
     warned lately, not by the feed. Rows of a batch are taken in the order of time; rows behind the watermark are left out by Spark and counted
-    in its progress (`Tally.late`). A row without time or key is left out here.
+    in its progress (`Tally.late`). A row without time or key is left out here. Run it by `run_tallied`, which sets the state store it needs.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     known = events.dropna(subset=[*keys, when]).select(*keys, F.col(when).cast("timestamp").alias(when)).withWatermark(when, delay)
     schema = T.StructType([known.schema[c] for c in (*keys, when)])
     return known.groupBy(*keys).transformWithStateInPandas(_Quiet(keys, when, quiet_ms), schema, "append", "eventTime")
