@@ -16,6 +16,8 @@ SOFT, HARD, ZONE_MAX, SOFT_CLAMP = 300, 750, 10, (200, 500)
 SCALE, NEUTRAL_COST = 1000, 10
 # Structure
 DEPTH, FANOUT, BIG_DIR, MIX, MISPLACED = 8, 30, 8, 5, 3
+# Splits: prices of a severed reference, a cut clone, a severed co-change and a new file, in thousandths
+SPLIT_REF, SPLIT_CLONE, SPLIT_CHURN, SPLIT_FILE = 250, 500, 150, 500
 # Trends
 MIN_POINTS = 3
 # Moves between two texts

@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from sparkloom.plans import changes, graphs, joins, measures, rules, scores, sources_sinks, streams, structure, texts  # noqa: E402, F401
+from sparkloom.plans import changes, graphs, joins, measures, rules, scores, sources_sinks, states, streams, structure, texts  # noqa: E402, F401
