@@ -241,17 +241,68 @@ def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
     return int(dist[-1, -1])
 
 
-_TREES = T.StructType([T.StructField("page", T.LongType()), T.StructField("host", T.StringType()), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("leaves", T.ArrayType(T.IntegerType()))])
+def branches(labels: list[str], leaves: list[int]) -> list[str]:
+    """Each node's label with its first child's and its next sibling's, in post order; where there is none, the part is empty."""
+    first, after = [""] * len(labels), [""] * len(labels)
+    for i in range(len(labels)):
+        child, right = i - 1, ""
+        while child >= leaves[i]:
+            after[child] = right
+            first[i] = right = labels[child]
+            child = leaves[child] - 1
+    return [f"{x} {y} {z}" for x, y, z in zip(labels, first, after)]
+
+
+def before_order(labels: list[str], leaves: list[int]) -> list[str]:
+    """Labels with parents before their children, from post order."""
+    out, work = [], [len(labels) - 1]
+    while work:
+        i = work.pop()
+        out.append(labels[i])
+        child = i - 1
+        while child >= leaves[i]:
+            work.append(child)
+            child = leaves[child] - 1
+    return out
+
+
+def sequence_distances(pairs: list[tuple[list[str], list[str]]], most: int = 1 << 18) -> np.ndarray:
+    """Edit distances of many pairs of label sequences: a row of all their tables at once, in groups of near lengths of about `most` cells a row."""
+    out = np.zeros(len(pairs), np.int64)
+    codes: dict[str, int] = {}
+    rows = [tuple(np.array([codes.setdefault(v, len(codes)) for v in x], np.int32) for x in pair) for pair in pairs]
+    todo = sorted(range(len(rows)), key=lambda i: (len(rows[i][1]), len(rows[i][0])))
+    while todo:
+        width = len(rows[todo[-1]][1]) + 1
+        part, todo = todo[-max(1, most // width) :], todo[: -max(1, most // width)]
+        na, nb = (np.array([len(rows[i][side]) for i in part]) for side in (0, 1))
+        a, b = np.full((len(part), max(na.max(), 1)), -1, np.int32), np.full((len(part), width - 1), -2, np.int32)
+        for r, i in enumerate(part):
+            a[r, : na[r]], b[r, : nb[r]] = rows[i]
+        step = np.arange(width)
+        row = np.tile(step, (len(part), 1))
+        ends = np.where(na == 0, nb, 0)
+        for x in range(1, na.max(initial=0) + 1):
+            new = row + 1
+            np.minimum(new[:, 1:], row[:, :-1] + (b != a[:, x - 1 : x]), out=new[:, 1:])
+            row = np.minimum.accumulate(new - step, axis=1) + step
+            done = np.flatnonzero(na == x)
+            ends[done] = row[done, nb[done]]
+        out[part] = ends
+    return out
+
+
+_TREES = T.StructType([T.StructField("page", T.LongType()), T.StructField("host", T.StringType()), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("leaves", T.ArrayType(T.IntegerType())), T.StructField("branches", T.ArrayType(T.StringType()))])
 
 
 def page_trees(pages: DataFrame) -> DataFrame:
-    """(page, host, labels, leaves, n, tree): every page's elements in post order, how many there are, and SHA-256 of the tree. Null html has the root alone."""
+    """(page, host, labels, leaves, branches, n, tree): every page's elements in post order, how many there are, and SHA-256 of the tree. Null html has the root alone."""
 
     def parse(batches):
         for batch in batches:
             trees = [post_order(x or "") for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page"), batch.column("host"), pa.array([t[0] for t in trees], pa.list_(pa.string())), pa.array([t[1] for t in trees], pa.list_(pa.int32()))],
+                [batch.column("page"), batch.column("host"), pa.array([t[0] for t in trees], pa.list_(pa.string())), pa.array([t[1] for t in trees], pa.list_(pa.int32())), pa.array([branches(*t) for t in trees], pa.list_(pa.string()))],
                 names=_TREES.names,
             )
 
@@ -269,8 +320,9 @@ def page_clones(trees: DataFrame) -> DataFrame:
     """(a, b, na, nb, copies_a, copies_b, distance, clone): pairs of classes of one host whose element counts are near, of any size and depth.
 
     Pages of one tree are one class, named by its smallest page, so copies make no pairs. The size prune is a range join on counts inside a host.
-    The distance is at least what the labels, counted with multiplicity, do not have in common; where that alone rules a clone out, distance is
-    null. All other pairs of trees are compared once, however many hosts have them.
+    Lower bounds come before any distance between trees: what the labels, counted with multiplicity, do not have in common; a fifth of what the profiles of
+    binary branches (a label, its first child's, its next sibling's) do not, as an edit changes five of them at most; and the edit distances of the labels in
+    both orders, parents first and parents last. Where one of them rules a clone out, distance is null. The trees that are left are compared once, however many hosts have them.
     `trees` is read from several sides and should be a written table.
     """
     sized = trees.where(F.col("n") >= knobs.MIN_NODES)
@@ -279,21 +331,31 @@ def page_clones(trees: DataFrame) -> DataFrame:
     side = lambda x: classes.select(F.col("page").alias(x), F.col("n").alias(f"n{x}"), F.col("copies").alias(f"copies_{x}"), F.col("tree").alias(f"t{x}"))
     found = settle(near.join(side("a"), "a").join(side("b"), "b"))
     x, y = F.least("ta", "tb").alias("x"), F.greatest("ta", "tb").alias("y")
-    counted = F.transform(F.array_distinct("labels"), lambda v: F.struct(v, F.size(F.filter("labels", lambda w: w == v))))
-    forms = settle(sized.groupBy("tree").agg(F.first("labels").alias("l"), F.first("leaves").alias("f")).withColumnRenamed("l", "labels").withColumn("kinds", F.map_from_entries(counted)))
+    tally = lambda c: F.map_from_entries(F.transform(F.array_distinct(c), lambda v: F.struct(v, F.size(F.filter(c, lambda w: w == v)))))
+    first = sized.groupBy("tree").agg(*(F.first(c).alias(c) for c in ("labels", "leaves", "branches")))
+    forms = settle(first.select("tree", "labels", F.col("leaves").alias("f"), tally("labels").alias("kinds"), tally("branches").alias("boughs")))
     tn, td = knobs.TREE_RATIO
-    kinds = lambda k: forms.select(F.col("tree").alias(k), F.col("kinds").alias(f"k{k}"), F.size("labels").alias(f"n{k}"))
-    common = F.aggregate(F.map_keys("kx"), F.lit(0), lambda t, k: t + F.least(F.col("kx")[k], F.coalesce(F.try_element_at("ky", k), F.lit(0))))
-    alike = found.select(x, y).distinct().join(kinds("x"), "x").join(kinds("y"), "y").where(common * td >= F.greatest("nx", "ny") * tn).select("x", "y")
+    kinds = lambda k: forms.select(F.col("tree").alias(k), F.col("kinds").alias(f"k{k}"), F.col("boughs").alias(f"b{k}"), F.size("labels").alias(f"n{k}"))
+    both = lambda p, q: F.aggregate(F.map_keys(p), F.lit(0), lambda t, k: t + F.least(F.col(p)[k], F.coalesce(F.try_element_at(q, k), F.lit(0))))
+    larger = F.greatest("nx", "ny")
+    apart = (F.col("nx") + F.col("ny") - 2 * both("bx", "by")) <= 5 * F.floor(larger * (td - tn) / td)
+    sides = found.select(x, y).distinct().join(kinds("x"), "x").join(kinds("y"), "y")
+    alike = sides.where(both("kx", "ky") * td >= larger * tn).where(apart).select("x", "y")
     whole = lambda k: forms.select(F.col("tree").alias(k), F.col("labels").alias(f"l{k}"), F.col("f").alias(f"f{k}"))
     rows = alike.join(whole("x"), "x").join(whole("y"), "y").select("x", "y", "lx", "fx", "ly", "fy")
     out = T.StructType([T.StructField("x", T.StringType()), T.StructField("y", T.StringType()), T.StructField("distance", T.LongType())])
 
     def judge(batches):
         for batch in batches:
-            d = []
-            for p, q, r, s in zip(*(batch.column(c).to_pylist() for c in ("lx", "fx", "ly", "fy"))):
-                d.append(tree_distance((p, q), (r, s)))
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("lx", "fx", "ly", "fy"))))
+            least = sequence_distances([(p, r) for p, _, r, _ in rows])
+            near = [i for i, (p, _, r, _) in enumerate(rows) if (max(len(p), len(r)) - least[i]) * td >= max(len(p), len(r)) * tn]
+            again = sequence_distances([(before_order(*rows[i][:2]), before_order(*rows[i][2:])) for i in near])
+            d: list[int | None] = [None] * len(rows)
+            for i, low in zip(near, again):
+                p, q, r, s = rows[i]
+                if (max(len(p), len(r)) - low) * td >= max(len(p), len(r)) * tn:
+                    d[i] = tree_distance((p, q), (r, s))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(d, pa.int64())], names=out.names)
 
     # the pairs are dealt anew, as their arrays weigh little and their search much

@@ -166,14 +166,37 @@ select cast(band as int) as band, cast(size as bigint) as size, cast(count(*) as
 )
 def structural_bands(spark, d):
     """MinHash bands over runs of four element kinds: how many groups of each size a band has. Minima are folded in partial aggregates."""
+    k = _band_keys(spark, d)
+    size = k.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
+    return size.groupBy("band", "size").agg(F.count(F.lit(1)).alias("groups"))
+
+
+_BAND_KEYS = f"""p as (select page_id, {_TAGS} as g from pages),
+s as (select distinct page_id, array_to_string(g[i : i + 3], ' ') as h from p, unnest(range(1, len(g) - 2)) as x(i)),
+m as (select page_id, r, min(md5(r || ':' || h)) as m from s, unnest(range(0, {_BANDS * _BAND_ROWS})) as t(r) group by all),
+k as (select page_id, r // {_BAND_ROWS} as band, string_agg(m, ',' order by r) as key from m group by all)"""
+
+
+def _band_keys(spark, d):
     g = table(spark, d, "pages").select("page_id", _tags().alias("g")).where(F.size("g") >= 4)
     runs = F.transform(F.sequence(F.lit(1), F.size("g") - 3), lambda i: F.array_join(F.slice("g", i, F.lit(4)), " "))
     s = g.select("page_id", F.explode(F.array_distinct(runs)).alias("h"))
     minima = [F.min(F.md5(F.concat(F.lit(f"{r}:"), "h").cast("binary"))).alias(f"m{r}") for r in range(_BANDS * _BAND_ROWS)]
     keys = F.array(*(F.concat_ws(",", *(f"m{b * _BAND_ROWS + r}" for r in range(_BAND_ROWS))) for b in range(_BANDS)))
-    k = s.groupBy("page_id").agg(*minima).select(F.posexplode(keys).alias("band", "key"))
-    size = k.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
-    return size.groupBy("band", "size").agg(F.count(F.lit(1)).alias("groups"))
+    return s.groupBy("page_id").agg(*minima).select("page_id", F.posexplode(keys).alias("band", "key"))
+
+
+@query(
+    f"""with {_BAND_KEYS}, r as (select *, count(*) over (partition by band, key) as n, row_number() over (partition by band, key order by page_id) as rn from k),
+c as (select a.page_id as a, b.page_id as b, a.n > {knobs.HOT_CAP} as hot from r a join r b on a.band = b.band and a.key = b.key and a.rn < b.rn and (a.n <= {knobs.HOT_CAP} or b.rn = a.rn + 1))
+select a, b, cast(count(*) as bigint) as bands, bool_or(hot) as chained from c group by a, b"""
+)
+def structural_candidates(spark, d):
+    """Pairs of pages that share a band of structure, in how many bands, and whether one of them was too crowded to be paired and was chained instead, so that all its
+    pages stay connected. A group of any size takes rows in proportion to its pages."""
+    keys = graph.settle(_band_keys(spark, d).select(F.concat_ws(":", "band", "key").alias("h"), "page_id"))
+    pairs = similarity.capped_pairs(keys, "h", ["page_id"])
+    return pairs.groupBy(F.col("a.page_id").alias("a"), F.col("b.page_id").alias("b")).agg(F.count(F.lit(1)).alias("bands"), F.bool_or("hot").alias("chained"))
 
 
 # Languages and the weight each is declared to have.

@@ -300,6 +300,29 @@ def test_large_pages_are_judged(spark):
     assert edits.tree_distance(edits.post_order(page), edits.post_order(other)) == 3
 
 
+def test_lower_bounds_of_tree_distances():
+    """Binary branches change by five at most with an edit, and label sequences in both orders by no more than the trees do."""
+    from collections import Counter
+
+    every = [t for n in (1, 2, 3, 4) for t in trees(n)]
+    rng = random.Random(4)
+    pairs = [(post(a), post(b)) for a, b in (rng.sample(every, 2) for _ in range(400))]
+    for last in (True, False):
+        order = (lambda t: t[0]) if last else (lambda t: edits.before_order(*t))
+        least = edits.sequence_distances([(order(a), order(b)) for a, b in pairs], 40)
+        for (a, b), low in zip(pairs, least):
+            assert low <= edits.tree_distance(a, b)
+    for a, b in pairs:
+        ca, cb = Counter(edits.branches(*a)), Counter(edits.branches(*b))
+        assert (ca - cb).total() + (cb - ca).total() <= 5 * edits.tree_distance(a, b)
+    words = ["", "a", "abc", "kitten", "sitting", "b" * 50]
+    plain = {(x, y): d for x, y, d in (("kitten", "sitting", 3), ("", "abc", 3), ("abc", "a", 2), ("a", "b" * 50, 50))}
+    got = edits.sequence_distances([(list(x), list(y)) for x in words for y in words])
+    table = dict(zip(itertools.product(words, words), got.tolist()))
+    assert all(table[k] == v for k, v in plain.items()) and all(table[x, x] == 0 for x in words)
+    assert edits.sequence_distances([]).tolist() == []
+
+
 def test_page_clones_are_those_of_all_pairs(spark, tmp_path):
     """Expanded by its classes, the result has the clones of every pair of pages of a host, judged one by one."""
     from sparkloom import knobs
