@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -130,45 +130,53 @@ def line_diff(rows: DataFrame, keep: list[str], before: str, after: str) -> Data
     return rows.select(*keep, before, after).mapInArrow(run, schema)
 
 
-class _Tree(HTMLParser):
-    """Post-order labels and leftmost leaves of a page's elements."""
-
-    def __init__(self):
-        super().__init__()
-        self.stack: list[list] = [["#", []]]
-
-    def handle_starttag(self, tag, attrs):
-        node = [tag, []]
-        self.stack[-1][1].append(node)
-        if tag not in VOID:
-            self.stack.append(node)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+# a comment, a declaration, or a tag with its slash, name and what follows it; a quoted value may hold any character
+_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?)*+)>""", re.S)
+_UNQUOTED = re.compile(r"""=\s*[^\s"'>][^\s>]*\Z""")
+#: Elements whose content is no markup, and where it ends.
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
 
 
 def post_order(html: str) -> tuple[list[str], list[int]]:
-    tree = _Tree()
-    tree.feed(html)
+    """Labels of a page's elements and each one's leftmost leaf, in post order, in one pass; the last is a root that is no element.
+
+    An end tag closes the nearest open element of its name with all that is open in it, and none if there is none. What is open at the end is closed there.
+    """
     labels: list[str] = []
     leaves: list[int] = []
+    stack, opened = [("#", 0)], {"#": 1}
+
+    def close(tag):
+        while True:
+            top, leaf = stack.pop()
+            labels.append(top)
+            leaves.append(leaf)
+            opened[top] -= 1
+            if top == tag:
+                return
 
-    work = [[tree.stack[0], 0, None]]  # node, children done, first leaf: a stack of its own, as pages nest deep
-    while work:
-        node, k, first = work[-1]
-        if k < len(node[1]):
-            work[-1][1] += 1
-            work.append([node[1][k], 0, None])
-            continue
-        work.pop()
-        leaf = len(labels) if first is None else first
-        labels.append(node[0])
-        leaves.append(leaf)
-        if work and work[-1][2] is None:
-            work[-1][2] = leaf
+    at, found = 0, _TOKEN.search(html)
+    while found:
+        at = found.end()
+        ends, tag, rest = found.groups()
+        if tag:
+            tag = tag.lower()
+            if ends:
+                if opened.get(tag):
+                    close(tag)
+            elif tag in VOID:
+                leaves.append(len(labels))
+                labels.append(tag)
+            else:
+                stack.append((tag, len(labels)))
+                opened[tag] = opened.get(tag, 0) + 1
+                if rest.endswith("/") and not _UNQUOTED.search(rest):
+                    close(tag)
+                elif tag in _RAW:
+                    end = _RAW[tag].search(html, at)
+                    at = end.start() if end else len(html)
+        found = _TOKEN.search(html, at)
+    close("#")
     return labels, leaves
 
 

@@ -399,7 +399,7 @@ def page_tree_distance(spark, d):
     batches, once for each pair of trees. `page_tree_classes` says which pages a class has."""
     from sparkloom.operators import edits
 
-    return edits.page_clones(graph.settle(edits.page_trees(table(spark, d, "pages"))))
+    return edits.page_clones(graph.settle(edits.page_trees(dealt(spark, d, "pages"))))
 
 
 @query()
@@ -407,6 +407,6 @@ def page_tree_classes(spark, d):
     """Every page with the smallest page of its host that has the same tree of elements, and how many have it."""
     from sparkloom.operators import edits
 
-    trees = graph.settle(edits.page_trees(table(spark, d, "pages")).select("page", "host", "tree", "n"))
+    trees = graph.settle(edits.page_trees(dealt(spark, d, "pages")).select("page", "host", "tree", "n"))
     classes = edits.page_classes(trees).select(F.col("host").alias("its"), F.col("tree").alias("form"), F.col("page").alias("class"), "copies")
     return trees.join(classes, F.col("host").eqNullSafe(F.col("its")) & (F.col("tree") == F.col("form"))).select("page", "n", "class", "copies")

@@ -300,6 +300,23 @@ def test_large_pages_are_judged(spark):
     assert edits.tree_distance(edits.post_order(page), edits.post_order(other)) == 3
 
 
+def test_pages_are_read_in_one_pass():
+    """Trees by hand: unclosed and crossed elements, quoted angles, raw elements, comments, self-closed ones, a thousand open elements."""
+    for html, want in [
+        ("", (["#"], [0])),
+        ("<p>a<br>b", (["br", "p", "#"], [0, 0, 0])),
+        ("<b><i></b></i><u/>", (["i", "b", "u", "#"], [0, 0, 2, 0])),
+        ("<DIV title='a > <p>'><!-- <p> --><!doctype x></div >", (["div", "#"], [0, 0])),
+        ("<script>if (a<b) '<p>'</script><p>", (["script", "p", "#"], [0, 1, 0])),
+        ("<script><p>", (["script", "#"], [0, 0])),
+        ("a < b <!-- <p>", (["#"], [0])),
+        ("<a href=x/>y</a><a title=don't>z", (["a", "a", "#"], [0, 1, 0])),
+    ]:
+        assert edits.post_order(html) == want, html
+    labels, leaves = edits.post_order("<q>" * 1000 + "</x>" * 1000)
+    assert len(labels) == 1001 and set(leaves) == {0}
+
+
 def test_lower_bounds_of_tree_distances():
     """Binary branches change by five at most with an edit, and label sequences in both orders by no more than the trees do."""
     from collections import Counter
