@@ -300,6 +300,66 @@ def sequence_distances(pairs: list[tuple[list[str], list[str]]], most: int = 1 <
     return out
 
 
+class TopDown:
+    """Least cost of turning one tree into another where whole subtrees come and go and parents are matched before their children: no less than the tree distance.
+
+    Equal subtrees are one number, so each pair of different ones is asked once; equal children at both ends of two lists are matched as they are. What is known is
+    forgotten beyond `most` entries. Below `deepest` levels, children are replaced as wholes, which costs no less.
+    """
+
+    def __init__(self, most: int = 500_000, deepest: int = 200):
+        self.most, self.deepest = most, deepest
+        self.forget()
+
+    def forget(self):
+        self.ids, self.kids, self.size, self.label, self.known = {}, [], [], [], {}
+
+    def number(self, labels: list[str], leaves: list[int]) -> int:
+        out: list[int] = []
+        for i, (label, leaf) in enumerate(zip(labels, leaves)):
+            children, c = [], i - 1
+            while c >= leaf:
+                children.append(out[c])
+                c = leaves[c] - 1
+            form = (label, *reversed(children))
+            n = self.ids.setdefault(form, len(self.kids))
+            if n == len(self.kids):
+                self.kids.append(form[1:])
+                self.size.append(i - leaf + 1)
+                self.label.append(label)
+            out.append(n)
+        return out[-1]
+
+    def cost(self, x: int, y: int, depth: int = 0) -> int:
+        if x == y:
+            return 0
+        if (x, y) in self.known:
+            return self.known[x, y]
+        a, b, size = self.kids[x], self.kids[y], self.size
+        end = min(len(a), len(b))
+        low = next((i for i in range(end) if a[i] != b[i]), end)
+        high = next((i for i in range(end - low) if a[-1 - i] != b[-1 - i]), end - low)
+        a, b = a[low : len(a) - high], b[low : len(b) - high]
+        row = [0]
+        for v in b:
+            row.append(row[-1] + size[v])
+        if b and depth < self.deepest:
+            for u in a:
+                new = [row[0] + size[u]]
+                for j, v in enumerate(b):
+                    new.append(min(row[j + 1] + size[u], new[j] + size[v], row[j] + self.cost(u, v, depth + 1)))
+                row = new
+        else:
+            row[-1] += sum(size[u] for u in a)
+        self.known[x, y] = out = row[-1] + (self.label[x] != self.label[y])
+        return out
+
+    def __call__(self, a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> int:
+        if len(self.known) + len(self.ids) > self.most:
+            self.forget()
+        return self.cost(self.number(*a), self.number(*b))
+
+
 _TREES = T.StructType([T.StructField("page", T.LongType()), T.StructField("host", T.StringType()), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("leaves", T.ArrayType(T.IntegerType())), T.StructField("branches", T.ArrayType(T.StringType()))])
 
 
@@ -354,16 +414,18 @@ def page_clones(trees: DataFrame) -> DataFrame:
     out = T.StructType([T.StructField("x", T.StringType()), T.StructField("y", T.StringType()), T.StructField("distance", T.LongType())])
 
     def judge(batches):
+        above = TopDown()
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("lx", "fx", "ly", "fy"))))
             least = sequence_distances([(p, r) for p, _, r, _ in rows])
             near = [i for i, (p, _, r, _) in enumerate(rows) if (max(len(p), len(r)) - least[i]) * td >= max(len(p), len(r)) * tn]
             again = sequence_distances([(before_order(*rows[i][:2]), before_order(*rows[i][2:])) for i in near])
             d: list[int | None] = [None] * len(rows)
-            for i, low in zip(near, again):
+            for i, low in zip(near, np.maximum(again, least[near]).tolist()):
                 p, q, r, s = rows[i]
                 if (max(len(p), len(r)) - low) * td >= max(len(p), len(r)) * tn:
-                    d[i] = tree_distance((p, q), (r, s))
+                    high = above((p, q), (r, s))
+                    d[i] = high if high == low else tree_distance((p, q), (r, s))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(d, pa.int64())], names=out.names)
 
     # the pairs are dealt anew, as their arrays weigh little and their search much

@@ -332,6 +332,13 @@ def test_lower_bounds_of_tree_distances():
     for a, b in pairs:
         ca, cb = Counter(edits.branches(*a)), Counter(edits.branches(*b))
         assert (ca - cb).total() + (cb - ca).total() <= 5 * edits.tree_distance(a, b)
+    for above in (edits.TopDown(), edits.TopDown(most=20), edits.TopDown(deepest=1)):
+        cost = [above(a, b) for a, b in pairs]
+        exact = [edits.tree_distance(a, b) for a, b in pairs]
+        assert all(c >= d for c, d in zip(cost, exact)) and any(c > d for c, d in zip(cost, exact))
+        assert all((c == 0) == (a == b) for c, (a, b) in zip(cost, pairs))
+    chain = (["p"] * 3000, [0] * 3000)  # deeper than Python's stack
+    assert edits.TopDown()(chain, (["p"] * 2999 + ["q"], [0] * 3000)) >= 1
     words = ["", "a", "abc", "kitten", "sitting", "b" * 50]
     plain = {(x, y): d for x, y, d in (("kitten", "sitting", 3), ("", "abc", 3), ("abc", "a", 2), ("a", "b" * 50, 50))}
     got = edits.sequence_distances([(list(x), list(y)) for x in words for y in words])
