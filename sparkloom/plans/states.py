@@ -13,7 +13,8 @@ from sparkloom.sources.tables import dealt, table
 
 @query()
 def line_states(spark, d):
-    """Every document's and page's lines: those in fences, characters of comments and code, and what stays visible, with its SHA-256 where the text has lines."""
+    """Every document's and page's lines: those in fences, characters of comments and code, and what stays visible, with a 64-bit hash over
+    lines and their places. A text without lines has no row."""
     docs = dealt(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     pages = dealt(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     seen = linestates.masked_lines(linestates.stretches(docs.unionByName(pages), ["kind", "id"], "text"), ["kind", "id"])
