@@ -257,6 +257,34 @@ def test_toxicity_learns_and_is_whole(spark):
     assert {r.toxicity for r in toxicity.score(docs, one_sided, ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    rng = random.Random(4)
+    # 2,600 rows of each class; the 100 marked ones of largest id hash hold a word of their own
+    order = [r.id for r in spark.range(2600).orderBy(F.xxhash64(F.col("id").cast("string")), "id").collect()]
+    late = set(order[-100:])
+    texts = []
+    for i in range(5200):
+        w = prose(rng, 6).split()
+        if i < 2600:
+            w.insert(rng.randrange(len(w)), "grubby" if i in late else "vilest")
+        texts.append((i, f"{' '.join(w)} n{i}"))
+    labels = spark.createDataFrame([(i, int(i < 2600)) for i in range(5200)], "doc_id bigint, toxic int")
+    asked = ["vilest one", "so grubby one", prose(rng, 6)]
+    for rows in (toxicity.SHARD_ROWS, 1500):  # one shard, and several whose means are taken
+        model = toxicity.train(docs_of(spark, texts), labels, shard_rows=rows)
+        score = model.scores([t.encode() for t in asked])
+        assert score[0] >= toxicity.THRESHOLD and score[1] >= toxicity.THRESHOLD > score[2], rows
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rng = random.Random(5)
+    texts = [(i, prose(rng, 6000 if i % 4 == 0 else 30) + (" vilest" if i % 4 == 0 else "")) for i in range(160)]
+    assert all(len(t) > 16_384 for i, t in texts if i % 4 == 0)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs_of(spark, texts), labels)
+    assert model.fitted and model.scores([b"vilest"])[0] > model.scores([prose(rng, 30).encode()])[0]
+
+
 def test_toxicity_does_not_depend_on_batches():
     rng = random.Random(2)
     texts = [prose(rng, n).encode() for n in (0, 1, 2, 3, 50, 400)]
