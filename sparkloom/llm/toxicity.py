@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD_FOLD, column, field, freed, map_texts, materialise, remove, share, ship_code, slices, texts_of, tidy
+from sparkloom.llm.common import WORD_FOLD, column, field, freed, lent, map_texts, materialise, remove, share, ship_code, slices, texts_of, tidy
 
 WIDTHS, FILTERS, DIMENSIONS, BUCKETS = (1, 2, 3), 8, 12, 1 << 16
 #: Lengths in bytes of the word beginnings that are hashed beside the whole word.
@@ -326,7 +326,6 @@ def _texts_by_bucket(rows: DataFrame) -> np.ndarray:
 
 def _averaged(rows: DataFrame, p: dict[str, np.ndarray], number: np.ndarray, epoch: int, seed: int) -> dict[str, np.ndarray]:
     """Parameters after one epoch: every shard of `rows` (sorted by shard) trains from `p`, in its task; the means, block by block, come back."""
-    shared = share(rows.sparkSession, (p, number))
     tables, others = [k for k in p if k.split(".")[-1] == "E"], [k for k in p if k.split(".")[-1] != "E"]
     names = ["block", "shard", "weight", "value"]
 
@@ -372,11 +371,10 @@ def _averaged(rows: DataFrame, p: dict[str, np.ndarray], number: np.ndarray, epo
         out = np.where(weight > 0, total / np.maximum(weight, 1), plain).astype(np.float32)
         return pa.table({"block": table.column("block")[:1], "value": pa.chunked_array([pa.array([out.tobytes()], pa.binary())])})
 
-    sent = rows.select("shard", "y", "words").mapInArrow(run, "block bigint, shard bigint, weight binary, value binary")
-    with freed(rows.sparkSession):
+    with lent(rows.sparkSession, (p, number)) as shared, freed(rows.sparkSession):
+        sent = rows.select("shard", "y", "words").mapInArrow(run, "block bigint, shard bigint, weight binary, value binary")
         means = sent.groupBy("block").applyInArrow(mean, "block bigint, value binary").collect()
     got = {r["block"]: np.frombuffer(r["value"], np.float32) for r in means}
-    shared.unpersist()
     last = max(got)
     table = np.concatenate([got[b] for b in range(last)]).reshape(len(p["E"]), -1)
     out = {k: np.ascontiguousarray(x) for k, x in zip(tables, np.split(table, len(tables), axis=1))}
@@ -386,7 +384,6 @@ def _averaged(rows: DataFrame, p: dict[str, np.ndarray], number: np.ndarray, epo
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
     """Set the offset and the thresholds of languages by exact counts of rows by logit, in steps of 1/`GRID`."""
-    shared = share(rows.sparkSession, model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -409,15 +406,15 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
             return pa.table({"lang": name[:0], "cut": pa.array([], pa.float64())})
         return pa.table({"lang": name, "cut": pa.array([best_cut(at / grid, positive, n)])})
 
-    counts = rows.select("lang", "y", "words").mapInArrow(run, "lang string, y int, at bigint").groupBy("lang", "at").agg(F.sum("y").alias("positive"), F.count("*").alias("n"))
-    counts = counts.persist(StorageLevel.DISK_ONLY)
-    got = counts.groupBy("at").agg(F.sum("positive").alias("positive"), F.sum("n").alias("n")).orderBy("at").collect()
+    with lent(rows.sparkSession, model) as shared:
+        counts = rows.select("lang", "y", "words").mapInArrow(run, "lang string, y int, at bigint").groupBy("lang", "at").agg(F.sum("y").alias("positive"), F.count("*").alias("n"))
+        counts = counts.persist(StorageLevel.DISK_ONLY)
+        got = counts.groupBy("at").agg(F.sum("positive").alias("positive"), F.sum("n").alias("n")).orderBy("at").collect()
+        of_language = counts.where("lang is not null and lang <> ''").groupBy("lang").applyInArrow(cut, "lang string, cut double").collect()
+        counts.unpersist()
     at, positive, n = (np.array([r[c] for r in got], np.float64) for c in ("at", "positive", "n"))
     model.offset = float(np.log(THRESHOLD / (1 - THRESHOLD))) - best_cut(at / GRID, positive, n)
-    of_language = counts.where("lang is not null and lang <> ''").groupBy("lang").applyInArrow(cut, "lang string, cut double").collect()
     model.thresholds = {r["lang"]: _share_of(r["cut"] + model.offset) for r in sorted(of_language)}
-    counts.unpersist()
-    shared.unpersist()
 
 
 def _likely(rows: DataFrame, marks: DataFrame) -> DataFrame:

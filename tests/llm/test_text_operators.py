@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -285,6 +287,24 @@ def test_toxicity_learns_from_long_texts(spark):
     assert model.fitted and model.scores([b"vilest"])[0] > model.scores([prose(rng, 30).encode()])[0]
 
 
+def test_toxicity_training_leaves_nothing_on_the_driver(spark):
+    rng = random.Random(6)
+    texts = [(i, f"{prose(rng, 300, 6000)} {'vilest' if i % 3 == 0 else ''}") for i in range(240)]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id bigint, toxic int")
+
+    def free():  # of the driver's memory for blocks; the session is local, so there are no executors
+        return spark.sparkContext._jsc.sc().getExecutorMemoryStatus().head()._2()._2()
+
+    toxicity.train(docs, labels)
+    before = free()
+    kept = [toxicity.train(docs, labels) for _ in range(2)]
+    until = time.time() + 10
+    while before - free() > 1 << 20 and time.time() < until:  # blocks are let go in the background
+        time.sleep(0.1)
+    assert all(m.fitted and np.unique(m.embedding, axis=0).shape[0] > 10_000 for m in kept)  # the parameters are of some megabytes
+    assert before - free() <= 1 << 20
+
+
 def test_toxicity_does_not_depend_on_batches():
     rng = random.Random(2)
     texts = [prose(rng, n).encode() for n in (0, 1, 2, 3, 50, 400)]
