@@ -5,11 +5,12 @@ always stay. Lines are alike when the sets of their 8-character shingles (a shor
 Jaccard similarity of 0.8 or more. Of each component of alike lines the first stays, by doc_id, then line number; all
 others are removed, wherever they stand.
 
-Exact copies are folded first, by a partial aggregate over 128-bit hashes. Three minima form a band and eight bands a
-signature: a pair at similarity 0.8 shares a band with probability 0.997, at 0.9 with 0.99997. Band members arrive sorted and
-stream through; a group of over `TILE` distinct lines leaves as tiles, whose pairs are dealt out by a join, so that no
-line is left out and no task holds a whole hot group. Lines that share a band are compared exactly: a bit sketch of each
-shingle set bounds the overlap from above and rules out most pairs, the rest count common shingles.
+Exact copies are folded first, in slices of texts, then by an aggregate over 128-bit hashes. Three minima form a band and eight
+bands a signature: a pair at similarity 0.8 shares a band with probability 0.997, at 0.9 with 0.99997. Band keys are dealt in buckets,
+many to a row, and a task puts one bucket in order at a time, 20 bytes a key; a group of over `TILE` distinct lines leaves as tiles,
+whose pairs are dealt out by a join, so that no line is left out and no task holds the texts of a whole hot group. Lines that share
+a band are compared exactly: a bit sketch of each shingle set bounds the overlap from above and rules out most pairs, the rest count
+common shingles. Groups of one smallest member are compared in one place, where lines found alike once are not compared again.
 
 Defined results: null texts stay null and empty ones empty; rows with null doc_id stay as they are and have no say;
 rows of one doc_id and one text get the same result; rows of one doc_id with different texts are documents of their own, in
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +35,14 @@ SHINGLE, ROWS, BANDS = 8, 3, 8
 ALIKE = (4, 5)
 #: Lines of a tile, and their bytes; a longer line makes a tile of its own.
 TILE, TILE_BYTES = 1024, 1 << 20
-#: Bits of a sketch.
+#: Band keys dealt at once, and buckets of keys for each partition.
+DEAL, BUCKETS = 1 << 19, 8
+#: Bytes of lines whose groups are compared at once, so that their shingles stay in a cache; a larger group stands alone.
+STRETCH = 1 << 17
+#: Bits of a sketch, at least; slices of longer lines have more.
 SKETCH = 256
+#: Shingles of two lines from which they are counted by themselves.
+PAIR = 128
 _BLANKS = b" \t\r\x0b\x0c"
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _RNG = np.random.default_rng(20)
@@ -78,9 +86,14 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
 
 
 def _some_keys(lines: list[bytes]) -> np.ndarray:
-    texts = [x.decode("utf-8", "replace").ljust(SHINGLE, "\0") for x in lines]
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    size = np.array([len(t) for t in texts])
+    texts = [x.ljust(SHINGLE, b"\0") for x in lines]
+    whole = b"".join(texts)
+    if whole.isascii():
+        points = np.frombuffer(whole, np.uint8).astype(np.uint64)
+    else:
+        texts = [x.decode("utf-8", "replace").ljust(SHINGLE, "\0") for x in lines]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
     count = size - SHINGLE + 1
     h, power, width = points * _MIX, 0x9E3779B97F4A7C15, 1
     while width < SHINGLE:  # hashes of twice the width from those before
@@ -115,7 +128,7 @@ def _source(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def _locate(batches):
-    """(h, h2, doc, th, line) of every line that is not blank."""
+    """(h, h2, doc, th, line) of lines that are not blank, each where it first stands in a slice."""
     for batch in batches:
         for part in slices(batch, "text"):
             lines = [lines_of(t) for t in texts_of(part)]
@@ -125,27 +138,82 @@ def _locate(batches):
             number = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
             full = np.fromiter(map(bool, flat), bool, len(flat))
             doc, th = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), count)[full] for c in ("doc", "th"))
+            h, number = h[full], number[full].astype(np.int32)
+            order = np.lexsort((number, th, doc, h[:, 1], h[:, 0]))
+            mine = h[order]
+            order = order[np.append(True, (mine[1:] != mine[:-1]).any(1))[: len(order)]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[full, 0]), pa.array(h[full, 1]), pa.array(doc), pa.array(th), pa.array(number[full].astype(np.int32))],
-                names=["h", "h2", "doc", "th", "line"],
+                [pa.array(x[order]) for x in (h[:, 0], h[:, 1], doc, th, number)], names=["h", "h2", "doc", "th", "line"]
             )
     tidy()
 
 
-def _bands(batches):
-    """(key, h, size), each line once a slice."""
+_DEALT = "bucket int, key array<bigint>, h array<bigint>, size array<int>"
+
+
+def _bands(buckets: int):
+    """Keys, h and size of lines, each line once a slice, as one row for each bucket: a range of keys."""
+
+    def run(batches):
+        held, total = [], 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                only = list({y for t in texts_of(part) for y in lines_of(t)} - {b""})
+                if not only:
+                    continue
+                size = np.minimum(np.fromiter(map(len, only), np.int64, len(only)), 2**31 - 1).astype(np.int32)
+                held.append((band_keys(only).ravel(), np.repeat(line_hashes(only)[:, 0], BANDS), np.repeat(size, BANDS)))
+                total += BANDS * len(only)
+                if total >= DEAL:
+                    yield _in_buckets(held, buckets)
+                    held, total = [], 0
+        if held:
+            yield _in_buckets(held, buckets)
+        tidy()
+
+    return run
+
+
+def _in_buckets(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    key, h, size = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(key)
+    high = (key[order].view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+    bucket = ((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    edge = pa.array(np.append(start, len(bucket)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(edge, pa.array(x[order])) for x in (key, h, size)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start]), *lists], names=["bucket", "key", "h", "size"])
+
+
+def _shared(batches):
+    """By bucket: (key, h, size), in order of the keys, without the keys that stand alone. Numbers of one bucket are held, no texts."""
+    held: list[list[np.ndarray]] = []
+    now = None
     for batch in batches:
-        for part in slices(batch, "text"):
-            only = list({y for t in texts_of(part) for y in lines_of(t)} - {b""})
-            if not only:
-                continue
-            keys = band_keys(only)
-            h = np.repeat(line_hashes(only)[:, 0], BANDS)
-            size = np.repeat(np.fromiter(map(len, only), np.int64, len(only)), BANDS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(h), pa.array(np.minimum(size, 2**31 - 1).astype(np.int32))], names=["key", "h", "size"]
-            )
-    tidy()
+        bucket = batch.column("bucket").to_numpy()
+        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
+        for a, b in zip(edge, edge[1:]):
+            if held and bucket[a] != now:
+                yield _repeated(held)
+                held = []
+            now = bucket[a]
+            held.append([batch.column(c).slice(a, b - a).flatten().to_numpy() for c in ("key", "h", "size")])
+    if held:
+        yield _repeated(held)
+
+
+def _repeated(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    key, h, size = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    more = np.append(False, same) | np.append(same, False)
+    order = order[more]
+    return pa.RecordBatch.from_arrays([pa.array(key[more]), pa.array(h[order]), pa.array(size[order])], names=["key", "h", "size"])
+
+
+def _band_groups(batches):
+    yield from _groups(_shared(batches))
 
 
 _GROUP = "g bigint, g2 bigint, tile int, h array<bigint>"
@@ -240,10 +308,14 @@ class Shingles:
         texts = [x.decode("utf-8", "replace").ljust(SHINGLE, "\0") for x in lines]
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        letters = np.zeros(0x110000, bool)
-        letters[points] = True
-        code = (np.cumsum(letters) - 1)[points].astype(np.uint64)  # dense, so that few bits hold a letter
-        bits = max(1, int(letters.sum() - 1).bit_length())
+        most = int(points.max()) if len(points) else 0
+        if most < 128:
+            code, bits = points.astype(np.uint64), 7
+        else:  # numbered densely, so that few bits hold a letter
+            letters = np.zeros(most + 1, bool)
+            letters[points] = True
+            code = (np.cumsum(letters) - 1).astype(np.uint64)[points]
+            bits = max(1, int(letters.sum() - 1).bit_length())
         inside = np.ones(len(points), bool)
         ends = np.cumsum(size)
         for k in range(1, SHINGLE):
@@ -271,9 +343,11 @@ class Shingles:
         self.size = np.bincount(self.owner, minlength=len(lines))
         self.start = np.cumsum(self.size) - self.size
         spread = (self.number + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        spread = ((spread ^ (spread >> np.uint64(32))) * _MIX) >> np.uint64(64 - SKETCH.bit_length() + 1)
-        odd = np.bincount(self.owner * SKETCH + spread.astype(np.int64), minlength=len(lines) * SKETCH) & 1
-        self.sketch = np.packbits(odd.astype(np.uint8).reshape(len(lines), SKETCH), axis=1).view(np.uint64)
+        wide = max(SKETCH, 1 << (2 * len(self.number) // max(1, len(lines))).bit_length())  # two to four bits a shingle, so that few fall together
+        spread = ((spread ^ (spread >> np.uint64(32))) * _MIX) >> np.uint64(64 - wide.bit_length() + 1)
+        odd = np.zeros(len(lines) * wide, np.uint8)
+        np.add.at(odd, self.owner * wide + spread.astype(np.int64), np.uint8(1))
+        self.sketch = np.packbits((odd & 1).reshape(len(lines), wide), axis=1).view(np.uint64)
 
     def _sorted(self, owner: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers in order by owner; owners come ascending, from 0, and as many are sorted at once as fit beside the number's bits."""
@@ -296,18 +370,24 @@ class Shingles:
         return (np.minimum(a, b) * ALIKE[1] >= np.maximum(a, b) * ALIKE[0]) & (apart * total <= most * (a + b))
 
     def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """The exact comparison, by counting common shingles, some pairs at a time."""
-        out = np.zeros(len(i), bool)
+        """The exact comparison, by counting common shingles: long pairs one by one, short ones some at a time."""
         sizes = self.size[i] + self.size[j]
-        for a, b in _stretches(sizes, 1 << 20):
-            both = np.stack([i[a:b], j[a:b]], 1).ravel()  # the two lines of a pair after each other
+        common = np.zeros(len(i), np.int64)
+        long = sizes >= PAIR
+        for k in np.flatnonzero(long).tolist():
+            a, b = self.start[i[k]], self.start[j[k]]
+            number = np.concatenate([self.number[a : a + self.size[i[k]]], self.number[b : b + self.size[j[k]]]])
+            number.sort()
+            common[k] = np.count_nonzero(number[1:] == number[:-1])
+        short = np.flatnonzero(~long)
+        for a, b in _stretches(sizes[short], 1 << 20):
+            both = np.stack([i[short[a:b]], j[short[a:b]]], 1).ravel()  # the two lines of a pair after each other
             size = self.size[both]
             at = np.arange(size.sum()) + np.repeat(self.start[both] - (np.cumsum(size) - size), size)
             pair, number = self._sorted(np.repeat(np.arange(len(both)) // 2, size), self.number[at])
             twice = (number[1:] == number[:-1]) & (pair[1:] == pair[:-1])
-            common = np.bincount(pair[1:][twice], minlength=b - a)
-            out[a:b] = common * ALIKE[1] >= ALIKE[0] * (sizes[a:b] - common)
-        return out
+            common[short[a:b]] = np.bincount(pair[1:][twice], minlength=b - a)
+        return common * ALIKE[1] >= ALIKE[0] * (sizes - common)
 
 
 def _stretches(sizes: np.ndarray, most: int):
@@ -319,23 +399,29 @@ def _stretches(sizes: np.ndarray, most: int):
         a = b
 
 
-def linked(lines: list[bytes], group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (i, j) of alike lines of one group. Rows come by group, then side; with two sides only lines of different sides are compared."""
+def linked(lines: list[bytes], group: np.ndarray, side: np.ndarray, line: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (i, j) of alike lines of one group. Rows come by group, then side; with two sides only lines of different sides are compared.
+
+    `line` has the line of each row where groups share lines; those linked in one group are not compared again in another.
+    """
     sets = Shingles(lines)
+    line = np.arange(len(lines)) if line is None else line
     crossed = np.bincount(group, side, minlength=int(group[-1]) + 1 if len(group) else 1)[group] > 0
     label = np.arange(len(lines))
     out_i, out_j = [], []
-    i = np.arange(len(lines))
+    i = np.arange(len(line))
     d = 0
-    while True:  # each line with the d-th after it, d = 1, 2, ...
+    while True:  # each row with the d-th after it, d = 1, 2, ...
         d += 1
-        i = i[i + d < len(lines)]
+        i = i[i + d < len(line)]
         i = i[group[i] == group[i + d]]
         if not len(i):
             break
         j = i + d
-        go = (label[i] != label[j]) & (~crossed[i] | (side[i] != side[j]))
-        a, b = i[go], j[go]
+        a, b = line[i], line[j]
+        go = (label[a] != label[b]) & (~crossed[i] | (side[i] != side[j]))
+        a, b = np.minimum(a, b)[go], np.maximum(a, b)[go]
+        a, b = np.divmod(np.unique(a * len(lines) + b), len(lines))
         ok = sets.possible(a, b)
         a, b = a[ok], b[ok]
         if len(a):
@@ -353,7 +439,7 @@ def linked(lines: list[bytes], group: np.ndarray, side: np.ndarray) -> tuple[np.
 
 
 def _verify(batches):
-    """Sorted by g, g2, side: links of alike lines, many small groups at a time."""
+    """Sorted by m, g, g2, side: links of alike lines, many small groups at a time."""
     held: pa.Table | None = None
     src = dst = np.zeros(0, np.int64)
     for batch in _and_end(batches):
@@ -376,10 +462,11 @@ def _verify(batches):
         side = table.column("side").to_numpy()
         group = np.repeat(np.arange(done), np.diff(edge[: done + 1]))
         size = np.add.reduceat(np.fromiter(map(len, lines), np.int64, len(lines)), edge[:done])
-        for a, b in _stretches(size, TILE_BYTES):
+        for a, b in _stretches(size, STRETCH):
             rows = slice(edge[a], edge[b])
-            i, j = linked(lines[rows], group[rows] - a, side[rows])
-            src, dst = np.concatenate([src, h[rows][i]]), np.concatenate([dst, h[rows][j]])
+            name, at, line = np.unique(h[rows], return_index=True, return_inverse=True)
+            i, j = linked([lines[k] for k in (at + edge[a]).tolist()], group[rows] - a, side[rows], line)
+            src, dst = np.concatenate([src, name[i]]), np.concatenate([dst, name[j]])
         if len(src) > 400_000:
             src, dst = spanning(src, dst)
     src, dst = spanning(src, dst)
@@ -388,24 +475,31 @@ def _verify(batches):
 
 
 def _pick(batches):
-    """Texts of the asked lines of each document."""
+    """Texts of the asked lines of each document, and where they stand."""
     for batch in batches:
         for part in slices(batch, "text"):
-            h, h2, texts = [], [], []
-            for t, asked in zip(texts_of(part), part.column("asked").to_pylist()):
-                lines = lines_of(t)
-                for x in asked:
-                    h.append(x["h"])
-                    h2.append(x["h2"])
-                    texts.append(lines[x["line"]])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(texts, pa.binary())], names=["h", "h2", "text"])
+            asked = part.column("asked")
+            count, rows = pc.list_value_length(asked).to_numpy(), asked.flatten()
+            line = rows.field("line").to_pylist()
+            texts, at = [], 0
+            for t, n in zip(texts_of(part), count.tolist()):
+                lines = t.split(b"\n")
+                texts += [lines[k].strip(_BLANKS) for k in line[at : at + n]]
+                at += n
+            doc, th = (pa.array(np.repeat(part.column(c).to_numpy(), count)) for c in ("doc", "th"))
+            yield pa.RecordBatch.from_arrays(
+                [rows.field("h"), rows.field("h2"), doc, th, rows.field("line"), pa.array(texts, pa.binary())], names=["h", "h2", "doc", "th", "line", "text"]
+            )
     tidy()
 
 
 def _asked(groups: DataFrame) -> DataFrame:
-    """(g, g2, side, h): the lines that each comparison needs; tiles of a large group alone and in pairs."""
+    """(m, g, g2, side, h): the lines that each comparison needs; tiles of a large group alone and in pairs.
+
+    Whole groups of one smallest member, of which there are no more than bands, have the same m: they share most of their lines.
+    """
     member = F.explode("h").alias("h")
-    whole = groups.where("tile < 0").dropDuplicates(["g", "g2"]).select("g", "g2", F.lit(0).alias("side"), member)
+    whole = groups.where("tile < 0").dropDuplicates(["g", "g2"]).select(F.array_min("h").alias("m"), "g", "g2", F.lit(0).alias("side"), member)
     tiles = groups.where("tile >= 0")
     alone = tiles.select(F.xxhash64("g", "tile").alias("g"), F.xxhash64("tile", "g").alias("g2"), F.lit(0).alias("side"), member)
     other = tiles.select("g", F.col("tile").alias("tile2"), F.col("h").alias("hb"))
@@ -413,7 +507,7 @@ def _asked(groups: DataFrame) -> DataFrame:
     name = (F.xxhash64("g", "tile", "tile2").alias("g"), F.xxhash64("tile2", "tile", "g").alias("g2"))
     left = pairs.select(*name, F.lit(0).alias("side"), member)
     right = pairs.select(*name, F.lit(1).alias("side"), F.explode("hb").alias("h"))
-    return whole.unionByName(alone).unionByName(left).unionByName(right)
+    return whole.unionByName(alone.unionByName(left).unionByName(right).withColumn("m", F.col("g")))
 
 
 def kept_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -423,15 +517,16 @@ def kept_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     first = F.min(F.struct("doc", "th", "line")).alias("at")
     only = materialise(
         source.mapInArrow(_locate, "h bigint, h2 bigint, doc bigint, th bigint, line int")
+        .repartition("h", "h2")  # slices have folded their copies; rows are sorted once, for one aggregate
         .groupBy("h", "h2").agg(first).select("h", "h2", "at.doc", "at.th", "at.line"),
         "lines",
     )
     parts = partitions(docs.sparkSession)
     groups = materialise(
-        source.select("text").mapInArrow(_bands, "key bigint, h bigint, size int")
-        .repartition(parts, "key")
-        .sortWithinPartitions("key")  # one column of longs is sorted by radix; a task puts the lines of a key in order itself
-        .mapInArrow(_groups, _GROUP),
+        source.select("text").mapInArrow(_bands(BUCKETS * parts), _DEALT)
+        .repartition(parts, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_band_groups, _GROUP),
         "groups",
     )
     asked = _asked(groups)
@@ -439,22 +534,25 @@ def kept_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     wanted = where.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "h2", "line")).alias("asked"))
     found = materialise(
         source.join(wanted, ["doc", "th"])
-        .select("text", "asked")
-        .mapInArrow(_pick, "h bigint, h2 bigint, text binary")
+        .select("doc", "th", "text", "asked")
+        .mapInArrow(_pick, "h bigint, h2 bigint, doc bigint, th bigint, line int, text binary")
+        .repartition("h", "h2")  # before the aggregate, which then sorts the texts once
         .dropDuplicates(["h", "h2"]),
         "candidates",
     )
     links = (
         asked.join(found.select("h", "text"), "h")
-        .repartition(parts, "g", "g2").sortWithinPartitions("g", "g2", "side").mapInArrow(_verify, "src bigint, dst bigint")
+        .repartition(parts, "m").sortWithinPartitions("m", "g", "g2", "side").select("g", "g2", "side", "h", "text")
+        .mapInArrow(_verify, "src bigint, dst bigint")
     )
     joined = components(links)
     # 64 bits name a line among those compared, 128 among all
-    member = joined.select(F.col("node").alias("h"), "component").join(found.select("h", "h2"), "h").join(only, ["h", "h2"])
+    member = joined.select(F.col("node").alias("h"), "component").join(found.drop("text"), "h")
     heads = member.groupBy("component").agg(F.min(F.struct("doc", "th", "line")).alias("at"))
-    gone = member.join(heads, "component").where("struct(doc, th, line) <> at").select("h", "h2")
-    kept = only.join(gone, ["h", "h2"], "left_anti")
-    return kept.groupBy("doc", "th").agg(F.collect_list("line").alias("lines"))
+    gone = member.join(heads, "component").where("struct(doc, th, line) <> at").select("doc", "th", "line", F.lit(True).alias("goes"))
+    every = only.select("doc", "th", "line", F.lit(False).alias("goes")).unionByName(gone)
+    lines, less = (F.collect_list(F.when(c, F.col("line"))) for c in (~F.col("goes"), F.col("goes")))
+    return every.groupBy("doc", "th").agg(F.array_except(lines, less).alias("lines"))
 
 
 def _rebuilt(batches):

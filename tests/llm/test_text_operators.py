@@ -469,6 +469,87 @@ def test_line_links(crossed):
     assert label(list(zip(i, j))) == label(pairs)
 
 
+def text_batches(texts, step):
+    import pyarrow as pa
+
+    for i in range(0, len(texts), step):
+        yield pa.RecordBatch.from_arrays([pa.array(texts[i : i + step])], names=["text"])
+
+
+@pytest.mark.parametrize("deal", [1, 200, 1 << 19])
+def test_band_keys_travel_in_buckets(monkeypatch, deal):
+    """A row for a bucket of keys, not for each key; what comes out are the keys of more than one line, as rows for each key would give."""
+    monkeypatch.setattr(lines, "DEAL", deal)
+    rng = random.Random(31)
+    base = ["".join(rng.choice("abcdé日 ") for _ in range(rng.randrange(1, 90))).strip() or "x" for _ in range(40)]
+    texts = ["\n".join([rng.choice(base), rng.choice(base) + "#", prose(rng, 9)]) for _ in range(60)]
+    dealt = list(lines._bands(16)(text_batches(texts, 20)))
+    assert all(b.num_rows <= 16 and b.column("bucket").to_pylist() == sorted(set(b.column("bucket").to_pylist())) for b in dealt)
+    assert deal > 1 or len(dealt) == 3
+    rows = sorted((r for b in dealt for r in b.to_pylist()), key=lambda r: r["bucket"])
+    held = {}
+    for part in (texts[i : i + 20] for i in range(0, 60, 20)):
+        for x in {y for t in part for y in lines.lines_of(t.encode())}:
+            for key in lines.band_keys([x])[0].tolist():
+                held.setdefault(key, []).append((int(lines.line_hashes([x])[0, 0]), len(x)))
+    for step in (1, 5, 1000):
+        import pyarrow as pa
+
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + step], dealt[0].schema) for i in range(0, len(rows), step)]
+        got = [r for b in lines._shared(batches) for r in b.to_pylist()]
+        assert [r["key"] for r in got] == sorted(r["key"] for r in got)
+        assert sorted((r["key"], r["h"], r["size"]) for r in got) == sorted((k, *x) for k, m in held.items() if len(m) > 1 for x in m)
+
+
+def test_copies_fold_in_a_slice():
+    import pyarrow as pa
+
+    doc = [(5, 1, "b line\n\n a line"), (3, 9, "other\na line\na line"), (3, 2, "x\ny\na line "), (7, 1, "b line")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*doc)], names=["doc", "th", "text"])
+    got = {r["h"]: (r["doc"], r["th"], r["line"]) for b in lines._locate([batch]) for r in b.to_pylist()}
+    h = {x: int(lines.line_hashes([x])[0, 0]) for x in (b"a line", b"b line", b"other", b"x", b"y")}
+    assert got == {h[b"a line"]: (3, 2, 2), h[b"b line"]: (5, 1, 0), h[b"other"]: (3, 9, 0), h[b"x"]: (3, 2, 0), h[b"y"]: (3, 2, 1)}
+    assert sum(b.num_rows for b in lines._locate([batch])) == 5
+
+
+def test_lines_of_many_groups_are_compared_once(monkeypatch):
+    """Groups of different bands that share two alike lines: one comparison, whatever the groups are."""
+    import pyarrow as pa
+
+    rng = random.Random(32)
+    a, other = (prose(rng, 60) for _ in range(2))
+    text = {1: a, 2: a + " and more", 3: other}
+    rows = [(g, g, 0, h, text[h].encode()) for g, members in enumerate([(1, 2), (1, 2, 3), (2, 1), (3, 2, 1), (3,)]) for h in members]
+    compared = []
+    alike = lines.Shingles.alike
+    monkeypatch.setattr(lines.Shingles, "alike", lambda self, i, j: compared.extend(zip(i, j)) or alike(self, i, j))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["g", "g2", "side", "h", "text"])
+    links = [(r["src"], r["dst"]) for b in lines._verify([batch]) for r in b.to_pylist()]
+    assert links == [(2, 1)]
+    assert len(compared) == 1
+
+
+def test_sketches_of_long_lines_rule_out():
+    """Of lines of hundreds of shingles, those far from 0.8 need no exact comparison, and those at 0.8 are never ruled out."""
+    import numpy as np
+
+    rng = random.Random(33)
+    base = [rng.choice("abcdefghij ") for _ in range(1200)]
+    texts = ["".join(base)]
+    for n in (1, 5, 10, 15, 40, 45, 50, 60):
+        x = list(base)
+        for at in range(10, 1190, 1180 // n):
+            x[at] = "#"
+        texts.append("".join(x))
+    sets = lines.Shingles([t.encode() for t in texts])
+    brute = [lines.shingles(t.encode()) for t in texts]
+    i, j = np.zeros(8, np.int64), np.arange(1, 9)
+    possible, really = sets.possible(i, j), [lines.alike(brute[0], b) for b in brute[1:]]
+    assert sets.alike(i, j).tolist() == really
+    assert all(p for p, r in zip(possible, really) if r)
+    assert really[:3] == [True] * 3 and not any(possible[4:])
+
+
 def test_very_long_lines_and_a_hot_band(spark):
     rng = random.Random(12)
     long = "".join(rng.choice("abcdefgh ") for _ in range(1 << 20))
