@@ -36,7 +36,7 @@ def odd(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["clone_blocks_whole"])
+@pytest.mark.parametrize("name", ["clone_blocks_whole", "clone_near_misses_whole"])
 def test_equals_sql_on_odd_texts(spark, odd, name):
     compare(registry.QUERIES[name](spark, odd), registry.ORACLES[name], odd)
 
@@ -51,6 +51,15 @@ def test_a_pair_of_runs_costs_its_ends(spark):
     assert runs.count() == 60 * 59 // 2 and runs.where("tokens = 600 and n_distinct = 576").count() == 60 * 59 // 2
 
 
+def test_grams_of_one_digest_count_as_in_sql(spark, tmp_path):
+    """The md5s of these two grams agree in their first 48 bits."""
+    rows = [(i, f"w{n} " + " ".join(["x"] * 24)) for i, n in enumerate((8232508, 28494288))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["clone_near_misses_whole"](spark, str(tmp_path))
+    assert found.first().near_misses == 1
+    compare(found, registry.ORACLES["clone_near_misses_whole"], str(tmp_path))
+
+
 def test_stretches_by_definition():
     rng = np.random.default_rng(3)
     for _ in range(200):
