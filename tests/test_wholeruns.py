@@ -36,7 +36,7 @@ def odd(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["clone_blocks_whole", "clone_near_misses_whole"])
+@pytest.mark.parametrize("name", ["clone_blocks_whole", "clone_near_misses_whole", "clone_groups_whole"])
 def test_equals_sql_on_odd_texts(spark, odd, name):
     compare(registry.QUERIES[name](spark, odd), registry.ORACLES[name], odd)
 
