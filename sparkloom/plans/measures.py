@@ -43,8 +43,9 @@ def divergence_chi2(spark, d):
     total = r.agg(F.sum("r").alias("rt"))
     x = docs.groupBy("source").agg(F.count(F.lit(1)).alias("ot"))
     bins = x.join(r.join(total), how="cross").join(o, ["source", "lang"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    gap = (F.col("o") * F.col("rt") - F.col("r") * F.col("ot")).cast("decimal(38,0)")
-    low = (F.col("r") * F.col("rt") * F.col("ot") * F.col("ot")).cast("decimal(38,0)")
+    # each count is widened before it is multiplied: products of four are beyond 64 bits from some 55,000 documents on
+    o, r, rt, ot = (F.col(c).cast("decimal(38,0)") for c in ("o", "r", "rt", "ot"))
+    gap, low = o * rt - r * ot, r * rt * ot * ot
     top = F.lit(1000).cast("decimal(4,0)") * gap * gap
     return bins.withColumn("part", ((top - top % low) / low).cast("decimal(38,0)").cast("bigint")).groupBy("source").agg(
         F.sum("part").alias("divergence")

@@ -410,6 +410,17 @@ def test_whole_moved_blocks_pass_common_lines(spark, tmp_path):
     assert got == [(1, 100, 0, 0, 3, 25, True)]
 
 
+def test_divergence_of_many_documents(spark, tmp_path):
+    """Products of four counts are beyond 64 bits here."""
+    from oracle import compare
+
+    from sparkloom.plans import registry
+
+    docs = spark.range(120_000).selectExpr("id as doc_id", "if(id < 100000, 'web', 'book') as source", "if(id % 3 = 0, 'en', 'de') as lang")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    compare(registry.QUERIES["divergence_chi2"](spark, str(tmp_path)), registry.ORACLES["divergence_chi2"], f"{tmp_path}")
+
+
 def test_settings_are_checked():
     from sparkloom import knobs
 
