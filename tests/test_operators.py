@@ -410,6 +410,16 @@ def test_whole_moved_blocks_pass_common_lines(spark, tmp_path):
     assert got == [(1, 100, 0, 0, 3, 25, True)]
 
 
+def test_stretches_of_spans_are_not_broadcast(spark, sf):
+    """One row of `orders` gives many stretches, so their join is no broadcast however small the table."""
+    from sparkloom.plans import registry
+
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    plan = registry.QUERIES["interval_owner"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    sized = registry.QUERIES["interval_owner"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "loom_x" in plan and not [x for x in sized.splitlines() if "BroadcastHashJoin" in x and "loom_x" in x]
+
+
 def test_divergence_of_many_documents(spark, tmp_path):
     """Products of four counts are beyond 64 bits here."""
     from oracle import compare
