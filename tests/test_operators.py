@@ -420,6 +420,25 @@ def test_stretches_of_spans_are_not_broadcast(spark, sf):
     assert "loom_x" in plan and not [x for x in sized.splitlines() if "BroadcastHashJoin" in x and "loom_x" in x]
 
 
+def test_band_pairs_of_near_sizes(spark):
+    from sparkloom.operators import intervals
+
+    rng = random.Random(4)
+    rows = [(rng.choice("xy"), i, rng.choice([0, 1, 2, 10, 11, 12, 84, 85, 99, 100, 101, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, k bigint, s bigint")
+    got = intervals.band_pairs(df, "g", "k", "s", 85, 100)
+    big = [(g, k, s) for g, k, s in rows if s]
+    want = {(g, k, k2) for g, k, s in big for h, k2, z in big if g == h and (s, k) < (z, k2) and s * 100 >= z * 85}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_band_join_is_dealt_over_tasks(spark, sf):
+    """One file of parts gives all its pairs in more than one task."""
+    from sparkloom.plans import registry
+
+    assert registry.QUERIES["band_join"](spark, sf).rdd.getNumPartitions() > 1
+
+
 def test_divergence_of_many_documents(spark, tmp_path):
     """Products of four counts are beyond 64 bits here."""
     from oracle import compare
