@@ -51,6 +51,21 @@ def test_a_pair_of_runs_costs_its_ends(spark):
     assert runs.count() == 60 * 59 // 2 and runs.where("tokens = 600 and n_distinct = 576").count() == 60 * 59 // 2
 
 
+def test_line_runs_equal_sql(spark, tmp_path):
+    rng = random.Random(8)
+    line = lambda: rng.choice(["", " - ", "a common line in many documents", *(f"line {i}" for i in range(12))])
+    rows = [(i, "\n".join(line() for _ in range(rng.randrange(14)))) for i in range(60)]
+    rows += [(100 + i, "\n".join(f"copied {j}" for j in range(200))) for i in range(4)] + [(200, None), (None, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    deal, wholeruns.DEAL_FROM = wholeruns.DEAL_FROM, 10
+    try:
+        found = registry.QUERIES["moved_blocks_whole"](spark, str(tmp_path))
+        compare(found, registry.ORACLES["moved_blocks_whole"], str(tmp_path))
+    finally:
+        wholeruns.DEAL_FROM = deal
+    assert found.where("a >= 100 and n = 200").count() == 6
+
+
 def test_grams_of_one_digest_count_as_in_sql(spark, tmp_path):
     """The md5s of these two grams agree in their first 48 bits."""
     rows = [(i, f"w{n} " + " ".join(["x"] * 24)) for i, n in enumerate((8232508, 28494288))]
