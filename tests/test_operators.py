@@ -439,6 +439,21 @@ def test_band_join_is_dealt_over_tasks(spark, sf):
     assert registry.QUERIES["band_join"](spark, sf).rdd.getNumPartitions() > 1
 
 
+def test_shingles_of_the_same_documents_fold(spark):
+    """Copies of a long set give one row a document; what pairs share stays the same."""
+    from sparkloom.operators import similarity
+
+    rng = random.Random(6)
+    base = [list(range(100 * i, 100 * i + 90)) for i in range(3)]
+    docs = [(i, sorted({*base[i % 3], *(1000 + rng.randrange(40) for _ in range(8))})) for i in range(30)]
+    sets = spark.createDataFrame(docs, "doc bigint, s array<bigint>").selectExpr("doc", "s", "cast(size(s) as bigint) as n")
+    plain = similarity.known(sets)
+    shared = similarity.folded(plain)
+    assert shared.where("h < 1000").count() == 30 and shared.agg({"w": "sum"}).first()[0] == plain.count()
+    rows = lambda x: sorted(tuple(r) for r in similarity.judged(similarity.seed_pairs(x, 9).select("a", "b"), sets, x).collect())
+    assert rows(shared) == rows(plain) and rows(plain)
+
+
 def test_divergence_of_many_documents(spark, tmp_path):
     """Products of four counts are beyond 64 bits here."""
     from oracle import compare
